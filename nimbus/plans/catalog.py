@@ -1,7 +1,9 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame.
 
 Every query reads the driver's tables (through the bindings) in full, so its
-work grows with the scale factor.
+work grows with the scale factor. Standard deviations, slopes and averages of
+non-integer values are rounded to 6 digits so the oracle comparison does not
+depend on summation order.
 """
 
 from __future__ import annotations
@@ -9,8 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from nimbus.functions.calendar import format_day, format_month, month_label, season
+from nimbus.functions.categories import rain_category, temp_category, temp_range
+from nimbus.functions.display import null_to_zero, round_display
+from nimbus.operators import aggregate, clean, dashboard, insight, ledger, query, trend
 from nimbus.plans import frames as fr
+from nimbus.sources import bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,10 +34,433 @@ def register(name: str):
     return deco
 
 
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols if c in df.columns})
+
+
+def daily_r(spark, sf) -> DataFrame:
+    return r6(fr.daily(spark, sf), "TEMP_STD")
+
+
+def daily_dated_r(spark, sf) -> DataFrame:
+    return r6(fr.daily_dated(spark, sf), "TEMP_STD")
+
+
+# ------------------------------------------------------------------ B: cleaning
+
+
+@register("dedup_rows")
+def q_dedup_rows(spark, sf):
+    return clean.dedup_rows(fr.raw(spark, sf))
+
+
+@register("drop_null_date")
+def q_drop_null_date(spark, sf):
+    return clean.drop_null_date(fr.raw(spark, sf))
+
+
+@register("parse_date")
+def q_parse_date(spark, sf):
+    return clean.parse_date(fr.raw(spark, sf))
+
+
+@register("valid_temperature")
+def q_valid_temperature(spark, sf):
+    return clean.valid_temperature(fr.raw(spark, sf))
+
+
+@register("valid_humidity")
+def q_valid_humidity(spark, sf):
+    return clean.valid_humidity(fr.raw(spark, sf))
+
+
+@register("valid_precipitation")
+def q_valid_precipitation(spark, sf):
+    return clean.valid_precipitation(fr.raw(spark, sf))
+
+
+@register("valid_wind")
+def q_valid_wind(spark, sf):
+    return clean.valid_wind(fr.raw(spark, sf))
+
+
+@register("clean")
+def q_clean(spark, sf):
+    return fr.cleaned(spark, sf)
+
+
+@register("clean_report")
+def q_clean_report(spark, sf):
+    return clean.clean_report(fr.raw(spark, sf))
+
+
+@register("project_available")
+def q_project_available(spark, sf):
+    return clean.project_available(
+        fr.daily(spark, sf), ["DATE", "TEMP_AVG", "TEMP_MIN", "TEMP_MAX", "NOT_A_COLUMN"]
+    )
+
+
+@register("date_range")
+def q_date_range(spark, sf):
+    return clean.date_range(daily_r(spark, sf), "1996-03-01", "1999-10-31")
+
+
+@register("nonfinite_to_null")
+def q_nonfinite_to_null(spark, sf):
+    return clean.nonfinite_to_null(daily_r(spark, sf))
+
+
+@register("drop_null_measure")
+def q_drop_null_measure(spark, sf):
+    return clean.drop_null_measure(daily_r(spark, sf), "TEMP_AVG")
+
+
+# ------------------------------------------------------------- C: scalar functions
+
+
+@register("calendar_parts")
+def q_calendar_parts(spark, sf):
+    return fr.enriched(spark, sf).select(
+        "DATE", "YEAR", "MONTH", "DAY", "DAY_OF_WEEK", "WEEK_OF_YEAR"
+    )
+
+
+@register("season")
+def q_season(spark, sf):
+    return fr.cleaned(spark, sf).select("DATE", season(F.month("DATE")).alias("SEASON"))
+
+
+@register("temp_range")
+def q_temp_range(spark, sf):
+    return fr.cleaned(spark, sf).select(
+        "TMAX", "TMIN", temp_range(F.col("TMAX"), F.col("TMIN")).alias("TEMP_RANGE")
+    )
+
+
+@register("temp_category")
+def q_temp_category(spark, sf):
+    return fr.cleaned(spark, sf).select("TAVG", temp_category(F.col("TAVG")).alias("TEMP_CATEGORY"))
+
+
+@register("rain_category")
+def q_rain_category(spark, sf):
+    return fr.cleaned(spark, sf).select("PRCP", rain_category(F.col("PRCP")).alias("RAIN_CATEGORY"))
+
+
+@register("enrich")
+def q_enrich(spark, sf):
+    return fr.enriched(spark, sf)
+
+
+@register("format_date")
+def q_format_date(spark, sf):
+    return fr.daily(spark, sf).select(
+        "DATE",
+        format_day(F.col("DATE")).alias("DATE_TEXT"),
+        format_month(F.col("YEAR"), F.col("MONTH")).alias("MONTH_TEXT"),
+    )
+
+
+@register("month_label")
+def q_month_label(spark, sf):
+    return fr.monthly(spark, sf).select(
+        "YEAR", "MONTH", month_label(F.col("YEAR"), F.col("MONTH")).alias("LABEL")
+    )
+
+
+@register("null_to_zero")
+def q_null_to_zero(spark, sf):
+    return fr.monthly(spark, sf).select(
+        "YEAR", "MONTH", null_to_zero(F.col("PRECIPITATION_TOTAL")).alias("PRECIPITATION_TOTAL")
+    )
+
+
+@register("round_display")
+def q_round_display(spark, sf):
+    return fr.daily(spark, sf).select(
+        "DATE",
+        round_display(F.col("TEMP_AVG"), 1).alias("TEMP_AVG"),
+        round_display(F.col("HUMIDITY_AVG"), 1).alias("HUMIDITY_AVG"),
+        round_display(F.col("PRECIPITATION_TOTAL"), 0).alias("PRECIPITATION_TOTAL"),
+    )
+
+
+# -------------------------------------------------------------- D: aggregations
+
+
+@register("daily")
+def q_daily(spark, sf):
+    return daily_r(spark, sf)
+
+
 @register("monthly")
 def q_monthly(spark, sf):
     return fr.monthly(spark, sf)
 
 
+@register("seasonal")
+def q_seasonal(spark, sf):
+    return fr.seasonal(spark, sf)
+
+
+@register("yearly")
+def q_yearly(spark, sf):
+    return fr.yearly(spark, sf)
+
+
+@register("monthly_rain")
+def q_monthly_rain(spark, sf):
+    return dashboard.monthly_rain(fr.daily(spark, sf))
+
+
+@register("stats_temperature")
+def q_stats_temperature(spark, sf):
+    return r6(dashboard.stats_temperature(fr.daily(spark, sf)), "temperature_mean")
+
+
+@register("stats_precipitation")
+def q_stats_precipitation(spark, sf):
+    return r6(dashboard.stats_precipitation(fr.daily(spark, sf)), "precipitation_mean")
+
+
+@register("stats_humidity")
+def q_stats_humidity(spark, sf):
+    return r6(dashboard.stats_humidity(fr.daily(spark, sf)), "humidity_mean")
+
+
+@register("stats_period")
+def q_stats_period(spark, sf):
+    return dashboard.stats_period(fr.daily(spark, sf))
+
+
+@register("statistics")
+def q_statistics(spark, sf):
+    return r6(
+        dashboard.statistics(fr.daily(spark, sf)),
+        "temperature_mean",
+        "precipitation_mean",
+        "humidity_mean",
+    )
+
+
+@register("histogram")
+def q_histogram(spark, sf):
+    return r6(dashboard.histogram(fr.daily(spark, sf)), "BIN_START")
+
+
+@register("dataset_counts")
+def q_dataset_counts(spark, sf):
+    return aggregate.dataset_counts(
+        {
+            "raw": fr.raw(spark, sf),
+            "clean": fr.cleaned(spark, sf),
+            "enriched": fr.enriched(spark, sf),
+            "daily": fr.daily(spark, sf),
+            "monthly": fr.monthly(spark, sf),
+            "seasonal": fr.seasonal(spark, sf),
+            "trends": trend.trends(fr.daily(spark, sf)),
+        }
+    )
+
+
+# ------------------------------------------------------------------ E: windows
+
+
+@register("temp_ma_7d")
+def q_temp_ma_7d(spark, sf):
+    out = trend.trends(fr.daily(spark, sf), {"TEMP_MA_7D": ("TEMP_AVG", 7)})
+    return r6(out.select("DATE", "TEMP_AVG", "TEMP_MA_7D"), "TEMP_MA_7D")
+
+
+@register("temp_ma_30d")
+def q_temp_ma_30d(spark, sf):
+    out = trend.trends(fr.daily(spark, sf), {"TEMP_MA_30D": ("TEMP_AVG", 30)})
+    return r6(out.select("DATE", "TEMP_AVG", "TEMP_MA_30D"), "TEMP_MA_30D")
+
+
+@register("prcp_ma_7d")
+def q_prcp_ma_7d(spark, sf):
+    out = trend.trends(fr.daily(spark, sf), {"PRCP_MA_7D": ("PRECIPITATION_TOTAL", 7)})
+    return r6(out.select("DATE", "PRECIPITATION_TOTAL", "PRCP_MA_7D"), "PRCP_MA_7D")
+
+
+@register("trends")
+def q_trends(spark, sf):
+    return r6(
+        trend.trends(fr.daily(spark, sf)), "TEMP_STD", "TEMP_MA_7D", "TEMP_MA_30D", "PRCP_MA_7D"
+    )
+
+
+@register("station_trends")
+def q_station_trends(spark, sf):
+    return r6(
+        trend.station_trends(fr.cleaned(spark, sf)), "TAVG", "TEMP_MA_7D", "TEMP_MA_30D", "PRCP_MA_7D"
+    )
+
+
+# ------------------------------------------------------------ F: sort / top-k
+
+
+@register("daily_query")
+def q_daily_query(spark, sf):
+    return query.daily_query(daily_r(spark, sf), "1996-01-01", "2000-12-31", 5000)
+
+
+@register("monthly_query")
+def q_monthly_query(spark, sf):
+    return query.monthly_query(fr.monthly(spark, sf))
+
+
+@register("seasonal_query")
+def q_seasonal_query(spark, sf):
+    return query.seasonal_query(fr.seasonal(spark, sf))
+
+
+@register("temperature_trend")
+def q_temperature_trend(spark, sf):
+    return query.temperature_trend(fr.daily(spark, sf))
+
+
+@register("last_n_days")
+def q_last_n_days(spark, sf):
+    return query.last_n_days(daily_r(spark, sf), 365)
+
+
+@register("rain_last_24_months")
+def q_rain_last_24_months(spark, sf):
+    return query.rain_last_24_months(fr.monthly(spark, sf))
+
+
+@register("preview_50")
+def q_preview_50(spark, sf):
+    return query.preview(fr.daily(spark, sf), 50)
+
+
+@register("monthly_series")
+def q_monthly_series(spark, sf):
+    return query.monthly_series(fr.monthly(spark, sf))
+
+
+# ---------------------------------------------------------------- G: reshape
+
+
+@register("month_year_grid")
+def q_month_year_grid(spark, sf):
+    return query.month_year_grid(fr.monthly(spark, sf))
+
+
+@register("seasonal_series")
+def q_seasonal_series(spark, sf):
+    return query.seasonal_series(fr.seasonal(spark, sf))
+
+
+@register("distinct_years")
+def q_distinct_years(spark, sf):
+    return query.distinct_years(fr.monthly(spark, sf))
+
+
+@register("aggregation_facts")
+def q_aggregation_facts(spark, sf):
+    return ledger.aggregation_facts(fr.enriched(spark, sf))
+
+
+# ------------------------------------------------------------------ H: ledger
+
+
+@register("record_transformation")
+def q_record_transformation(spark, sf):
+    return ledger.with_records_dropped(bindings.transformation_runs(spark, sf))
+
+
+@register("ingestion_stats")
+def q_ingestion_stats(spark, sf):
+    return ledger.ingestion_stats(bindings.ledger_runs(spark, sf))
+
+
+@register("ingestion_summary")
+def q_ingestion_summary(spark, sf):
+    return ledger.ingestion_summary(bindings.ledger_runs(spark, sf))
+
+
+@register("transformation_performance")
+def q_transformation_performance(spark, sf):
+    return ledger.transformation_performance(bindings.transformation_runs(spark, sf))
+
+
+@register("ledger_constraints")
+def q_ledger_constraints(spark, sf):
+    bad = ledger.ledger_constraints(bindings.transformation_runs(spark, sf), "transformation")
+    return bad.withColumn("violations", F.array_join("violations", ","))
+
+
+# ------------------------------------------------------- I: declared analyses
+
+
+@register("quality_checks")
+def q_quality_checks(spark, sf):
+    return ledger.quality_checks(fr.raw(spark, sf))
+
+
+@register("quality_score")
+def q_quality_score(spark, sf):
+    return ledger.quality_score(fr.raw(spark, sf))
+
+
+@register("period_window")
+def q_period_window(spark, sf):
+    return insight.period_window(fr.daily(spark, sf))
+
+
+@register("overall_mean")
+def q_overall_mean(spark, sf):
+    return insight.overall_mean(fr.enriched(spark, sf))
+
+
+@register("trend_slope")
+def q_trend_slope(spark, sf):
+    return trend.trend_slope(fr.daily(spark, sf))
+
+
+@register("extreme_months")
+def q_extreme_months(spark, sf):
+    return insight.extreme_months(fr.monthly(spark, sf))
+
+
+@register("wettest_season")
+def q_wettest_season(spark, sf):
+    return insight.wettest_season(fr.seasonal(spark, sf))
+
+
+@register("hottest_year")
+def q_hottest_year(spark, sf):
+    return insight.hottest_year(fr.yearly(spark, sf))
+
+
+@register("station_comparison")
+def q_station_comparison(spark, sf):
+    return insight.station_comparison(fr.enriched(spark, sf))
+
+
+@register("station_slopes")
+def q_station_slopes(spark, sf):
+    return trend.station_slopes(fr.cleaned(spark, sf))
+
+
+@register("hot_cold_days")
+def q_hot_cold_days(spark, sf):
+    return insight.hot_cold_days(fr.daily(spark, sf))
+
+
+@register("season_profile")
+def q_season_profile(spark, sf):
+    return insight.season_profile(fr.enriched(spark, sf))
+
+
+@register("seasonal_anomalies")
+def q_seasonal_anomalies(spark, sf):
+    return insight.seasonal_anomalies(fr.daily(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

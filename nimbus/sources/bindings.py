@@ -73,7 +73,7 @@ def ledger_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("status"),
         F.col("o_custkey").alias("records_count"),
         (F.col("o_orderkey") % 101).cast("double").alias("data_quality_score"),
-        F.col("o_orderdate").cast("timestamp").alias("ingestion_timestamp"),
+        F.col("o_orderdate").alias("ingestion_timestamp"),
     )
 
 
