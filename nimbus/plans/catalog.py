@@ -17,8 +17,11 @@ from nimbus.functions.calendar import format_day, format_month, month_label, sea
 from nimbus.functions.categories import rain_category, temp_category, temp_range
 from nimbus.functions.display import null_to_zero, round_display
 from nimbus.operators import aggregate, clean, dashboard, insight, ledger, query, trend
+from nimbus.plans import batch
 from nimbus.plans import frames as fr
-from nimbus.sources import bindings
+from nimbus.session import unique_scratch
+from nimbus.sources import bindings, files, payload
+from nimbus.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -462,5 +465,135 @@ def q_seasonal_anomalies(spark, sf):
     return insight.seasonal_anomalies(fr.daily(spark, sf))
 
 
+# ------------------------------------------------- A: sources and sinks
+
+
+def _raw_schema():
+    from pyspark.sql import types as T
+
+    strings = ["STATION", "STATION_NAME", "DATE"]
+    return T.StructType(
+        [T.StructField(c, T.StringType()) for c in strings]
+        + [T.StructField(c, T.DoubleType()) for c in ["TAVG", "TMAX", "TMIN", "PRCP", "RHUM", "AWND"]]
+    )
+
+
+@register("scan_csv")
+def q_scan_csv(spark, sf):
+    path = unique_scratch(spark, "csv")
+    files.sink_csv(fr.raw(spark, sf), path)
+    return files.scan_csv(spark, path, _raw_schema())
+
+
+@register("sink_csv")
+def q_sink_csv(spark, sf):
+    from pyspark.sql import types as T
+
+    path = unique_scratch(spark, "export")
+    files.export_daily_csv(fr.daily(spark, sf), path)
+    schema = T.StructType(
+        [T.StructField("Date", T.StringType())]
+        + [T.StructField(h, T.DoubleType()) for h in files.EXPORT_HEADER[1:]]
+    )
+    return files.scan_csv(spark, path, schema)
+
+
+@register("flatten_payload")
+def q_flatten_payload(spark, sf):
+    docs = payload.build_payloads(fr.station_day(spark, sf))
+    return payload.flatten_payload(payload.parse_payloads(docs))
+
+
+@register("land_raw_json")
+def q_land_raw_json(spark, sf):
+    path = unique_scratch(spark, "raw-json")
+    docs = payload.parse_payloads(payload.build_payloads(fr.station_day(spark, sf)))
+    files.land_raw_json(docs.select("doc.*"), path)
+    return payload.flatten_payload(files.scan_raw_json(spark, path))
+
+
+@register("enrich_station")
+def q_enrich_station(spark, sf):
+    locs = fr.raw(spark, sf).select(F.col("STATION_NAME").alias("location_name"))
+    return payload.enrich_station(locs)
+
+
+@register("sink_parquet")
+def q_sink_parquet(spark, sf):
+    path = unique_scratch(spark, "parquet")
+    files.sink_parquet(daily_r(spark, sf), path, ["YEAR", "MONTH"])
+    return spark.read.parquet(path)
+
+
+@register("scan_dataset")
+def q_scan_dataset(spark, sf):
+    root = unique_scratch(spark, "datasets")
+    files.save_all({"monthly": fr.monthly(spark, sf)}, root)
+    return files.scan_dataset(spark, root, "monthly")
+
+
+@register("save_all")
+def q_save_all(spark, sf):
+    root = unique_scratch(spark, "datasets")
+    return files.save_all(
+        {"daily": fr.daily(spark, sf), "monthly": fr.monthly(spark, sf), "seasonal": fr.seasonal(spark, sf)},
+        root,
+    )
+
+
+@register("list_datasets")
+def q_list_datasets(spark, sf):
+    root = unique_scratch(spark, "datasets")
+    files.save_all({"daily": fr.daily(spark, sf), "monthly": fr.monthly(spark, sf)}, root)
+    return files.list_datasets(spark, root)
+
+
+@register("dataset_info")
+def q_dataset_info(spark, sf):
+    root = unique_scratch(spark, "datasets")
+    files.save_all({"daily": fr.daily(spark, sf)}, root)
+    return files.dataset_info_frame(spark, root + "/daily")
+
+
+@register("latest_file")
+def q_latest_file(spark, sf):
+    path = unique_scratch(spark, "landing")
+    files.sink_csv(fr.raw(spark, sf).repartition(4), path)
+    return files.latest_file(spark, path, "*.csv")
+
+
+# --------------------------------------------------- J: re-aimed operators
+
+
+@register("resumable_ingest")
+def q_resumable_ingest(spark, sf):
+    landing = unique_scratch(spark, "landing")
+    sink = unique_scratch(spark, "ingested")
+    files.sink_csv(fr.raw(spark, sf), landing)
+    ingest.resumable_ingest(
+        spark, landing, sink, unique_scratch(spark, "ckpt"), schema=_raw_schema()
+    )
+    return spark.read.parquet(sink)
+
+
+@register("ingest_progress")
+def q_ingest_progress(spark, sf):
+    landing = unique_scratch(spark, "landing")
+    files.sink_csv(fr.raw(spark, sf).repartition(4), landing)
+    return ingest.resumable_ingest(
+        spark, landing, unique_scratch(spark, "ingested"), unique_scratch(spark, "ckpt"),
+        schema=_raw_schema(), max_files_per_trigger=1,
+    )
+
+
+@register("process_all")
+def q_process_all(spark, sf):
+    out = unique_scratch(spark, "batch")
+    batch.run_batch(spark, fr.raw(spark, sf), out, ledger_root=out + "/_ledger")
+    return aggregate.dataset_counts(
+        {name: spark.read.parquet(f"{out}/{name}") for name in ("daily", "monthly", "seasonal", "trends")}
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

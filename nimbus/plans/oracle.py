@@ -137,6 +137,12 @@ def _txt(x: str) -> str:
     return f"coalesce(printf('%.1f', round({x}, 1) + 0.0), '-')"
 
 
+_FLAT = """
+SELECT 'OPENMETEO_' || upper(STATION_NAME) AS STATION, STATION_NAME || ', Côte d''Azur, France' AS STATION_NAME,
+       CAST(DATE AS VARCHAR) AS DATE, CAST(NULL AS DOUBLE) AS LATITUDE, CAST(NULL AS DOUBLE) AS LONGITUDE,
+       0 AS ELEVATION, TMAX, TMIN, TAVG, PRCP, AWND, RHUM
+FROM station_day"""
+
 FINAL: dict[str, str] = {
     # B
     "dedup_rows": "SELECT * FROM obs_dedup",
@@ -413,6 +419,26 @@ st AS (SELECT SEASON, avg(TEMP_AVG) AS mu, stddev_samp(TEMP_AVG) AS sd FROM d GR
 SELECT d.DATE, d.SEASON, d.TEMP_AVG, round(mu, 6) AS SEASON_MEAN, round(sd, 6) AS SEASON_STD,
        round((d.TEMP_AVG - mu) / sd, 6) AS Z_SCORE
 FROM d JOIN st ON d.SEASON = st.SEASON WHERE sd > 0 AND abs((d.TEMP_AVG - mu) / sd) > 2.0""",
+    # A
+    "scan_csv": "SELECT * FROM obs_raw",
+    "sink_csv": """
+SELECT CAST(DATE AS VARCHAR) AS "Date", TEMP_AVG AS "Temp Moy", TEMP_MIN AS "Temp Min",
+       TEMP_MAX AS "Temp Max", PRECIPITATION_TOTAL AS "Précipitations", HUMIDITY_AVG AS "Humidité"
+FROM daily""",
+    "flatten_payload": _FLAT,
+    "land_raw_json": _FLAT,
+    "enrich_station": """
+SELECT STATION_NAME AS location_name, 'OPENMETEO_' || upper(STATION_NAME) AS STATION,
+       STATION_NAME || ', Côte d''Azur, France' AS STATION_NAME, 0 AS ELEVATION FROM obs_raw""",
+    "sink_parquet": _DR,
+    "scan_dataset": "SELECT * FROM monthly",
+    # J
+    "resumable_ingest": "SELECT * FROM obs_raw",
+    "process_all": """
+SELECT 'daily' AS DATASET, count(*) AS RECORDS FROM daily
+UNION ALL SELECT 'monthly', count(*) FROM monthly
+UNION ALL SELECT 'seasonal', count(*) FROM seasonal
+UNION ALL SELECT 'trends', count(*) FROM daily_dated""",
 }
 
 
