@@ -23,4 +23,4 @@ def round_display(x: Column, digits: int = 1) -> Column:
 
 def display_text(x: Column, digits: int = 1) -> Column:
     """Table cell text: fixed decimals, ``-`` for a missing value."""
-    return F.coalesce(F.format_string(f"%.{digits}f", F.round(x, digits)), F.lit("-"))
+    return F.when(x.isNull(), F.lit("-")).otherwise(F.format_string(f"%.{digits}f", F.round(x, digits)))

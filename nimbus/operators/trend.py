@@ -46,12 +46,26 @@ def row_positions(
     keys = list(keys)
     base = df.withColumn("_yr", F.year(F.col(order_col)))
     counts = base.groupBy(*keys, "_yr").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_yr").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.select(
-        *keys, "_yr", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
-    )
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("_yr").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        offsets = counts.select(
+            *keys, "_yr", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+        )
+    else:
+        # prefix sum over the per-year counts without a single-partition
+        # window: each year's count is added to every later year up to the
+        # last year (years^2 / 2 rows at most, a calendar-sized table)
+        last = counts.agg(F.max("_yr")).scalar()
+        fanned = counts.select(
+            F.explode(F.sequence(F.col("_yr") + 1, F.greatest(last, F.col("_yr") + 1))).alias("_yr"),
+            F.when(F.col("_yr") < last, F.col("_n")).otherwise(F.lit(0)).alias("_n"),
+        )
+        later = fanned.groupBy("_yr").agg(F.sum("_n").alias("_off"))
+        offsets = counts.join(later, "_yr", "left").select(
+            "_yr", F.coalesce(F.col("_off"), F.lit(0)).alias("_off")
+        )
     inside = Window.partitionBy(*keys, "_yr").orderBy(order_col)
     ranked = base.withColumn("_rn", F.row_number().over(inside))
     return (

@@ -117,7 +117,7 @@ ledger_runs AS (
 transformation_runs AS (
   SELECT o_orderpriority AS transformation_name, o_orderstatus AS transformation_type,
          o_custkey % 500 AS input_records, o_custkey % 400 AS output_records,
-         round(o_totalprice / 1000.0e0, 2) AS processing_time_seconds,
+         CAST(o_orderkey % 997 AS DOUBLE) / 100.0e0 AS processing_time_seconds,
          CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'RUNNING'
               ELSE 'FAILED' END AS status
   FROM orders)
@@ -134,7 +134,7 @@ def _label(y: str = "YEAR", m: str = "MONTH") -> str:
 
 
 def _txt(x: str) -> str:
-    return f"coalesce(printf('%.1f', round({x}, 1) + 0.0), '-')"
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE printf('%.1f', round({x}, 1) + 0.0) END"
 
 
 _FLAT = """
@@ -301,9 +301,9 @@ ff AS (
   UNION ALL SELECT 'SEASONAL', metric_name, CAST(YEAR AS VARCHAR) || '-' || SEASON, DATE, v FROM fl
   UNION ALL SELECT 'YEARLY', metric_name, CAST(YEAR AS VARCHAR), DATE, v FROM fl)
 SELECT aggregation_type, metric_name, period_key, min(DATE) AS period_start, max(DATE) AS period_end,
-       TRY_CAST(avg(v) AS DECIMAL(10, 2)) AS value_mean, TRY_CAST(min(v) AS DECIMAL(10, 2)) AS value_min,
-       TRY_CAST(max(v) AS DECIMAL(10, 2)) AS value_max,
-       TRY_CAST(stddev_samp(v) AS DECIMAL(10, 2)) AS value_std, count(v) AS value_count,
+       TRY_CAST(CAST(avg(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_mean, TRY_CAST(CAST(min(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_min,
+       TRY_CAST(CAST(max(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_max,
+       TRY_CAST(CAST(stddev_samp(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_std, count(v) AS value_count,
        CAST(NULL AS VARCHAR) AS location
 FROM ff GROUP BY aggregation_type, metric_name, period_key""",
     # H
@@ -356,11 +356,11 @@ ql AS (
 SELECT check_name, check_type, coalesce(CAST(failed AS DOUBLE) / NULLIF(total, 0) <= 0.05, true) AS passed,
        CAST(total AS BIGINT) AS total_records, CAST(failed AS BIGINT) AS failed_records,
        CAST(5.0 AS DECIMAL(10, 2)) AS threshold_value,
-       TRY_CAST(coalesce(CAST(failed AS DOUBLE) / NULLIF(total, 0) * 100.0e0, 0.0e0) AS DECIMAL(10, 2)) AS actual_value
+       TRY_CAST(CAST(coalesce(CAST(failed AS DOUBLE) / NULLIF(total, 0) * 100.0e0, 0.0e0) AS VARCHAR) AS DECIMAL(10, 2)) AS actual_value
 FROM ql""",
     "quality_score": """
 SELECT initial AS records_count, final AS records_valid, initial - final AS records_invalid,
-       TRY_CAST(CASE WHEN initial > 0 THEN final / initial * 100.0e0 ELSE 0.0e0 END AS DECIMAL(5, 2))
+       TRY_CAST(CAST(CASE WHEN initial > 0 THEN final / initial * 100.0e0 ELSE 0.0e0 END AS VARCHAR) AS DECIMAL(5, 2))
        AS data_quality_score
 FROM (SELECT (SELECT count(*) FROM obs_raw) AS initial, (SELECT count(*) FROM obs_clean) AS final)""",
     "period_window": """

@@ -89,7 +89,7 @@ def transformation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("transformation_type"),
         (F.col("o_custkey") % 500).alias("input_records"),
         (F.col("o_custkey") % 400).alias("output_records"),
-        F.round(F.col("o_totalprice") / 1000.0, 2).alias("processing_time_seconds"),
+        ((F.col("o_orderkey") % 997).cast("double") / 100.0).alias("processing_time_seconds"),
         F.when(F.col("o_orderstatus") == "F", "SUCCESS")
         .when(F.col("o_orderstatus") == "O", "RUNNING")
         .otherwise("FAILED")
