@@ -90,7 +90,32 @@ def record_transformation(
     status: str = "SUCCESS",
 ) -> DataFrame:
     """Append one transformation row; records_dropped = max(in - out, 0)."""
-    row = (
+    return record_transformations(
+        spark, path,
+        [transformation_row(name, input_records, output_records, processing_time,
+                            output_path, config, ingestion_id, kind, status)],
+    )
+
+
+def record_transformations(spark: SparkSession, path: str, rows: list[tuple]) -> DataFrame:
+    """Append several transformation rows with one check and one write."""
+    df = spark.createDataFrame(rows, TRANSFORMATION_LEDGER)
+    append_checked(df, path, "transformation")
+    return df
+
+
+def transformation_row(
+    name: str,
+    input_records: int,
+    output_records: int,
+    processing_time: float | None = None,
+    output_path: str | None = None,
+    config: dict | None = None,
+    ingestion_id: str | None = None,
+    kind: str = "AGGREGATION",
+    status: str = "SUCCESS",
+) -> tuple:
+    return (
         str(uuid.uuid4()),
         ingestion_id,
         name,
@@ -104,9 +129,6 @@ def record_transformation(
         status,
         dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
     )
-    df = spark.createDataFrame([row], TRANSFORMATION_LEDGER)
-    append_checked(df, path, "transformation")
-    return df
 
 
 def with_records_dropped(runs: DataFrame) -> DataFrame:

@@ -70,18 +70,23 @@ def run_batch(
 
     if ledger_root:
         n_raw = int(raw_rows.get.get("n", 0))
-        path = os.path.join(ledger_root, "spark_transformations")
-        ledger.record_transformation(
-            spark, path, "clean", n_raw, clean_meta["record_count"], clean_time,
-            clean_meta["output_path"], {"rules": rules.__dict__}, kind="CLEANING",
-        )
+        rows = [
+            ledger.transformation_row(
+                "clean", n_raw, clean_meta["record_count"], clean_time,
+                clean_meta["output_path"], {"rules": rules.__dict__}, kind="CLEANING",
+            )
+        ]
         written = {r["dataset_name"]: r for r in all_results.collect()}  # 4 rows
         for name, r in written.items():
             if r["error"] is not None:
                 continue
             source = written["daily"]["record_count"] if name == "trends" else clean_meta["record_count"]
-            ledger.record_transformation(
-                spark, path, name, source, r["record_count"], r["duration_seconds"],
-                r["output_path"],
+            rows.append(
+                ledger.transformation_row(
+                    name, source, r["record_count"], r["duration_seconds"], r["output_path"]
+                )
             )
+        ledger.record_transformations(
+            spark, os.path.join(ledger_root, "spark_transformations"), rows
+        )
     return all_results

@@ -103,12 +103,11 @@ def sink_parquet(
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     duration = time.time() - started
-    info = dataset_info(spark, path)
     return {
         "dataset_name": os.path.basename(path.rstrip("/")),
         "output_path": path,
         "record_count": int(obs.get.get("rows", 0)),
-        "size_mb": info["size_mb"],
+        "size_mb": round(_bytes_under(spark, path) / (1024.0 * 1024.0), 2),
         "partitioned_by": list(partition_by or []),
         "compression": compression,
         "mode": mode,
@@ -136,22 +135,34 @@ def save_all(
     root: str,
     partitioning: dict[str, list[str]] | None = None,
     mode: str = "overwrite",
+    parallel: bool = True,
 ) -> DataFrame:
     """Write several datasets under ``root``; one failure does not stop the rest.
 
+    The writes are independent jobs; with ``parallel`` they are submitted
+    from separate driver threads so the cluster runs them side by side.
     Returns one result row per dataset (the error text for a failed one).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     parts = DEFAULT_PARTITIONING if partitioning is None else partitioning
-    results = []
-    spark = None
-    for name, df in frames.items():
-        spark = df.sparkSession
+    spark = next(iter(frames.values())).sparkSession
+
+    def write(item):
+        name, df = item
         cols = [c for c in parts.get(name, []) if c in df.columns]
         try:
             meta = sink_parquet(df, os.path.join(root, name), cols or None, mode)
-            results.append((*[meta[f.name] for f in SAVE_RESULT.fields[:-1]], None))
+            return (*[meta[f.name] for f in SAVE_RESULT.fields[:-1]], None)
         except Exception as exc:  # noqa: BLE001 - recorded in the result row
-            results.append((name, os.path.join(root, name), None, None, cols, None, mode, None, str(exc)[:500]))
+            return (name, os.path.join(root, name), None, None, cols, None, mode, None, str(exc)[:500])
+
+    items = list(frames.items())
+    if parallel and len(items) > 1:
+        with ThreadPoolExecutor(max_workers=len(items)) as pool:
+            results = list(pool.map(write, items))
+    else:
+        results = [write(i) for i in items]
     return spark.createDataFrame(results, SAVE_RESULT)
 
 
@@ -177,6 +188,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def _bytes_under(spark: SparkSession, path: str) -> int:
+    """Total bytes below a path, from the file system's metadata (no job)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())
+
+
 def _listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
