@@ -76,6 +76,26 @@ def record_ingestion(
     return df
 
 
+def append_ingestions(runs: DataFrame, path: str) -> DataFrame:
+    """Append many ingestion rows (any subset of the ledger columns) at once.
+
+    Missing columns become null, ids are generated per row on the executors,
+    and the rows are checked against the ledger constraints before the append.
+    """
+    present = set(runs.columns)
+    cols = []
+    for f in INGESTION_LEDGER.fields:
+        if f.name == "ingestion_id" and f.name not in present:
+            cols.append(F.expr("uuid()").alias(f.name))
+        elif f.name in present:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    rows = runs.select(*cols)
+    append_checked(rows, path, "ingestion")
+    return rows
+
+
 def record_transformation(
     spark: SparkSession,
     path: str,

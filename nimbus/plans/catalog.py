@@ -371,6 +371,17 @@ def q_aggregation_facts(spark, sf):
 # ------------------------------------------------------------------ H: ledger
 
 
+@register("record_ingestion")
+def q_record_ingestion(spark, sf):
+    path = unique_scratch(spark, "ingestion-ledger")
+    runs = bindings.ledger_runs(spark, sf).withColumn("source_name", F.lit("orders"))
+    ledger.append_ingestions(runs, path)
+    return spark.read.parquet(path).select(
+        "source_type", "source_name", "status", "records_count", "data_quality_score",
+        "ingestion_timestamp",
+    )
+
+
 @register("record_transformation")
 def q_record_transformation(spark, sf):
     return ledger.with_records_dropped(bindings.transformation_runs(spark, sf))

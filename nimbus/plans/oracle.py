@@ -307,6 +307,10 @@ SELECT aggregation_type, metric_name, period_key, min(DATE) AS period_start, max
        CAST(NULL AS VARCHAR) AS location
 FROM ff GROUP BY aggregation_type, metric_name, period_key""",
     # H
+    "record_ingestion": """
+SELECT source_type, 'orders' AS source_name, status, records_count,
+       TRY_CAST(CAST(data_quality_score AS VARCHAR) AS DECIMAL(5, 2)) AS data_quality_score,
+       ingestion_timestamp FROM ledger_runs""",
     "record_transformation": """
 SELECT *, greatest(input_records - output_records, 0) AS records_dropped FROM transformation_runs""",
     "ingestion_stats": """

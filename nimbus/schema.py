@@ -87,7 +87,7 @@ DEFAULT_RULES = ValidationRules()
 INGESTION_LEDGER = T.StructType(
     [
         T.StructField("ingestion_id", T.StringType()),
-        T.StructField("ingestion_timestamp", T.TimestampType()),
+        T.StructField("ingestion_timestamp", T.TimestampNTZType()),
         T.StructField("source_type", T.StringType()),
         T.StructField("source_name", T.StringType()),
         T.StructField("source_path", T.StringType()),
@@ -118,7 +118,7 @@ TRANSFORMATION_LEDGER = T.StructType(
         T.StructField("config", T.StringType()),
         T.StructField("output_path", T.StringType()),
         T.StructField("status", T.StringType()),
-        T.StructField("started_at", T.TimestampType()),
+        T.StructField("started_at", T.TimestampNTZType()),
     ]
 )
 
