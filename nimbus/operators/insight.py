@@ -15,6 +15,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbus.session import cut_lineage
+
 # Analysis periods of the reference configuration (days back
 # from the anchor; None = all time).
 PERIODS = {
@@ -26,13 +28,21 @@ PERIODS = {
 }
 
 
-def period_window(daily: DataFrame, periods: Mapping[str, int | None] = PERIODS) -> DataFrame:
+def period_window(
+    daily: DataFrame, periods: Mapping[str, int | None] = PERIODS, materialize: bool = True
+) -> DataFrame:
     """Days, first/last date, mean temperature and total rain per period.
 
     The anchor (latest date) is a scalar subquery; every dated row is fanned
-    out to the periods containing it and one grouped aggregate follows.
+    out to the periods containing it and one grouped aggregate follows. The
+    daily rows feed both, so they are checkpointed once unless the caller
+    read them from storage (``materialize=False``).
     """
-    dated = daily.filter(F.col("DATE").isNotNull())
+    dated = daily.filter(F.col("DATE").isNotNull()).select(
+        "DATE", "TEMP_AVG", "PRECIPITATION_TOTAL"
+    )
+    if materialize:
+        dated = cut_lineage(dated)
     anchor = dated.agg(F.max("DATE")).scalar()
     member = [
         F.when(F.lit(True) if n is None else F.col("DATE") > F.date_sub(anchor, n), F.lit(name))

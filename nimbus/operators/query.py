@@ -99,13 +99,17 @@ def monthly_series(monthly: DataFrame) -> DataFrame:
 def month_year_grid(monthly: DataFrame, value: str = "TEMP_AVG") -> DataFrame:
     """Long form of the month x year grid: 12 rows per year, null where absent.
 
-    The grid is generated from the distinct years (a 12-way explode of a
-    per-year row), then left-joined to the monthly values on (YEAR, MONTH).
+    One pass: the (at most 12) months of each year are gathered into a
+    month -> value map, then every year is expanded to months 1..12 and each
+    cell looked up in its year's map. No join, the input is read once.
     """
-    years = monthly.select("YEAR").filter(F.col("YEAR").isNotNull()).distinct()
-    grid = years.select("YEAR", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("MONTH"))
-    vals = monthly.select("YEAR", "MONTH", value).filter(F.col("YEAR").isNotNull())
-    return grid.join(vals, ["YEAR", "MONTH"], "left").select("MONTH", "YEAR", value)
+    per_year = (
+        monthly.filter(F.col("YEAR").isNotNull() & F.col("MONTH").isNotNull())
+        .groupBy("YEAR")
+        .agg(F.map_from_entries(F.collect_list(F.struct("MONTH", value))).alias("_m"))
+    )
+    cells = per_year.select("YEAR", "_m", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("MONTH"))
+    return cells.select("MONTH", "YEAR", F.try_element_at("_m", F.col("MONTH")).alias(value))
 
 
 def month_year_grid_wide(monthly: DataFrame, years: Sequence[int], value: str = "TEMP_AVG"):

@@ -25,6 +25,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbus.session import cut_lineage
+
 # name -> (source column, frame width in rows) of the daily trend columns
 DAILY_SPECS = {
     "TEMP_MA_7D": ("TEMP_AVG", 7),
@@ -81,14 +83,20 @@ def moving_averages(
     order_col: str = "DATE",
     keys: Sequence[str] = (),
     block_rows: int = 4096,
+    materialize: bool = True,
 ) -> DataFrame:
     """Append one moving-average column per spec (rows frame, nulls skipped).
 
     ``df`` must be unique on (keys, order_col) with a non-null order column.
+    The input is read by several branches (year counts, ranks, halo copies),
+    so unless ``materialize`` is off (input already read from storage) it is
+    checkpointed once first.
     """
     specs = {n: (c, w) for n, (c, w) in specs.items() if c in df.columns}
     if not specs:
         return df
+    if materialize:
+        df = cut_lineage(df)
     keys = list(keys)
     halo = max(w for _, w in specs.values()) - 1
     block = max(block_rows, halo + 1)
@@ -111,14 +119,20 @@ def moving_averages(
     return out.select(*df.columns, *avgs.keys())
 
 
-def trends(daily: DataFrame, specs: Mapping[str, tuple[str, int]] = DAILY_SPECS) -> DataFrame:
+def trends(
+    daily: DataFrame,
+    specs: Mapping[str, tuple[str, int]] = DAILY_SPECS,
+    materialize: bool = True,
+) -> DataFrame:
     """Daily frame (dated rows only) plus its 7/30-row temperature and 7-row rain averages."""
     dated = daily.filter(F.col("DATE").isNotNull())
-    return moving_averages(dated, specs, "DATE")
+    return moving_averages(dated, specs, "DATE", materialize=materialize)
 
 
 def station_trends(
-    rows: DataFrame, specs: Mapping[str, tuple[str, int]] = STATION_SPECS
+    rows: DataFrame,
+    specs: Mapping[str, tuple[str, int]] = STATION_SPECS,
+    materialize: bool = True,
 ) -> DataFrame:
     """Per-station moving averages on observation rows.
 
@@ -130,7 +144,7 @@ def station_trends(
         .groupBy("STATION", "DATE")
         .agg(F.avg("TAVG").alias("TAVG"), F.sum("PRCP").alias("PRCP"))
     )
-    return moving_averages(per_day, specs, "DATE", keys=["STATION"])
+    return moving_averages(per_day, specs, "DATE", keys=["STATION"], materialize=materialize)
 
 
 def trend_slope(daily: DataFrame, col: str = "TEMP_AVG", digits: int = 9) -> DataFrame:

@@ -65,7 +65,9 @@ def run_batch(
         out_root,
     )
     daily_stored = spark.read.parquet(os.path.join(out_root, "daily"))
-    trend_results = files.save_all({"trends": trend.trends(daily_stored)}, out_root)
+    trend_results = files.save_all(
+        {"trends": trend.trends(daily_stored, materialize=False)}, out_root
+    )
     all_results = results.unionByName(trend_results)
 
     if ledger_root:

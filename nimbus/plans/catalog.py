@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from nimbus.functions.calendar import format_day, format_month, month_label, season
 from nimbus.functions.categories import rain_category, temp_category, temp_range
 from nimbus.functions.display import null_to_zero, round_display
-from nimbus.operators import aggregate, clean, dashboard, insight, ledger, query, trend
+from nimbus.operators import aggregate, clean, dashboard, enrich, insight, ledger, query, trend
 from nimbus.plans import batch
 from nimbus.plans import frames as fr
-from nimbus.session import unique_scratch
+from nimbus.session import cut_lineage, unique_scratch
 from nimbus.sources import bindings, files, payload
 from nimbus.streaming import ingest
 
@@ -254,15 +254,19 @@ def q_histogram(spark, sf):
 
 @register("dataset_counts")
 def q_dataset_counts(spark, sf):
+    # the cleaned rows feed every later stage: materialize them once
+    cleaned = cut_lineage(fr.cleaned(spark, sf))
+    enriched = enrich.enrich(cleaned)
+    daily = cut_lineage(aggregate.daily(enriched))
     return aggregate.dataset_counts(
         {
             "raw": fr.raw(spark, sf),
-            "clean": fr.cleaned(spark, sf),
-            "enriched": fr.enriched(spark, sf),
-            "daily": fr.daily(spark, sf),
-            "monthly": fr.monthly(spark, sf),
-            "seasonal": fr.seasonal(spark, sf),
-            "trends": trend.trends(fr.daily(spark, sf)),
+            "clean": cleaned,
+            "enriched": enriched,
+            "daily": daily,
+            "monthly": aggregate.monthly(enriched),
+            "seasonal": aggregate.seasonal(enriched),
+            "trends": trend.trends(daily, materialize=False),
         }
     )
 

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -81,3 +81,17 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
 def unique_scratch(spark: SparkSession, label: str) -> str:
     """A new, never reused sub-folder of the scratch folder."""
     return scratch_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialize a frame once in the shared checkpoint folder.
+
+    For frames that several branches of one plan read (positions and blocks
+    of a moving average, an anchor and the rows it filters): without it each
+    branch would recompute the frame from the source, because column pruning
+    makes the branches' shuffles differ and Spark cannot reuse them. The
+    checkpoint is reliable (shared storage), so a lost executor costs a
+    re-read, never a recomputation from scratch.
+    """
+    scratch_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
