@@ -16,7 +16,18 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One driver table.
+
+    A small file has fewer Parquet row groups (scan splits) than the session
+    has cores; such a scan is spread over all cores by a round-robin exchange
+    so the per-row work after it is not stuck on a few tasks. Inputs large
+    enough to have as many splits as cores are left as scanned.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def _s(x: Column) -> Column:
