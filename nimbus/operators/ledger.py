@@ -263,44 +263,66 @@ METRICS = {"TAVG": "temperature", "RHUM": "humidity", "PRCP": "precipitation", "
 def aggregation_facts(enriched: DataFrame, location: str | None = None) -> DataFrame:
     """Long table of (type, metric, period) statistics as Decimal(10,2).
 
-    One scan: each dated row is unpivoted to one row per metric and fanned out
-    to its DAILY, MONTHLY, SEASONAL and YEARLY period keys (an Expand feeding
-    the partial aggregate), then one grouped aggregation.
+    One scan: each dated row is unpivoted to one row per metric and fanned
+    out to its DAILY, MONTHLY, SEASONAL and YEARLY period (an Expand feeding
+    the partial aggregate), then one grouped aggregation. Per row only
+    integer codes are produced (type, metric, period number); names and period
+    labels are attached after the aggregation, on the small result.
     """
-    metrics = {c: m for c, m in METRICS.items() if c in enriched.columns}
-    dated = enriched.filter(F.col("DATE").isNotNull())
-    long = dated.select(
-        "DATE",
-        "YEAR",
-        "MONTH",
-        "SEASON",
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("v")) for c, m in metrics.items()])
-        ).alias("_m"),
+    from nimbus.functions.calendar import SEASONS
+
+    metrics = [(c, m) for c, m in METRICS.items() if c in enriched.columns]
+    types = ["DAILY", "MONTHLY", "SEASONAL", "YEARLY"]
+    month = F.col("MONTH")
+    season_idx = (
+        F.when(month.between(3, 5), 1).when(month.between(6, 8), 2)
+        .when(month.between(9, 11), 3).otherwise(0)
     )
     periods = F.array(
-        F.struct(F.lit("DAILY").alias("t"), F.col("DATE").cast("string").alias("k")),
-        F.struct(F.lit("MONTHLY").alias("t"), F.format_string("%04d-%02d", "YEAR", "MONTH").alias("k")),
-        F.struct(F.lit("SEASONAL").alias("t"), F.concat_ws("-", F.col("YEAR").cast("string"), "SEASON").alias("k")),
-        F.struct(F.lit("YEARLY").alias("t"), F.col("YEAR").cast("string").alias("k")),
+        F.struct(F.lit(0).alias("t"), F.unix_date("DATE").alias("k")),
+        F.struct(F.lit(1).alias("t"), (F.col("YEAR") * 100 + month).alias("k")),
+        F.struct(F.lit(2).alias("t"), (F.col("YEAR") * 10 + season_idx).alias("k")),
+        F.struct(F.lit(3).alias("t"), F.col("YEAR").alias("k")),
+    )
+    values = F.array(
+        *[F.struct(F.lit(i).alias("m"), F.col(c).alias("v")) for i, (c, _) in enumerate(metrics)]
     )
-    fanned = long.select(
-        "DATE", F.col("_m.metric").alias("metric_name"), F.col("_m.v").alias("v"),
-        F.explode(periods).alias("_p"),
+    fanned = (
+        enriched.filter(F.col("DATE").isNotNull())
+        .select("DATE", F.explode(values).alias("_m"), periods.alias("_ps"))
+        .select("DATE", "_m.m", "_m.v", F.explode("_ps").alias("_p"))
+        .select("DATE", "m", "v", F.col("_p.t").alias("t"), F.col("_p.k").alias("k"))
     )
     d = lambda x: x.try_cast("decimal(10,2)")
-    return (
-        fanned.groupBy(F.col("_p.t").alias("aggregation_type"), "metric_name", F.col("_p.k").alias("period_key"))
-        .agg(
-            F.min("DATE").alias("period_start"),
-            F.max("DATE").alias("period_end"),
-            d(F.avg("v")).alias("value_mean"),
-            d(F.min("v")).alias("value_min"),
-            d(F.max("v")).alias("value_max"),
-            d(F.stddev_samp("v")).alias("value_std"),
-            F.count("v").alias("value_count"),
-        )
-        .withColumn("location", F.lit(location).cast("string"))
+    stats = fanned.groupBy("t", "m", "k").agg(
+        F.min("DATE").alias("period_start"),
+        F.max("DATE").alias("period_end"),
+        d(F.avg("v")).alias("value_mean"),
+        d(F.min("v")).alias("value_min"),
+        d(F.max("v")).alias("value_max"),
+        d(F.stddev_samp("v")).alias("value_std"),
+        F.count("v").alias("value_count"),
+    )
+    name_of = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), i + 1)
+    k = F.col("k")
+    label = (
+        F.when(F.col("t") == 0, F.date_format(F.date_from_unix_date(k), "yyyy-MM-dd"))
+        .when(F.col("t") == 1, F.format_string("%04d-%02d", F.floor(k / 100), k % 100))
+        .when(F.col("t") == 2, F.concat_ws("-", F.floor(k / 10).cast("string"), name_of(SEASONS, k % 10)))
+        .otherwise(k.cast("string"))
+    )
+    return stats.select(
+        name_of(types, F.col("t")).alias("aggregation_type"),
+        name_of([m for _, m in metrics], F.col("m")).alias("metric_name"),
+        label.alias("period_key"),
+        "period_start",
+        "period_end",
+        "value_mean",
+        "value_min",
+        "value_max",
+        "value_std",
+        "value_count",
+        F.lit(location).cast("string").alias("location"),
     )
 
 

@@ -91,9 +91,14 @@ def sink_parquet(
 
     The row count is an observed metric of the write itself (no second job),
     and ``overwrite`` of a partitioned dataset replaces only the partitions
-    present in the new data (dynamic partition overwrite).
+    present in the new data (dynamic partition overwrite). Before a
+    partitioned write the rows are rebalanced on the partition columns (AQE
+    splits a hot partition and merges small ones), so each folder gets a few
+    files of sensible size instead of one file per task.
     """
     spark = df.sparkSession
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     obs = Observation(f"written_{os.path.basename(path.rstrip('/'))}_{time.time_ns()}")
     started = time.time()
     writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode)
