@@ -130,13 +130,13 @@ def histogram(
     value on an edge that rounding places in two bins (or none) is counted
     the same way the edge arithmetic decides.
 
-    The minimum and maximum are scalar subqueries (one global aggregate,
-    evaluated once and inlined as literals), so the binning itself is a
-    narrow projection followed by a partial/final aggregation on 20 keys.
+    The minimum and maximum come from one scalar subquery (a global
+    aggregate evaluated once and inlined as a literal), so the binning itself
+    is a narrow projection followed by a partial/final aggregation on 20 keys.
     """
     values = daily.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
-    lo = values.agg(F.min("_v")).scalar()
-    hi = values.agg(F.max("_v")).scalar()
+    bounds = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     start_of = lambda b: lo + b.cast("double") * width
     guess = F.when(width > 0, F.floor((F.col("_v") - lo) / width).cast("int"))

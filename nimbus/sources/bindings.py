@@ -23,13 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     so the per-row work after it is not stuck on a few tasks. Inputs large
     enough to have as many splits as cores are left as scanned.
     """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    key = (path, os.path.getmtime(path) if os.path.exists(path) else None)
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    if _SPLITS[key] < cores:
         df = df.repartition(cores)
     return df
 
 
+# scan splits per (file, modification time): planning a scan to count its
+# splits costs a listing and a plan, so it is done once per file
+_SPLITS: dict = {}
+
+
 def _s(x: Column) -> Column:
     return x.cast("string")
 
