@@ -118,6 +118,19 @@ def statistics_nested(daily: DataFrame, digits: int | None = 6) -> DataFrame:
     )
 
 
+def statistics_cards(daily: DataFrame) -> DataFrame:
+    """The four summary cards as display text: mean temperature and humidity
+    with one decimal, total rain with none, number of daily rows."""
+    st = statistics(daily, None)
+    text = lambda c, d: F.format_string(f"%.{d}f", F.round(F.col(c), d))
+    return st.select(
+        text("temperature_mean", 1).alias("avg_temp"),
+        text("precipitation_total", 0).alias("total_precip"),
+        text("humidity_mean", 1).alias("avg_humidity"),
+        F.col("period_total_days").cast("string").alias("total_days"),
+    )
+
+
 def histogram(
     daily: DataFrame, col: str = "TEMP_AVG", bins: int = 20, include_max: bool = False
 ) -> DataFrame:

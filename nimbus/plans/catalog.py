@@ -247,6 +247,11 @@ def q_statistics(spark, sf):
     )
 
 
+@register("statistics_cards")
+def q_statistics_cards(spark, sf):
+    return dashboard.statistics_cards(fr.daily(spark, sf))
+
+
 @register("histogram")
 def q_histogram(spark, sf):
     return r6(dashboard.histogram(fr.daily(spark, sf)), "BIN_START")

@@ -213,6 +213,11 @@ SELECT round(coalesce(avg(TEMP_AVG), 0), 6) AS temperature_mean,
        coalesce(min(HUMIDITY_AVG), 0) AS humidity_min, coalesce(max(HUMIDITY_AVG), 0) AS humidity_max,
        strftime(min(DATE), '%Y-%m-%d') AS period_start, strftime(max(DATE), '%Y-%m-%d') AS period_end,
        count(*) AS period_total_days FROM daily""",
+    "statistics_cards": """
+SELECT printf('%.1f', round(coalesce(avg(TEMP_AVG), 0), 1) + 0.0) AS avg_temp,
+       printf('%.0f', round(coalesce(sum(PRECIPITATION_TOTAL), 0), 0) + 0.0) AS total_precip,
+       printf('%.1f', round(coalesce(avg(HUMIDITY_AVG), 0), 1) + 0.0) AS avg_humidity,
+       CAST(count(*) AS VARCHAR) AS total_days FROM daily""",
     "histogram": """
 , hv AS (SELECT TEMP_AVG AS v FROM daily WHERE TEMP_AVG IS NOT NULL),
 hb AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20.0e0 AS w FROM hv),
