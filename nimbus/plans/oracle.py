@@ -441,8 +441,17 @@ SELECT STATION_NAME AS location_name, 'OPENMETEO_' || upper(STATION_NAME) AS STA
        STATION_NAME || ', Côte d''Azur, France' AS STATION_NAME, 0 AS ELEVATION FROM obs_raw""",
     "sink_parquet": _DR,
     "scan_dataset": "SELECT * FROM monthly",
+    "save_all": """
+SELECT 'daily' AS dataset_name, count(*) AS record_count, 'YEAR,MONTH' AS partitioned_by,
+       'snappy' AS compression, 'overwrite' AS mode, CAST(NULL AS VARCHAR) AS error FROM daily
+UNION ALL SELECT 'monthly', count(*), 'YEAR', 'snappy', 'overwrite', NULL FROM monthly
+UNION ALL SELECT 'seasonal', count(*), '', 'snappy', 'overwrite', NULL FROM seasonal""",
     # J
     "resumable_ingest": "SELECT * FROM obs_raw",
+    "ingest_progress": """
+SELECT CAST(4 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(*) FILTER (WHERE DATE IS NULL OR TRY_CAST(DATE AS DATE) IS NULL) AS BIGINT) AS failed_rows,
+       CAST(count(*) AS BIGINT) AS cumulative_rows FROM obs_raw""",
     "process_all": """
 SELECT 'daily' AS DATASET, count(*) AS RECORDS FROM daily
 UNION ALL SELECT 'monthly', count(*) FROM monthly
