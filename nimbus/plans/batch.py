@@ -92,3 +92,21 @@ def run_batch(
             spark, os.path.join(ledger_root, "spark_transformations"), rows
         )
     return all_results
+
+
+def process_latest(
+    spark: SparkSession,
+    landing: str,
+    out_root: str,
+    ledger_root: str | None = None,
+    schema=None,
+    rules: ValidationRules = DEFAULT_RULES,
+) -> DataFrame:
+    """Run the batch on the newest landed CSV file of ``landing``."""
+    from nimbus.schema import OBSERVATION
+
+    latest = files.latest_file(spark, landing, "*.csv").first()
+    if latest is None or latest["path"] is None:
+        raise FileNotFoundError(f"no CSV file under {landing}")
+    raw = files.scan_csv(spark, latest["path"], schema or OBSERVATION)
+    return run_batch(spark, raw, out_root, ledger_root, rules)

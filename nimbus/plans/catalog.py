@@ -618,6 +618,16 @@ def q_ingest_progress(spark, sf):
     )
 
 
+@register("ingest_payloads")
+def q_ingest_payloads(spark, sf):
+    landing = unique_scratch(spark, "payload-landing")
+    docs = payload.parse_payloads(payload.build_payloads(fr.station_day(spark, sf)))
+    files.land_raw_json(docs.select("doc.*"), landing)
+    sink = unique_scratch(spark, "payload-rows")
+    ingest.ingest_payloads(spark, landing, sink, unique_scratch(spark, "ckpt"))
+    return spark.read.parquet(sink)
+
+
 @register("process_all")
 def q_process_all(spark, sf):
     out = unique_scratch(spark, "batch")

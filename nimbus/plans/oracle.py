@@ -448,6 +448,7 @@ UNION ALL SELECT 'monthly', count(*), 'YEAR', 'snappy', 'overwrite', NULL FROM m
 UNION ALL SELECT 'seasonal', count(*), '', 'snappy', 'overwrite', NULL FROM seasonal""",
     # J
     "resumable_ingest": "SELECT * FROM obs_raw",
+    "ingest_payloads": _FLAT,
     "ingest_progress": """
 SELECT CAST(4 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS rows,
        CAST(count(*) FILTER (WHERE DATE IS NULL OR TRY_CAST(DATE AS DATE) IS NULL) AS BIGINT) AS failed_rows,

@@ -77,6 +77,43 @@ def resumable_ingest(
     return ingest_progress(spark, query.recentProgress, name)
 
 
+def ingest_payloads(
+    spark: SparkSession,
+    landing: str,
+    sink: str,
+    checkpoint: str | None = None,
+    name: str = "payloads",
+) -> DataFrame:
+    """Flatten every not-yet-ingested landed payload document into the sink.
+
+    Landed documents are JSON files (one document per line, as written by
+    ``land_raw_json``); each micro-batch is flattened with the same narrow
+    ``posexplode`` as the batch path and appended as observation rows.
+    """
+    from nimbus.schema import PAYLOAD
+    from nimbus.sources.payload import flatten_payload
+
+    ckpt = checkpoint or scratch_dir(spark, "checkpoints", name)
+    fields = [f for f in PAYLOAD.fields if f.name != "location_name"]
+    schema = T.StructType(fields + [T.StructField("location_name", T.StringType())])
+    docs = spark.readStream.schema(schema).json(landing)
+    rows = flatten_payload(docs.select(F.struct(*[F.col(f.name) for f in PAYLOAD.fields]).alias("doc")))
+    invalid = F.col("DATE").isNull() | F.try_to_date(F.col("DATE")).isNull()
+    observed = rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(invalid).alias("failed"))
+    query = (
+        observed.writeStream.format("parquet")
+        .option("checkpointLocation", ckpt)
+        .option("path", sink)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return ingest_progress(spark, query.recentProgress, name)
+
+
 def ingest_progress(spark: SparkSession, progress: list, name: str = "ingest") -> DataFrame:
     """Progress reports -> (batch, rows, failed rows, rows/s, cumulative rows)."""
     rows = []

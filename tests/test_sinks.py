@@ -64,3 +64,18 @@ def test_run_batch_writes_and_records(spark, sf_dir):
     assert led.filter(F.col("output_records") > F.col("input_records")).count() == 0
     frames = batch.process_all(fr.raw(spark, sf_dir))
     assert list(frames) == ["raw", "clean", "enriched", "daily", "monthly", "seasonal", "trends"]
+
+
+def test_process_latest_uses_newest_csv(spark, sf_dir):
+    import time as _t
+
+    from nimbus.plans.catalog import _raw_schema
+
+    landing = unique_scratch(spark, "landing")
+    raw = fr.raw(spark, sf_dir)
+    files.sink_csv(raw.limit(100).coalesce(1), landing + "/old")
+    _t.sleep(1.1)
+    files.sink_csv(raw.coalesce(1), landing + "/new")
+    out = unique_scratch(spark, "out")
+    res = {r.dataset_name: r for r in batch.process_latest(spark, landing, out, schema=_raw_schema()).collect()}
+    assert res["daily"].record_count == fr.daily(spark, sf_dir).count()
