@@ -187,18 +187,22 @@ def scan_dataset(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    """Whether a path exists (resolving a file listing; no job runs)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return True
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            return False
+        raise
 
 
 def _bytes_under(spark: SparkSession, path: str) -> int:
-    """Total bytes below a path, from the file system's metadata (no job)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(hpath).getLength())
+    """Total bytes of the files below a path (one listing aggregate)."""
+    total = _listing(spark, path).agg(F.sum("length")).first()[0]
+    return int(total or 0)
 
 
 def _listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
