@@ -41,6 +41,16 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) for c in cols if c in df.columns})
 
 
+def decimals_as_double(df: DataFrame) -> DataFrame:
+    """Rounded decimal columns as doubles (the same values, in the numeric type
+    every comparison harness handles)."""
+    from pyspark.sql import types as T
+
+    return df.withColumns(
+        {f.name: F.col(f.name).cast("double") for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+    )
+
+
 def daily_r(spark, sf) -> DataFrame:
     return r6(fr.daily(spark, sf), "TEMP_STD")
 
@@ -374,7 +384,7 @@ def q_distinct_years(spark, sf):
 
 @register("aggregation_facts")
 def q_aggregation_facts(spark, sf):
-    return ledger.aggregation_facts(fr.enriched(spark, sf))
+    return decimals_as_double(ledger.aggregation_facts(fr.enriched(spark, sf)))
 
 
 # ------------------------------------------------------------------ H: ledger
@@ -385,9 +395,11 @@ def q_record_ingestion(spark, sf):
     path = unique_scratch(spark, "ingestion-ledger")
     runs = bindings.ledger_runs(spark, sf).withColumn("source_name", F.lit("orders"))
     ledger.append_ingestions(runs, path)
-    return spark.read.parquet(path).select(
-        "source_type", "source_name", "status", "records_count", "data_quality_score",
-        "ingestion_timestamp",
+    return decimals_as_double(
+        spark.read.parquet(path).select(
+            "source_type", "source_name", "status", "records_count", "data_quality_score",
+            "ingestion_timestamp",
+        )
     )
 
 
@@ -422,12 +434,12 @@ def q_ledger_constraints(spark, sf):
 
 @register("quality_checks")
 def q_quality_checks(spark, sf):
-    return ledger.quality_checks(fr.raw(spark, sf))
+    return decimals_as_double(ledger.quality_checks(fr.raw(spark, sf)))
 
 
 @register("quality_score")
 def q_quality_score(spark, sf):
-    return ledger.quality_score(fr.raw(spark, sf))
+    return decimals_as_double(ledger.quality_score(fr.raw(spark, sf)))
 
 
 @register("period_window")

@@ -306,15 +306,15 @@ ff AS (
   UNION ALL SELECT 'SEASONAL', metric_name, CAST(YEAR AS VARCHAR) || '-' || SEASON, DATE, v FROM fl
   UNION ALL SELECT 'YEARLY', metric_name, CAST(YEAR AS VARCHAR), DATE, v FROM fl)
 SELECT aggregation_type, metric_name, period_key, min(DATE) AS period_start, max(DATE) AS period_end,
-       TRY_CAST(CAST(avg(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_mean, TRY_CAST(CAST(min(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_min,
-       TRY_CAST(CAST(max(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_max,
-       TRY_CAST(CAST(stddev_samp(v) AS VARCHAR) AS DECIMAL(10, 2)) AS value_std, count(v) AS value_count,
+       CAST(TRY_CAST(CAST(avg(v) AS VARCHAR) AS DECIMAL(10, 2)) AS DOUBLE) AS value_mean, CAST(TRY_CAST(CAST(min(v) AS VARCHAR) AS DECIMAL(10, 2)) AS DOUBLE) AS value_min,
+       CAST(TRY_CAST(CAST(max(v) AS VARCHAR) AS DECIMAL(10, 2)) AS DOUBLE) AS value_max,
+       CAST(TRY_CAST(CAST(stddev_samp(v) AS VARCHAR) AS DECIMAL(10, 2)) AS DOUBLE) AS value_std, count(v) AS value_count,
        CAST(NULL AS VARCHAR) AS location
 FROM ff GROUP BY aggregation_type, metric_name, period_key""",
     # H
     "record_ingestion": """
 SELECT source_type, 'orders' AS source_name, status, records_count,
-       TRY_CAST(CAST(data_quality_score AS VARCHAR) AS DECIMAL(5, 2)) AS data_quality_score,
+       CAST(TRY_CAST(CAST(data_quality_score AS VARCHAR) AS DECIMAL(5, 2)) AS DOUBLE) AS data_quality_score,
        ingestion_timestamp FROM ledger_runs""",
     "record_transformation": """
 SELECT *, greatest(input_records - output_records, 0) AS records_dropped FROM transformation_runs""",
@@ -364,12 +364,12 @@ ql AS (
   UNION ALL SELECT 'wind_speed_range', 'range', wind_speed_range, total FROM qc)
 SELECT check_name, check_type, coalesce(CAST(failed AS DOUBLE) / NULLIF(total, 0) <= 0.05, true) AS passed,
        CAST(total AS BIGINT) AS total_records, CAST(failed AS BIGINT) AS failed_records,
-       CAST(5.0 AS DECIMAL(10, 2)) AS threshold_value,
-       TRY_CAST(CAST(coalesce(CAST(failed AS DOUBLE) / NULLIF(total, 0) * 100.0e0, 0.0e0) AS VARCHAR) AS DECIMAL(10, 2)) AS actual_value
+       CAST(5.0 AS DOUBLE) AS threshold_value,
+       CAST(TRY_CAST(CAST(coalesce(CAST(failed AS DOUBLE) / NULLIF(total, 0) * 100.0e0, 0.0e0) AS VARCHAR) AS DECIMAL(10, 2)) AS DOUBLE) AS actual_value
 FROM ql""",
     "quality_score": """
 SELECT initial AS records_count, final AS records_valid, initial - final AS records_invalid,
-       TRY_CAST(CAST(CASE WHEN initial > 0 THEN final / initial * 100.0e0 ELSE 0.0e0 END AS VARCHAR) AS DECIMAL(5, 2))
+       CAST(TRY_CAST(CAST(CASE WHEN initial > 0 THEN final / initial * 100.0e0 ELSE 0.0e0 END AS VARCHAR) AS DECIMAL(5, 2)) AS DOUBLE)
        AS data_quality_score
 FROM (SELECT (SELECT count(*) FROM obs_raw) AS initial, (SELECT count(*) FROM obs_clean) AS final)""",
     "period_window": """
