@@ -136,27 +136,35 @@ SAVE_RESULT = T.StructType(
 
 
 def save_all(
-    frames: dict[str, DataFrame],
+    frames: dict,
     root: str,
     partitioning: dict[str, list[str]] | None = None,
     mode: str = "overwrite",
     parallel: bool = True,
+    spark: SparkSession | None = None,
 ) -> DataFrame:
     """Write several datasets under ``root``; one failure does not stop the rest.
 
-    The writes are independent jobs; with ``parallel`` they are submitted
-    from separate driver threads so the cluster runs them side by side.
-    Returns one result row per dataset (the error text for a failed one).
+    ``frames`` maps names to DataFrames or to zero-argument functions that
+    build one (so a frame whose construction runs a job, e.g. a checkpoint,
+    is built inside its worker). The writes are independent jobs; with
+    ``parallel`` they are submitted from separate driver threads so the
+    cluster runs them side by side. Returns one result row per dataset (the
+    error text for a failed one).
     """
     from concurrent.futures import ThreadPoolExecutor
 
     parts = DEFAULT_PARTITIONING if partitioning is None else partitioning
-    spark = next(iter(frames.values())).sparkSession
+    if spark is None:
+        first = next(iter(frames.values()))
+        spark = first.sparkSession if isinstance(first, DataFrame) else SparkSession.active()
 
     def write(item):
-        name, df = item
-        cols = [c for c in parts.get(name, []) if c in df.columns]
+        name, frame = item
+        cols = parts.get(name, [])
         try:
+            df = frame() if callable(frame) and not isinstance(frame, DataFrame) else frame
+            cols = [c for c in cols if c in df.columns]
             meta = sink_parquet(df, os.path.join(root, name), cols or None, mode)
             return (*[meta[f.name] for f in SAVE_RESULT.fields[:-1]], None)
         except Exception as exc:  # noqa: BLE001 - recorded in the result row
