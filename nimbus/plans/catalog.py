@@ -585,6 +585,13 @@ def q_list_datasets(spark, sf):
     return files.list_datasets(spark, root)
 
 
+@register("datasets_overview")
+def q_datasets_overview(spark, sf):
+    root = unique_scratch(spark, "datasets")
+    files.save_all({"daily": fr.daily(spark, sf), "monthly": fr.monthly(spark, sf)}, root)
+    return files.datasets_overview(spark, root)
+
+
 @register("dataset_info")
 def q_dataset_info(spark, sf):
     root = unique_scratch(spark, "datasets")

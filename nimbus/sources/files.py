@@ -230,6 +230,29 @@ def list_datasets(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substring_index(after, "/", 1).alias("name")).distinct()
 
 
+def datasets_overview(spark: SparkSession, root: str) -> DataFrame:
+    """Every dataset under ``root`` with its size (MB), Parquet file count and
+    last modification: one listing, grouped by first-level folder."""
+    if not _exists(spark, root):
+        return spark.createDataFrame(
+            [], "name string, size_mb double, file_count long, last_modified timestamp"
+        )
+    marker = root.rstrip("/") + "/"
+    files = _listing(spark, root)
+    after = F.expr(f"substring(path, locate({_sql_str(marker)}, path) + {len(marker)})")
+    named = files.select(F.substring_index(after, "/", 1).alias("name"), "path", "length", "modificationTime")
+    return (
+        named.filter(~F.col("name").startswith("_") & ~F.col("name").startswith("."))
+        .groupBy("name")
+        .agg(
+            F.round(F.sum("length") / (1024.0 * 1024.0), 2).alias("size_mb"),
+            F.count_if(F.col("path").endswith(".parquet")).alias("file_count"),
+            F.max("modificationTime").alias("last_modified"),
+        )
+        .filter(F.col("file_count") > 0)
+    )
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

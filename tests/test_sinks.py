@@ -79,3 +79,13 @@ def test_process_latest_uses_newest_csv(spark, sf_dir):
     out = unique_scratch(spark, "out")
     res = {r.dataset_name: r for r in batch.process_latest(spark, landing, out, schema=_raw_schema()).collect()}
     assert res["daily"].record_count == fr.daily(spark, sf_dir).count()
+
+
+def test_datasets_overview(spark, sf_dir):
+    root = unique_scratch(spark, "root")
+    files.save_all({"daily": fr.daily(spark, sf_dir), "seasonal": fr.seasonal(spark, sf_dir)}, root)
+    rows = {r.name: r for r in files.datasets_overview(spark, root).collect()}
+    assert set(rows) == {"daily", "seasonal"}
+    assert rows["daily"].file_count >= 1 and rows["daily"].size_mb >= 0
+    one = files.dataset_info(spark, os.path.join(root, "daily"))
+    assert one["file_count"] == rows["daily"].file_count
