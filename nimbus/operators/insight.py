@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nimbus.operators.rank import rank_desc
 from nimbus.session import cut_lineage
 
 # Analysis periods of the reference configuration (days back
@@ -108,12 +109,13 @@ def hottest_year(yearly: DataFrame) -> DataFrame:
     )
 
 
-def station_comparison(enriched: DataFrame) -> DataFrame:
+def station_comparison(enriched: DataFrame, materialize: bool = True) -> DataFrame:
     """Per station: mean temperature, total rain, counts and both ranks.
 
-    The ranking window runs over the per-station table (one row per station,
-    metadata-sized), after the observation rows were reduced by a partial
-    aggregate.
+    Observation rows are reduced to one row per station by a partial
+    aggregate; the ranks are computed in parallel (``rank.rank_desc``), not by
+    a single-task window. The per-station table feeds both rankings, so it is
+    checkpointed once (unless ``materialize`` is off).
     """
     per = enriched.groupBy("STATION").agg(
         F.min("STATION_NAME").alias("STATION_NAME"),
@@ -121,11 +123,12 @@ def station_comparison(enriched: DataFrame) -> DataFrame:
         F.sum("PRCP").alias("PRECIPITATION_TOTAL"),
         F.count(F.lit(1)).alias("N_OBS"),
     )
-    by_temp = Window.orderBy(F.col("TEMP_AVG").desc_nulls_last())
-    by_rain = Window.orderBy(F.col("PRECIPITATION_TOTAL").desc_nulls_last())
-    return per.withColumn("TEMP_RANK", F.rank().over(by_temp)).withColumn(
-        "RAIN_RANK", F.rank().over(by_rain)
-    )
+    if materialize:
+        per = cut_lineage(per)
+    by_temp = rank_desc(per, "TEMP_AVG", "TEMP_RANK")
+    if materialize:
+        by_temp = cut_lineage(by_temp)
+    return rank_desc(by_temp, "PRECIPITATION_TOTAL", "RAIN_RANK")
 
 
 def hot_cold_days(daily: DataFrame, hot: float = 30.0, cold: float = 5.0) -> DataFrame:

@@ -60,8 +60,12 @@ def test_top_k_is_take_ordered(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(q)
 
 
-def test_trend_windows_are_partitioned(spark, sf_dir):
-    for df in (trend.trends(fr.daily(spark, sf_dir)), trend.station_trends(fr.cleaned(spark, sf_dir))):
+def test_windows_are_partitioned(spark, sf_dir):
+    for df in (
+        trend.trends(fr.daily(spark, sf_dir)),
+        trend.station_trends(fr.cleaned(spark, sf_dir)),
+        insight.station_comparison(fr.enriched(spark, sf_dir)),
+    ):
         df.count()
         assert windows_fed_by_single_partition(plan(df)) == []
 
