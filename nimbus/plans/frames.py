@@ -46,13 +46,16 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (STATION, DATE) with a real date: the shape of one station's feed."""
+    """One row per (STATION, DATE) with a real date: the shape of one station's feed.
+
+    Each fixture station has exactly one name, so the name is a grouping key
+    (hash aggregation) rather than a ``min`` over strings.
+    """
     return (
         cleaned(spark, sf_dir)
         .filter(F.col("DATE").isNotNull())
-        .groupBy("STATION", "DATE")
+        .groupBy("STATION", "STATION_NAME", "DATE")
         .agg(
-            F.min("STATION_NAME").alias("STATION_NAME"),
             F.max("TMAX").alias("TMAX"),
             F.min("TMIN").alias("TMIN"),
             F.avg("TAVG").alias("TAVG"),
