@@ -34,15 +34,29 @@ DEFAULT_PARTITIONING = {
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = OBSERVATION, infer: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = OBSERVATION,
+    infer: bool = False,
+    by_name: bool = True,
 ) -> DataFrame:
-    """Observation CSV with header; declared schema unless ``infer`` is set."""
+    """Observation CSV with header.
+
+    By default the declared types are applied by header name (any column
+    order or subset; a value that does not parse becomes null); with
+    ``by_name=False`` the schema is applied by position, and with ``infer``
+    Spark infers the types.
+    """
     reader = spark.read.option("header", True)
     if infer or schema is None:
-        reader = reader.option("inferSchema", True)
-    else:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+        return reader.option("inferSchema", True).csv(path)
+    if not by_name:
+        return reader.schema(schema).csv(path)
+    text = reader.csv(path)
+    types = {f.name: f.dataType for f in schema.fields}
+    return text.select(
+        *[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in text.columns]
+    )
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -89,3 +89,22 @@ def test_datasets_overview(spark, sf_dir):
     assert rows["daily"].file_count >= 1 and rows["daily"].size_mb >= 0
     one = files.dataset_info(spark, os.path.join(root, "daily"))
     assert one["file_count"] == rows["daily"].file_count
+
+
+def test_scan_csv_applies_types_by_name(spark):
+    path = unique_scratch(spark, "csv")
+    df = spark.createDataFrame(
+        [("2020-01-01", "S1", "3.5", "x"), ("bad", "S2", "oops", "y")],
+        "DATE string, STATION string, TAVG string, EXTRA string",
+    )
+    files.sink_csv(df.coalesce(1), path)
+    got = files.scan_csv(spark, path).orderBy("STATION").collect()
+    assert got[0].TAVG == 3.5 and got[1].TAVG is None and got[0].EXTRA == "x"
+    assert files.scan_csv(spark, path).columns == ["DATE", "STATION", "TAVG", "EXTRA"]
+
+
+def test_cli_query(spark, capsys):
+    from nimbus.__main__ import main
+
+    assert main(["query", "statistics_cards", "--sf", "/root/testdata/sf0.001", "--rows", "1"]) == 0
+    assert "avg_temp" in capsys.readouterr().out
