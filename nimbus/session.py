@@ -71,8 +71,9 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
                 "spark.checkpoint.dir is not set; point it at a shared folder"
             )
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    # the RDD checkpoint dir must follow the session setting
+    # spark.checkpoint.dir is a static setting and cannot be changed on a
+    # running session: the chosen folder is kept (and found again) on the
+    # SparkContext alone
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     if parts:
