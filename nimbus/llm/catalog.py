@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nimbus.llm import packing, secret_scan, url_filter
+from nimbus.llm import cover_search, packing, secret_scan, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op3_cover_tree_search": cover_search.op3_cover_tree_search,
         "op7_packing": packing.op7_packing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_cover_tree_search": cover_search.ORACLE_SQL,
+    }
