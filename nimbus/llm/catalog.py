@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nimbus.llm import cover_search, curve_search, packing, secret_scan, url_filter
+from nimbus.llm import cover_search, curve_search, packing, secret_scan, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op3_cover_tree_search": cover_search.op3_cover_tree_search,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_packing": packing.op7_packing,
         "op9_curve_search": curve_search.op9_curve_search,
         "op10_url_filter": url_filter.op10_url_filter,
