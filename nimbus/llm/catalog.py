@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nimbus.llm import cover_search, curve_search, packing, secret_scan, toxicity, url_filter
+from nimbus.llm import cover_search, curve_search, packing, secret_scan, substring_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_cover_tree_search": cover_search.op3_cover_tree_search,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_packing": packing.op7_packing,
