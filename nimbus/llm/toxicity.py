@@ -65,16 +65,18 @@ class Classifier:
         return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def select(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, least: int = 4, z: float = 4.0) -> np.ndarray:
-    """Features that are clearly more frequent in positives than in unlabelled text.
+def select(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float) -> np.ndarray:
+    """Features that are more frequent in positives than chance explains for any of the features seen.
 
-    The unlabelled share is corrected for the positives hidden in it.
+    The unlabelled share is corrected for the positives hidden in it; the chance is the Poisson tail
+    bound of the count in the positives, held to one false feature among all that are tested.
     """
-    p, u = (np.bincount(np.concatenate(x), minlength=size).astype(float) if x else np.zeros(size) for x in (pos, unl))
-    share_p, share_u = p / max(1, len(pos)), u / max(1, len(unl))
-    negative = np.maximum((share_u - prior * share_p) / max(1e-6, 1 - prior), 0.5 / max(1, len(unl)))
-    error = np.sqrt(negative * (1 - np.minimum(negative, 1)) / max(1, len(pos)) + 1e-12)
-    return np.flatnonzero((p >= least) & (share_p - negative > z * error) & (share_p > 3 * negative))
+    p, u = (np.bincount(np.concatenate(x), minlength=size).astype(float) for x in (pos, unl))
+    share_p, share_u = p / len(pos), u / len(unl)
+    negative = np.maximum((share_u - prior * share_p) / (1 - prior), 0.5 / len(unl))
+    expected = negative * len(pos)
+    tail = p * np.log(np.maximum(p, 1e-9) / expected) - p + expected
+    return np.flatnonzero((p > expected) & (tail > np.log(max(1, np.count_nonzero(p)))))
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4, beta: float = 0.0) -> Classifier:
@@ -118,6 +120,11 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int =
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
     weights[kept] = w
+    # the bias is set so that the mean score of unlabelled text is the class prior
+    z, lo, hi = margin(u) - b, -30.0, 30.0
+    for _ in range(60):
+        b = (lo + hi) / 2
+        lo, hi = (b, hi) if sigmoid(z + b).mean() < prior else (lo, b)
     return Classifier(b, weights)
 
 
