@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nimbus.llm import cover_search, cross_entropy, curve_search, ngram_jaccard, packing, secret_scan, substring_dedup, toxicity, url_filter
+from nimbus.llm import cover_search, cross_entropy, curve_search, ngram_jaccard, packing, piece_transducer, secret_scan, substring_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_cover_tree_search": cover_search.op3_cover_tree_search,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_cross_entropy": cross_entropy.op5_cross_entropy,
+        "op6_piece_transducer": piece_transducer.op6_piece_transducer,
         "op7_packing": packing.op7_packing,
         "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
         "op9_curve_search": curve_search.op9_curve_search,
