@@ -62,6 +62,14 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; added up in the order of the components, so that equal pairs give equal sums."""
+    total = np.zeros(len(rows))
+    for j in range(len(q)):
+        total += (rows[:, j] - q[j]) ** 2
+    return np.sqrt(total)
+
+
 def projections(width: int, curves: int, dims: int, seed: int) -> np.ndarray:
     """(curves, width, dims): an orthonormal projection for every curve."""
     rng = np.random.default_rng(seed)
@@ -165,7 +173,7 @@ def search(
             ids, at = right["vec_id"].to_numpy(), right["at"].to_numpy()
             for q, qid, qat in zip(qs, left["query_id"].to_numpy(), left["q_at"].to_numpy(), strict=True):
                 near = (np.abs(at - qat) <= window) & (ids != qid)
-                d = np.sqrt(((rs[near] - q) ** 2).sum(axis=1))
+                d = distances(rs[near], q)
                 top = np.lexsort((ids[near], d))[:k]
                 for column, value in zip(out, (np.full(len(top), qid), ids[near][top], d[top]), strict=True):
                     column.append(value)

@@ -173,9 +173,11 @@ def scan(documents: DataFrame, model: RandomForestClassificationModel, threshold
     `n` counts the candidates of a row from 0, `start` is the 0-based character offset. The
     secret itself is not returned, only its digest.
     """
-    rows = with_findings(documents.select("doc_id", "text"), model).select(
+    # the row number is taken below the explode: one for each document
+    found = with_findings(documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), model)
+    rows = found.select(
         "doc_id",
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         F.posexplode(F.arrays_zip(F.slice(F.transform("_ss_pieces", lambda p: F.length(p)), F.lit(1), F.size("_ss_found")).alias("gap"), F.col("_ss_found").alias("hit"))).alias("n", "x"),
     )
     rows = rows.select("doc_id", "row", "n", F.col("x.gap").alias("gap"), F.length("x.hit.candidate").alias("length"), F.sha2("x.hit.candidate", 256).alias("sha256"), F.col("x.hit.score").alias("score"))

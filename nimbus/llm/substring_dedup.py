@@ -66,6 +66,8 @@ class Block:
 
     def minimizers(self) -> np.ndarray:
         """For every window, the smallest hash of its parts of PART words."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
         part = min(PART, self.k)
         h = window_hashes(self.hash, part, seed=3)
         span, width = self.k - part + 1, 1
@@ -74,7 +76,7 @@ class Block:
             step = min(width, span - width)
             low = np.minimum(low[: len(low) - step], low[step:])
             width += step
-        return low[self.start] if len(self.start) else np.zeros(0, np.uint64)
+        return low[self.start]
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of every window."""

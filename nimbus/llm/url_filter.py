@@ -43,7 +43,9 @@ ALLOW_WORDS = [
     "nation", "inges", "wheat", "stone", "river", "market", "theatre", "thing", "ration", "city-hall", "e-learning",
 ]
 PREFIXES = ["", "www.", "blog.", "m.", "cdn."]
+FRAMES = ["{}", "my-{}", "{}24", "the{}site", "old-{}-home"]
 PATHS = ["/", "/en/12", "/de/48.html", "/fr/7/", "/es/903", "/page/index", ""]
+TLDS = ["example.com", "example.net", "example.org", "test", "com", "org"]
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -98,15 +100,16 @@ def features(parts: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), dims: int = 1
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: ``url, label`` (1 block), every word under every prefix and path."""
+    """The small labelled table: ``url, label`` (1 block), every word in every frame and under every prefix."""
     words = spark.createDataFrame(
         [(w, 1.0) for w in BLOCK_WORDS] + [(w, 0.0) for w in ALLOW_WORDS], "word string, label double"
     )
-    hosts = F.explode(F.array(*[F.concat(F.lit(p), F.col("word"), F.lit(".example")) for p in PREFIXES]))
-    both = words.select("label", hosts.alias("h"))
-    paths = both.select("label", "h", F.explode(F.array(*[F.lit(p) for p in PATHS])).alias("p"))
-    tlds = paths.select("label", "h", "p", F.explode(F.array(*[F.lit(t) for t in ("com", "net", "org")])).alias("t"))
-    return tlds.select(F.concat(F.lit("http://"), "h", F.lit("."), "t", "p").alias("url"), "label")
+    frames = F.explode(F.array(*[F.replace(F.lit(f), F.lit("{}"), F.col("word")) for f in FRAMES]))
+    framed = words.select("label", frames.alias("w"))
+    hosts = framed.select("label", F.explode(F.array(*[F.concat(F.lit(p), F.col("w")) for p in PREFIXES])).alias("h"))
+    # domain and path by the host's checksum: both labels get all of them
+    pick = lambda options, salt: F.element_at(F.array(*map(F.lit, options)), (F.crc32(F.concat("h", F.lit(salt))) % len(options) + 1).cast("int"))
+    return hosts.select(F.concat(F.lit("http://"), "h", F.lit("."), pick(TLDS, "t"), pick(PATHS, "p")).alias("url"), "label")
 
 
 def train(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), dims: int = 1 << 16) -> LogisticRegressionModel:
