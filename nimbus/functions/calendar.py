@@ -23,18 +23,18 @@ def calendar_columns(date: Column) -> dict[str, Column]:
     }
 
 
-def season(month: Column) -> Column:
-    """Meteorological season of a month number.
+def season_index(month: Column) -> Column:
+    """Place of a month's season in ``SEASONS``: months in threes from December on.
 
     December joins January and February of the *same* calendar year; a null
-    month falls through to Winter like any other non-matching value.
+    month counts as the first season.
     """
-    return (
-        F.when((month >= 3) & (month <= 5), "Spring")
-        .when((month >= 6) & (month <= 8), "Summer")
-        .when((month >= 9) & (month <= 11), "Fall")
-        .otherwise("Winter")
-    )
+    return F.coalesce(F.floor(F.pmod(month, F.lit(12)) / 3), F.lit(0)).cast("int")
+
+
+def season(month: Column) -> Column:
+    """Name of the meteorological season of a month number."""
+    return F.get(F.array(*map(F.lit, SEASONS)), season_index(month))
 
 
 def format_day(date: Column) -> Column:

@@ -10,36 +10,30 @@ def temp_range(tmax: Column, tmin: Column) -> Column:
     return tmax - tmin
 
 
-def temp_category(tavg: Column, null_label: str = "Hot") -> Column:
-    """Fixed values: <0 Freezing, <10 Cold, <20 Mild, <30 Warm, else Hot.
-
-    A null temperature falls through every test and is labelled like the
-    last branch (``Hot``) unless ``null_label`` says otherwise.
-    """
-    label = (
-        F.when(tavg < 0, "Freezing")
-        .when(tavg < 10, "Cold")
-        .when(tavg < 20, "Mild")
-        .when(tavg < 30, "Warm")
-        .otherwise("Hot")
-    )
-    if null_label != "Hot":
-        label = F.when(tavg.isNull(), F.lit(null_label)).otherwise(label)
+# Fixed values: (label, upper limit) in rising order and the label beyond them.
+TEMPERATURE_BELOW = [("Freezing", 0), ("Cold", 10), ("Mild", 20), ("Warm", 30)]
+HOTTEST = "Hot"
+RAIN_UP_TO = [("Light", 2), ("Moderate", 10), ("Heavy", 50)]
+DRY, WETTEST = "No Rain", "Extreme"
+
+
+def _first_limit(limits: list[tuple[str, float]], reached, beyond: str) -> Column:
+    """Label of the first limit for which ``reached`` holds, else ``beyond``."""
+    label = F.lit(beyond)
+    for name, limit in reversed(limits):
+        label = F.when(reached(limit), F.lit(name)).otherwise(label)
     return label
 
 
-def rain_category(prcp: Column, null_label: str = "Extreme") -> Column:
-    """Fixed values: =0 No Rain, <=2 Light, <=10 Moderate, <=50 Heavy, else Extreme.
-
-    Negative and null amounts fall through to ``Extreme``.
-    """
-    label = (
-        F.when(prcp == 0, "No Rain")
-        .when((prcp > 0) & (prcp <= 2), "Light")
-        .when((prcp > 2) & (prcp <= 10), "Moderate")
-        .when((prcp > 10) & (prcp <= 50), "Heavy")
-        .otherwise("Extreme")
-    )
-    if null_label != "Extreme":
-        label = F.when(prcp.isNull(), F.lit(null_label)).otherwise(label)
-    return label
+def temp_category(tavg: Column, null_label: str = HOTTEST) -> Column:
+    """Category of a temperature; a null one gets ``null_label``."""
+    label = _first_limit(TEMPERATURE_BELOW, lambda limit: tavg < limit, HOTTEST)
+    return F.when(tavg.isNull(), F.lit(null_label)).otherwise(label)
+
+
+def rain_category(prcp: Column, null_label: str = WETTEST) -> Column:
+    """Category of a rain amount; no amount gets ``null_label``, an impossible
+    (negative) one the label beyond all limits."""
+    wet = _first_limit(RAIN_UP_TO, lambda limit: prcp <= limit, WETTEST)
+    known = F.when(prcp == 0, F.lit(DRY)).when(prcp < 0, F.lit(WETTEST)).otherwise(wet)
+    return F.when(prcp.isNull(), F.lit(null_label)).otherwise(known)
