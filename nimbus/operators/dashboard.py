@@ -30,6 +30,7 @@ def monthly_rain(daily: DataFrame) -> DataFrame:
         .groupBy("YEAR", "MONTH")
         .agg(F.coalesce(F.sum("PRECIPITATION_TOTAL"), F.lit(0.0)).alias("PRECIPITATION_TOTAL"))
         .withColumn("DATE", format_month(F.col("YEAR"), F.col("MONTH")))
+        .orderBy("YEAR", "MONTH")
     )
 
 
@@ -170,4 +171,4 @@ def histogram(
         bin_start.alias("BIN_START"),
         F.format_string("%.1f", F.round(bin_start, 1)).alias("LABEL"),
         F.coalesce(F.col("COUNT"), F.lit(0)).cast("long").alias("COUNT"),
-    )
+    ).orderBy("BIN")

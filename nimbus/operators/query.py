@@ -135,6 +135,7 @@ def seasonal_series(seasonal: DataFrame, value: str = "TEMP_AVG") -> DataFrame:
         .pivot("SEASON", SEASONS)
         .agg(F.max(value))
         .select("YEAR", *SEASONS)
+        .orderBy(F.col("YEAR").asc_nulls_last())
     )
 
 

@@ -86,15 +86,16 @@ def unique_scratch(spark: SparkSession, label: str) -> str:
     return scratch_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize a frame once in the shared checkpoint folder.
+def cut_lineage(df: DataFrame, label: str = "stored") -> DataFrame:
+    """Write a frame once as Parquet in the shared scratch folder and read it back.
 
     For frames that several branches of one plan read (positions and blocks
     of a moving average, an anchor and the rows it filters): without it each
     branch would recompute the frame from the source, because column pruning
     makes the branches' shuffles differ and Spark cannot reuse them. The
-    checkpoint is reliable (shared storage), so a lost executor costs a
-    re-read, never a recomputation from scratch.
+    table is columnar, so each branch reads only its columns, and it is on
+    shared storage, so a lost executor costs a re-read.
     """
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = unique_scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,34 +9,13 @@ rule has work to do. All rows are kept.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.
-
-    A small file has fewer Parquet row groups (scan splits) than the session
-    has cores; such a scan is spread over all cores by a round-robin exchange
-    so the per-row work after it is not stuck on a few tasks. Inputs large
-    enough to have as many splits as cores are left as scanned.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    key = (path, os.path.getmtime(path) if os.path.exists(path) else None)
-    if key not in _SPLITS:
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    if _SPLITS[key] < cores:
-        df = df.repartition(cores)
-    return df
-
-
-# scan splits per (file, modification time): planning a scan to count its
-# splits costs a listing and a plan, so it is done once per file
-_SPLITS: dict = {}
+    """One driver table, as scanned."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _s(x: Column) -> Column:

@@ -93,18 +93,22 @@ def flatten_payload(
 def build_payloads(station_day: DataFrame, fetched_at: str = "1970-01-01T00:00:00") -> DataFrame:
     """Payload documents (JSON text) from per-(station, day) rows.
 
-    One document per (station, calendar year), so a document never holds more
-    than 366 days whatever the data volume; days are ordered inside the
-    document and the measure arrays stay aligned with the day array (nulls
-    included, since whole day records are collected).
+    One document per station and calendar year. Rows are first reduced to one
+    per station and day here, so a document never holds more than 366 days
+    whatever the caller passes; days are ordered inside the document and the
+    measure arrays stay aligned with the day array (nulls included, since
+    whole day records are collected).
     """
     rec = F.struct(
         F.col("DATE").cast("string").alias("t"),
         *[F.col(c).alias(c) for c in PAYLOAD_FIELDS],
     )
-    grouped = station_day.groupBy(
-        F.col("STATION_NAME").alias("location_name"), F.year("DATE").alias("_yr")
-    ).agg(F.sort_array(F.collect_list(rec)).alias("_days"))
+    station = ["STATION"] if "STATION" in station_day.columns else []
+    one_a_day = station_day.groupBy(*station, "STATION_NAME", "DATE").agg(F.max(rec).alias("_day"))
+    grouped = one_a_day.groupBy(
+        *station, F.col("STATION_NAME").alias("location_name"), F.year("DATE").alias("_yr")
+    ).agg(F.sort_array(F.collect_list("_day")).alias("_days"))
+
     def field_of(name: str):
         return lambda r: r[name]
 
