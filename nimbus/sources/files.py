@@ -22,12 +22,9 @@ from nimbus.schema import OBSERVATION
 EXPORT_HEADER = ["Date", "Temp Moy", "Temp Min", "Temp Max", "Précipitations", "Humidité"]
 EXPORT_COLUMNS = ["DATE", "TEMP_AVG", "TEMP_MIN", "TEMP_MAX", "PRECIPITATION_TOTAL", "HUMIDITY_AVG"]
 
-# Partition columns per stored dataset.
-DEFAULT_PARTITIONING = {
-    "daily": ["YEAR", "MONTH"],
-    "trends": ["YEAR", "MONTH"],
-    "monthly": ["YEAR"],
-}
+# Partition columns per stored dataset. Only the row-level table grows with the
+# input; the aggregates have a row per day or less and are stored whole.
+DEFAULT_PARTITIONING = {"clean": ["YEAR"]}
 
 
 # --------------------------------------------------------------------- CSV
@@ -43,16 +40,28 @@ def scan_csv(
     """Observation CSV with header.
 
     By default the declared types are applied by header name (any column
-    order or subset; a value that does not parse becomes null); with
-    ``by_name=False`` the schema is applied by position, and with ``infer``
-    Spark infers the types.
+    order or subset; a value that does not parse becomes null). All files of
+    one path must have the same header: a file whose header differs raises
+    when it is read. With ``by_name=False`` the schema is applied by position,
+    and with ``infer`` Spark infers the types.
     """
     reader = spark.read.option("header", True)
     if infer or schema is None:
         return reader.option("inferSchema", True).csv(path)
     if not by_name:
         return reader.schema(schema).csv(path)
-    text = reader.csv(path)
+    header = reader.csv(path).columns
+    return typed_by_name(header_checked(spark.read, header).csv(path), schema)
+
+
+def header_checked(reader, header: list[str]):
+    """A (batch or streaming) CSV reader of text columns that raises on a file with another header."""
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return reader.schema(texts).option("header", True).option("enforceSchema", False)
+
+
+def typed_by_name(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns cast to the declared types of their names; undeclared columns stay text."""
     types = {f.name: f.dataType for f in schema.fields}
     return text.select(
         *[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in text.columns]
@@ -103,22 +112,24 @@ def sink_parquet(
 ) -> dict:
     """Write a dataset; returns rows written, size and duration.
 
-    The row count is an observed metric of the write itself (no second job),
-    and ``overwrite`` of a partitioned dataset replaces only the partitions
-    present in the new data (dynamic partition overwrite). Before a
-    partitioned write the rows are rebalanced on the partition columns (AQE
-    splits a hot partition and merges small ones), so each folder gets a few
-    files of sensible size instead of one file per task.
+    ``mode`` is one of Spark's save modes, or ``replace_partitions``:
+    ``overwrite`` replaces the whole dataset, ``replace_partitions`` only the
+    partitions that the new rows fall in. The row count is an observed metric
+    of the write itself (no second job). Before a partitioned write the rows
+    are rebalanced on the partition columns (AQE splits a hot partition and
+    merges small ones), so each folder gets a few files of sensible size
+    instead of one file per task.
     """
     spark = df.sparkSession
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     obs = Observation(f"written_{os.path.basename(path.rstrip('/'))}_{time.time_ns()}")
     started = time.time()
-    writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    dynamic = mode == "replace_partitions"
+    writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite" if dynamic else mode)
     writer = writer.option("compression", compression)
     if partition_by:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        writer = writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     duration = time.time() - started
@@ -182,7 +193,7 @@ def save_all(
             meta = sink_parquet(df, os.path.join(root, name), cols or None, mode)
             return (*[meta[f.name] for f in SAVE_RESULT.fields[:-1]], None)
         except Exception as exc:  # noqa: BLE001 - recorded in the result row
-            return (name, os.path.join(root, name), None, None, cols, None, mode, None, str(exc)[:500])
+            return (name, os.path.join(root, name), None, None, cols, None, mode, None, str(exc))
 
     items = list(frames.items())
     if parallel and len(items) > 1:
@@ -296,6 +307,30 @@ def dataset_info_frame(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def latest_landing(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """The newest landing under ``folder``: ``path, files, length, modificationTime``.
+
+    Part files that one job wrote side by side are one landing, named by their
+    folder; any other file is a landing of its own. Ties go to the greatest path.
+    """
+    listed = _listing(spark, folder, glob)
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    is_part = F.regexp_replace("path", "^.*/", "").startswith("part-")
+    landings = (
+        listed.withColumn("landing", F.when(is_part, parent).otherwise(F.col("path")))
+        .groupBy("landing")
+        .agg(
+            F.count(F.lit(1)).alias("files"),
+            F.sum("length").alias("length"),
+            F.max("modificationTime").alias("modificationTime"),
+        )
+    )
+    newest = F.max_by(F.struct("*"), F.struct("modificationTime", "landing")).alias("l")
+    return landings.agg(newest).where("l IS NOT NULL").select(
+        F.col("l.landing").alias("path"), "l.files", "l.length", "l.modificationTime"
+    )
+
+
 def latest_file(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
     """Newest matching file by modification time (ties: greatest path)."""
     files = _listing(spark, folder, glob)

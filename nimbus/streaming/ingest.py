@@ -1,27 +1,30 @@
 """Resumable ingestion of landed files with Structured Streaming.
 
-The file source remembers which files it has already read in its checkpoint
-(a folder on shared storage), so a rerun picks up only files landed since the
-previous run, and a run that dies half-way resumes from the last committed
-micro-batch: the Parquet sink's own commit log makes the output exactly-once.
+The file source remembers which files it has already read in its checkpoint,
+so a rerun picks up only files landed since the previous run, and a run that
+dies half-way resumes from the last committed micro-batch: the Parquet sink's
+own commit log makes the output exactly-once as long as sink and checkpoint
+stay together. The checkpoint is therefore kept beside the sink by default,
+and a run refuses to start when the two disagree.
 ``trigger(availableNow=True)`` turns the stream into a bounded batch job that
 processes everything available and stops.
 
-Progress (rows read, rows with a missing or unparseable date, throughput) is
-an observed metric of each micro-batch, read from the query's progress
-reports; no extra pass over the data.
+Progress (rows written, rows with a missing or unparseable date, throughput)
+is an observed metric of each micro-batch. Every batch of a run is kept: the
+number of reports that Spark retains is raised for the run, and the run fails
+if a committed batch has no report. The progress of all runs is appended to a
+table beside the sink, so cumulative counts go on across runs.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nimbus.schema import OBSERVATION
-from nimbus.session import scratch_dir
+from nimbus.schema import OBSERVATION, PAYLOAD
+from nimbus.sources import files
+from nimbus.sources.payload import flatten_payload
 
 PROGRESS = T.StructType(
     [
@@ -34,6 +37,96 @@ PROGRESS = T.StructType(
     ]
 )
 
+RETENTION = "spark.sql.streaming.numRecentProgressUpdates"
+
+
+def checkpoint_of(sink: str) -> str:
+    """The default checkpoint folder: a sibling of the sink."""
+    return sink.rstrip("/") + "_checkpoint"
+
+
+def progress_of(sink: str) -> str:
+    """The table of all runs' progress: a sibling of the sink."""
+    return sink.rstrip("/") + "_progress"
+
+
+def _batches(spark: SparkSession, folder: str) -> set[int]:
+    """Batch numbers in a commit log (its file names)."""
+    if not files._exists(spark, folder):
+        return set()
+    names = files._listing(spark, folder).select(F.regexp_extract("path", r"/(\d+)(?:\.compact)?$", 1).alias("n"))
+    return {int(r["n"]) for r in names.where("n <> ''").collect()}
+
+
+def _agreeing(spark: SparkSession, sink: str, checkpoint: str) -> set[int]:
+    """The checkpoint's commits; raises when the sink holds batches that they do not know."""
+    known = _batches(spark, checkpoint + "/commits")
+    written = _batches(spark, sink.rstrip("/") + "/_spark_metadata")
+    # the sink may be one batch ahead: a run that died between the two commits
+    if written and max(written) > max(known, default=-1) + (1 if known else 0):
+        raise ValueError(
+            f"{sink} holds batches up to {max(written)} that the checkpoint {checkpoint} does not know; "
+            "files landed since would be skipped. Give the checkpoint that wrote this sink, or a new sink"
+        )
+    return known
+
+
+def _run(rows: DataFrame, sink: str, checkpoint: str | None, name: str, partition_by: list[str] | None) -> DataFrame:
+    """Append all available micro-batches to the sink; the progress of this run."""
+    spark = rows.sparkSession
+    ckpt = checkpoint or checkpoint_of(sink)
+    before = _agreeing(spark, sink, ckpt)
+    invalid = F.col("DATE").isNull() | F.try_to_date(F.col("DATE").cast("string")).isNull()
+    observed = rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(invalid).alias("failed"))
+    writer = (
+        observed.writeStream.format("parquet")
+        .option("checkpointLocation", ckpt)
+        .option("path", sink)
+        .outputMode("append")
+        .trigger(availableNow=True)
+    )
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    kept = spark.conf.get(RETENTION, "100")
+    spark.conf.set(RETENTION, str(2**31 - 1))  # read when the query starts
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(RETENTION, kept)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    reports = {int(p.batchId): p for p in query.recentProgress if name in (p.observedMetrics or {})}
+    committed = _batches(spark, ckpt + "/commits") - before
+    # old commit files are purged by Spark, so commits may be fewer than reports, never more
+    if committed - set(reports):
+        raise RuntimeError(f"no progress report for batches {sorted(committed - set(reports))}")
+    progress = ingest_progress(spark, list(reports.values()), name, _rows_before(spark, sink))
+    progress.write.mode("append").parquet(progress_of(sink))
+    return progress
+
+
+def _rows_before(spark: SparkSession, sink: str) -> int:
+    total = ingest_history(spark, sink).agg(F.max("cumulative_rows")).collect()[0][0]
+    return int(total or 0)
+
+
+def ingest_history(spark: SparkSession, sink: str) -> DataFrame:
+    """Progress of all runs into a sink, one row per micro-batch."""
+    if not files._exists(spark, progress_of(sink)):
+        return spark.createDataFrame([], PROGRESS)
+    return spark.read.schema(PROGRESS).parquet(progress_of(sink))
+
+
+def ingest_totals(history: DataFrame) -> DataFrame:
+    """Totals of all runs: batches, rows, failed and valid rows, and the valid share in percent."""
+    rows, failed = F.coalesce(F.sum("num_input_rows"), F.lit(0)), F.coalesce(F.sum("failed_rows"), F.lit(0))
+    return history.agg(
+        F.count(F.lit(1)).alias("batches"), rows.alias("rows"), failed.alias("failed_rows"),
+        (rows - failed).alias("valid_rows"),
+        F.round(F.try_divide((rows - failed) * F.lit(100.0), rows), 2).alias("valid_percent"),
+    )
+
 
 def resumable_ingest(
     spark: SparkSession,
@@ -48,33 +141,20 @@ def resumable_ingest(
 ) -> DataFrame:
     """Append every not-yet-ingested landed file to the Parquet ``sink``.
 
-    Returns the progress of this run (one row per micro-batch).
+    CSV columns are taken by the header's names, as in ``scan_csv``; a file
+    whose header differs from the first one's raises. Returns the progress of
+    this run (one row per micro-batch).
     """
-    ckpt = checkpoint or scratch_dir(spark, "checkpoints", name)
-    reader = spark.readStream.schema(schema).format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True)
+    reader = spark.readStream.format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(landing)
-    invalid = F.col("DATE").isNull() | F.try_to_date(F.col("DATE").cast("string")).isNull()
-    observed = stream.observe(
-        name, F.count(F.lit(1)).alias("rows"), F.count_if(invalid).alias("failed")
-    )
-    writer = (
-        observed.writeStream.format("parquet")
-        .option("checkpointLocation", ckpt)
-        .option("path", sink)
-        .outputMode("append")
-        .trigger(availableNow=True)
-    )
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    query = writer.start()
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
-    return ingest_progress(spark, query.recentProgress, name)
+    if fmt != "csv":
+        return _run(reader.schema(schema).load(landing), sink, checkpoint, name, partition_by)
+    header = spark.read.option("header", True).csv(landing).columns
+    text = files.header_checked(reader, header or schema.names).load(landing)
+    typed = files.typed_by_name(text, schema)
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in typed.columns]
+    return _run(typed.select("*", *absent).select(*schema.names), sink, checkpoint, name, partition_by)
 
 
 def ingest_payloads(
@@ -90,52 +170,24 @@ def ingest_payloads(
     ``land_raw_json``); each micro-batch is flattened with the same narrow
     ``posexplode`` as the batch path and appended as observation rows.
     """
-    from nimbus.schema import PAYLOAD
-    from nimbus.sources.payload import flatten_payload
-
-    ckpt = checkpoint or scratch_dir(spark, "checkpoints", name)
     fields = [f for f in PAYLOAD.fields if f.name != "location_name"]
-    schema = T.StructType(fields + [T.StructField("location_name", T.StringType())])
+    schema = T.StructType([*fields, T.StructField("location_name", T.StringType())])
     docs = spark.readStream.schema(schema).json(landing)
     rows = flatten_payload(docs.select(F.struct(*[F.col(f.name) for f in PAYLOAD.fields]).alias("doc")))
-    invalid = F.col("DATE").isNull() | F.try_to_date(F.col("DATE")).isNull()
-    observed = rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(invalid).alias("failed"))
-    query = (
-        observed.writeStream.format("parquet")
-        .option("checkpointLocation", ckpt)
-        .option("path", sink)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
-    return ingest_progress(spark, query.recentProgress, name)
+    return _run(rows, sink, checkpoint, name, None)
 
 
-def ingest_progress(spark: SparkSession, progress: list, name: str = "ingest") -> DataFrame:
-    """Progress reports -> (batch, rows, failed rows, rows/s, cumulative rows)."""
-    rows = []
-    total = 0
-    for p in progress:
-        metrics = (p.observedMetrics or {}).get(name)
-        n = int(p.numInputRows or 0)
-        failed = int(metrics["failed"]) if metrics is not None else None
-        total += n
-        rate = p.processedRowsPerSecond
-        rows.append(
-            (
-                int(p.batchId),
-                p.timestamp,
-                n,
-                failed,
-                float(rate) if rate == rate and rate is not None else None,
-                total,
-            )
-        )
-    return spark.createDataFrame(rows, PROGRESS)
+def ingest_progress(spark: SparkSession, progress: list, name: str = "ingest", before: int = 0) -> DataFrame:
+    """Progress reports -> (batch, rows written, failed rows, rows/s, cumulative rows).
 
-
-def landed_at() -> str:
-    return dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    ``before`` is the number of rows of earlier runs.
+    """
+    rows = []
+    for p in sorted(progress, key=lambda p: p.batchId):
+        metrics, rate = p.observedMetrics[name], p.processedRowsPerSecond
+        rate = float(rate) if rate is not None and rate == rate else None
+        rows.append((int(p.batchId), p.timestamp, int(metrics["rows"]), int(metrics["failed"]), rate))
+    found = spark.createDataFrame(rows, T.StructType(PROGRESS.fields[:-1]))
+    # one row for each micro-batch of this run
+    upto = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("cumulative_rows", F.sum("num_input_rows").over(upto) + F.lit(before))
