@@ -1,9 +1,11 @@
 """Command line: ``python -m nimbus <command> ...``.
 
-  batch   --input PATH [--format csv|json] --out DIR [--ledger DIR] [--latest]
+  batch   --input PATH [--format csv|json|parquet] --out DIR [--ledger DIR] [--latest]
           clean, aggregate and store daily / monthly / seasonal / trends
-  ingest  --landing DIR --sink DIR [--format csv|json] [--checkpoint DIR]
-          append files landed since the last run (exactly once)
+  ingest  --landing DIR --sink DIR [--format csv|json] [--checkpoint DIR] [--ledger DIR]
+          append files landed since the last run
+  run     --landing DIR --sink DIR --out DIR --ledger DIR [--format csv|json] [--checkpoint DIR]
+          ingest, then batch over the sink, with every step in the ledger
   query   NAME --sf DIR [--rows N]
           run a registered query on a folder of driver tables and show it
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from nimbus.schema import OBSERVATION
 from nimbus.session import build_session
 
 
@@ -24,6 +27,8 @@ def _raw(spark, path: str, fmt: str):
 
     if fmt == "json":
         return payload.flatten_payload(files.scan_raw_json(spark, path))
+    if fmt == "parquet":
+        return spark.read.schema(OBSERVATION).parquet(path)
     return files.scan_csv(spark, path)
 
 
@@ -34,16 +39,23 @@ def main(argv: list[str] | None = None) -> int:
 
     b = sub.add_parser("batch")
     b.add_argument("--input", required=True)
-    b.add_argument("--format", choices=["csv", "json"], default="csv")
+    b.add_argument("--format", choices=["csv", "json", "parquet"], default="csv")
     b.add_argument("--out", required=True)
     b.add_argument("--ledger", default=None)
-    b.add_argument("--latest", action="store_true", help="only the newest CSV under --input")
+    b.add_argument("--latest", action="store_true", help="only the newest CSV landing under --input")
 
     i = sub.add_parser("ingest")
     i.add_argument("--landing", required=True)
     i.add_argument("--sink", required=True)
     i.add_argument("--format", choices=["csv", "json"], default="csv")
     i.add_argument("--checkpoint", default=None)
+    i.add_argument("--ledger", default=None)
+
+    r = sub.add_parser("run")
+    for option in ("--landing", "--sink", "--out", "--ledger"):
+        r.add_argument(option, required=True)
+    r.add_argument("--format", choices=["csv", "json"], default="csv")
+    r.add_argument("--checkpoint", default=None)
 
     q = sub.add_parser("query")
     q.add_argument("name")
@@ -62,13 +74,22 @@ def main(argv: list[str] | None = None) -> int:
             result = batch.run_batch(spark, _raw(spark, args.input, args.format), args.out, args.ledger)
         result.show(truncate=False)
     elif args.command == "ingest":
+        from nimbus.plans import batch
         from nimbus.streaming import ingest
 
-        if args.format == "json":
-            progress = ingest.ingest_payloads(spark, args.landing, args.sink, args.checkpoint)
+        if args.ledger:
+            batch.ingest_recorded(spark, args.landing, args.sink, args.ledger, args.format, args.checkpoint)
+        elif args.format == "json":
+            ingest.ingest_payloads(spark, args.landing, args.sink, args.checkpoint)
         else:
-            progress = ingest.resumable_ingest(spark, args.landing, args.sink, args.checkpoint)
-        progress.show(truncate=False)
+            ingest.resumable_ingest(spark, args.landing, args.sink, args.checkpoint)
+        ingest.ingest_totals(ingest.ingest_history(spark, args.sink)).show(truncate=False)
+    elif args.command == "run":
+        from nimbus.plans import batch
+
+        batch.ingest_and_batch(
+            spark, args.landing, args.sink, args.out, args.ledger, args.format, args.checkpoint
+        ).show(truncate=False)
     else:
         from nimbus.plans import catalog
 

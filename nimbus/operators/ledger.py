@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nimbus.functions.calendar import SEASONS, season_index
 from nimbus.schema import (
     AGGREGATION_TYPES,
     DEFAULT_RULES,
@@ -24,6 +25,7 @@ from nimbus.schema import (
     TRANSFORMATION_STATUSES,
     ValidationRules,
 )
+from nimbus.session import cut_lineage
 
 
 # ---------------------------------------------------------------- records
@@ -51,10 +53,12 @@ def record_ingestion(
     end_date: dt.date | None = None,
     details: dict | None = None,
     source_path: str | None = None,
+    error_message: str | None = None,
+    ingestion_id: str | None = None,
 ) -> DataFrame:
     """Append one ingestion row (checked first) and return it."""
     row = (
-        str(uuid.uuid4()),
+        ingestion_id or str(uuid.uuid4()),
         dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
         source_type,
         source_name,
@@ -66,7 +70,7 @@ def record_ingestion(
         _dec(duration_seconds),
         _dec(quality_score),
         status,
-        None,
+        error_message,
         start_date,
         end_date,
         json.dumps(details or {}, default=str, sort_keys=True),
@@ -91,30 +95,15 @@ def append_ingestions(runs: DataFrame, path: str) -> DataFrame:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    rows = runs.select(*cols)
+    # written once: what is checked is what is appended
+    rows = cut_lineage(runs.select(*cols), "ledger-rows")
     append_checked(rows, path, "ingestion")
     return rows
 
 
-def record_transformation(
-    spark: SparkSession,
-    path: str,
-    name: str,
-    input_records: int,
-    output_records: int,
-    processing_time: float | None = None,
-    output_path: str | None = None,
-    config: dict | None = None,
-    ingestion_id: str | None = None,
-    kind: str = "AGGREGATION",
-    status: str = "SUCCESS",
-) -> DataFrame:
-    """Append one transformation row; records_dropped = max(in - out, 0)."""
-    return record_transformations(
-        spark, path,
-        [transformation_row(name, input_records, output_records, processing_time,
-                            output_path, config, ingestion_id, kind, status)],
-    )
+def record_transformation(spark: SparkSession, path: str, name: str, input_records: int, output_records: int, **more) -> DataFrame:
+    """Append one transformation row; records_dropped = max(in - out, 0). ``more`` as in ``transformation_row``."""
+    return record_transformations(spark, path, [transformation_row(name, input_records, output_records, **more)])
 
 
 def record_transformations(spark: SparkSession, path: str, rows: list[tuple]) -> DataFrame:
@@ -124,30 +113,49 @@ def record_transformations(spark: SparkSession, path: str, rows: list[tuple]) ->
     return df
 
 
+def append_transformations(runs: DataFrame, path: str) -> DataFrame:
+    """Append many transformation rows (any subset of the ledger columns) at once, checked first."""
+    dropped = with_records_dropped(runs)
+    present = set(dropped.columns)
+    cols = [
+        (F.col(f.name).cast(f.dataType) if f.name in present else F.expr("uuid()") if f.name == "transformation_id" else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in TRANSFORMATION_LEDGER.fields
+    ]
+    rows = cut_lineage(dropped.select(*cols), "ledger-rows")
+    append_checked(rows, path, "transformation")
+    return rows
+
+
 def transformation_row(
     name: str,
-    input_records: int,
-    output_records: int,
+    input_records: int | None,
+    output_records: int | None,
     processing_time: float | None = None,
     output_path: str | None = None,
     config: dict | None = None,
     ingestion_id: str | None = None,
     kind: str = "AGGREGATION",
     status: str = "SUCCESS",
+    error_message: str | None = None,
 ) -> tuple:
+    """One ledger row; it completed now and started ``processing_time`` seconds ago."""
+    done = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    known = input_records is not None and output_records is not None
     return (
         str(uuid.uuid4()),
         ingestion_id,
         name,
         kind,
-        int(input_records),
-        int(output_records),
-        max(int(input_records) - int(output_records), 0),
+        input_records,
+        output_records,
+        max(input_records - output_records, 0) if known else None,
         _dec(processing_time),
         json.dumps(config or {}, default=str, sort_keys=True),
         output_path,
         status,
-        dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
+        error_message,
+        done - dt.timedelta(seconds=processing_time or 0),
+        done,
     )
 
 
@@ -162,26 +170,27 @@ def with_records_dropped(runs: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- summaries
 
 
-def ingestion_stats(ledger: DataFrame) -> DataFrame:
-    """Per source type: runs, records, mean quality score, latest run."""
-    return ledger.groupBy("source_type").agg(
+def _ingestion_counts() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_ingestions"),
         F.sum("records_count").alias("total_records"),
         F.avg("data_quality_score").alias("avg_quality_score"),
-        F.max("ingestion_timestamp").alias("last_ingestion"),
-    )
+    ]
+
+
+def ingestion_stats(ledger: DataFrame) -> DataFrame:
+    """Per source type: runs, records, mean quality score, latest run."""
+    latest = F.max("ingestion_timestamp").alias("last_ingestion")
+    return ledger.groupBy("source_type").agg(*_ingestion_counts(), latest)
 
 
 def ingestion_summary(ledger: DataFrame) -> DataFrame:
     """Ingestion stats plus successful and failed run counts."""
+    having = lambda status: F.count_if(F.col("status") == status)
     return ledger.groupBy("source_type").agg(
-        F.count(F.lit(1)).alias("total_ingestions"),
-        F.sum("records_count").alias("total_records"),
-        F.avg("data_quality_score").alias("avg_quality_score"),
-        F.sum(F.when(F.col("status") == "SUCCESS", 1).otherwise(0)).alias(
-            "successful_ingestions"
-        ),
-        F.sum(F.when(F.col("status") == "FAILED", 1).otherwise(0)).alias("failed_ingestions"),
+        *_ingestion_counts(),
+        having("SUCCESS").alias("successful_ingestions"),
+        having("FAILED").alias("failed_ingestions"),
         F.max("ingestion_timestamp").alias("last_ingestion"),
     )
 
@@ -202,50 +211,44 @@ def transformation_performance(runs: DataFrame, digits: int = 6) -> DataFrame:
 # ------------------------------------------------------------ constraints
 
 
-def _violations(kind: str) -> list[tuple[str, Column]]:
-    if kind == "ingestion":
-        score = F.col("data_quality_score")
-        return [
-            ("source_type", ~F.col("source_type").isin(*SOURCE_TYPES) | F.col("source_type").isNull()),
-            ("status", ~F.col("status").isin(*INGESTION_STATUSES) | F.col("status").isNull()),
-            ("quality_score", score.isNotNull() & ((score < 0) | (score > 100))),
-        ]
-    if kind == "transformation":
-        return [
-            (
-                "status",
-                ~F.col("status").isin(*TRANSFORMATION_STATUSES) | F.col("status").isNull(),
-            ),
-            ("output_exceeds_input", F.col("output_records") > F.col("input_records")),
-        ]
-    if kind == "aggregation":
-        return [
-            (
-                "aggregation_type",
-                ~F.col("aggregation_type").isin(*AGGREGATION_TYPES)
-                | F.col("aggregation_type").isNull(),
-            ),
-        ]
-    raise ValueError(f"unknown ledger kind {kind!r}")
+def _violations(kind: str) -> list[tuple[str, tuple[str, ...], Column]]:
+    """(rule, the columns that it reads, condition of a broken row) of a ledger table."""
+
+    def allowed(column: str, values: tuple[str, ...]) -> tuple[str, tuple[str, ...], Column]:
+        c = F.col(column)
+        return column, (column,), c.isNull() | ~c.isin(*values)
+
+    score = F.col("data_quality_score")
+    rules = {
+        "ingestion": lambda: [
+            allowed("source_type", SOURCE_TYPES),
+            allowed("status", INGESTION_STATUSES),
+            ("quality_score", ("data_quality_score",), ~score.between(0, 100)),
+        ],
+        "transformation": lambda: [
+            allowed("status", TRANSFORMATION_STATUSES),
+            ("output_exceeds_input", ("input_records", "output_records"), F.col("output_records") > F.col("input_records")),
+        ],
+        "aggregation": lambda: [allowed("aggregation_type", AGGREGATION_TYPES)],
+    }
+    if kind not in rules:
+        raise ValueError(f"unknown ledger kind {kind!r}")
+    return rules[kind]()
 
 
 def ledger_constraints(df: DataFrame, kind: str) -> DataFrame:
-    """Rows that break a ledger constraint, with the names of the broken rules."""
-    rules = [(n, c) for n, c in _violations(kind) if _columns_present(df, c)]
+    """Rows that break a ledger constraint, with the names of the broken rules.
+
+    A rule over a column that the table does not have does not apply.
+    """
+    there = set(df.columns)
+    rules = [(n, c) for n, reads, c in _violations(kind) if there.issuperset(reads)]
     broken = F.array_compact(
         F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules])
     )
     return df.withColumn("violations", broken).filter(F.size("violations") > 0)
 
 
-def _columns_present(df: DataFrame, c: Column) -> bool:
-    try:
-        df.select(c)
-        return True
-    except Exception:  # noqa: BLE001 - a rule over an absent column does not apply
-        return False
-
-
 def append_checked(df: DataFrame, path: str, kind: str) -> None:
     """Append rows to a ledger table after checking its constraints."""
     bad = ledger_constraints(df, kind).limit(1).count()
@@ -260,68 +263,64 @@ def append_checked(df: DataFrame, path: str, kind: str) -> None:
 METRICS = {"TAVG": "temperature", "RHUM": "humidity", "PRCP": "precipitation", "AWND": "wind_speed"}
 
 
+def _daily_moments(enriched: DataFrame, metrics: list[str]) -> DataFrame:
+    """Per DATE and metric number: count, sum, least, most and the squares about the day's mean."""
+    parts = [
+        F.struct(
+            F.lit(i).alias("m"), F.count(c).alias("n"), F.sum(c).alias("s"), F.min(c).alias("lo"),
+            F.max(c).alias("hi"), (F.var_pop(c) * F.count(c)).alias("sq"),
+        ).alias(f"m{i}")
+        for i, c in enumerate(metrics)
+    ]
+    days = enriched.filter(F.col("DATE").isNotNull()).groupBy("DATE").agg(*parts)
+    return days.select("DATE", F.explode(F.array(*[f"m{i}" for i in range(len(metrics))])).alias("x")).select("DATE", "x.*")
+
+
 def aggregation_facts(enriched: DataFrame, location: str | None = None) -> DataFrame:
     """Long table of (type, metric, period) statistics as Decimal(10,2).
 
-    One scan: each dated row is unpivoted to one row per metric and fanned
-    out to its DAILY, MONTHLY, SEASONAL and YEARLY period (an Expand feeding
-    the partial aggregate), then one grouped aggregation. Per row only
-    integer codes are produced (type, metric, period number); names and period
-    labels are attached after the aggregation, on the small result.
+    Two stages: one grouped aggregation by day over the rows, then the days
+    (a few thousand, whatever the input) are rolled up to their daily, monthly,
+    seasonal and yearly periods. Squares about a period's mean are those about
+    the days' means plus what the days' means differ by.
     """
-    from nimbus.functions.calendar import SEASONS
-
     metrics = [(c, m) for c, m in METRICS.items() if c in enriched.columns]
     types = ["DAILY", "MONTHLY", "SEASONAL", "YEARLY"]
-    month = F.col("MONTH")
-    season_idx = (
-        F.when(month.between(3, 5), 1).when(month.between(6, 8), 2)
-        .when(month.between(9, 11), 3).otherwise(0)
-    )
-    periods = F.array(
-        F.struct(F.lit(0).alias("t"), F.unix_date("DATE").alias("k")),
-        F.struct(F.lit(1).alias("t"), (F.col("YEAR") * 100 + month).alias("k")),
-        F.struct(F.lit(2).alias("t"), (F.col("YEAR") * 10 + season_idx).alias("k")),
-        F.struct(F.lit(3).alias("t"), F.col("YEAR").alias("k")),
-    )
-    values = F.array(
-        *[F.struct(F.lit(i).alias("m"), F.col(c).alias("v")) for i, (c, _) in enumerate(metrics)]
-    )
-    fanned = (
-        enriched.filter(F.col("DATE").isNotNull())
-        .select("DATE", F.explode(values).alias("_m"), periods.alias("_ps"))
-        .select("DATE", "_m.m", "_m.v", F.explode("_ps").alias("_p"))
-        .select("DATE", "m", "v", F.col("_p.t").alias("t"), F.col("_p.k").alias("k"))
-    )
-    d = lambda x: x.try_cast("decimal(10,2)")
-    stats = fanned.groupBy("t", "m", "k").agg(
+    year, month = F.year("DATE"), F.month("DATE")
+    keys = [F.unix_date("DATE"), year * 100 + month, year * 10 + season_index(month), year]
+    periods = F.array(*[F.struct(F.lit(t).alias("t"), k.cast("long").alias("k")) for t, k in enumerate(keys)])
+    fanned = _daily_moments(enriched, [c for c, _ in metrics]).select("*", F.explode(periods).alias("p")).select("*", "p.t", "p.k")
+    sums = fanned.groupBy("t", "m", "k").agg(
         F.min("DATE").alias("period_start"),
         F.max("DATE").alias("period_end"),
-        d(F.avg("v")).alias("value_mean"),
-        d(F.min("v")).alias("value_min"),
-        d(F.max("v")).alias("value_max"),
-        d(F.stddev_samp("v")).alias("value_std"),
-        F.count("v").alias("value_count"),
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        (F.sum("sq") + F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("n")))).alias("raw"),
     )
-    name_of = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), i + 1)
+    n, total = F.col("n"), F.col("s")
+    squares = F.greatest(F.col("raw") - F.try_divide(total * total, n), F.lit(0.0))
+    d = lambda x: x.try_cast("decimal(10,2)")
+    name_of = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
     k = F.col("k")
     label = (
-        F.when(F.col("t") == 0, F.date_format(F.date_from_unix_date(k), "yyyy-MM-dd"))
+        F.when(F.col("t") == 0, F.date_format(F.date_from_unix_date(k.cast("int")), "yyyy-MM-dd"))
         .when(F.col("t") == 1, F.format_string("%04d-%02d", F.floor(k / 100), k % 100))
         .when(F.col("t") == 2, F.concat_ws("-", F.floor(k / 10).cast("string"), name_of(SEASONS, k % 10)))
         .otherwise(k.cast("string"))
     )
-    return stats.select(
+    return sums.select(
         name_of(types, F.col("t")).alias("aggregation_type"),
         name_of([m for _, m in metrics], F.col("m")).alias("metric_name"),
         label.alias("period_key"),
         "period_start",
         "period_end",
-        "value_mean",
-        "value_min",
-        "value_max",
-        "value_std",
-        "value_count",
+        d(F.try_divide(total, n)).alias("value_mean"),
+        d(F.col("lo")).alias("value_min"),
+        d(F.col("hi")).alias("value_max"),
+        d(F.when(n > 1, F.sqrt(squares / (n - 1)))).alias("value_std"),
+        n.alias("value_count"),
         F.lit(location).cast("string").alias("location"),
     )
 

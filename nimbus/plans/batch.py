@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,67 +34,133 @@ def process_all(raw: DataFrame, rules: ValidationRules = DEFAULT_RULES) -> dict[
         "daily": daily,
         "monthly": aggregate.monthly(enriched),
         "seasonal": aggregate.seasonal(enriched),
-        "trends": trend.trends(daily),
+        "trends": trend.trends(daily, materialize=False),
     }
 
 
+LEDGER_TABLES = ("spark_transformations", "aggregation_facts", "data_quality_checks")
+
+
 def run_batch(
     spark: SparkSession,
     raw: DataFrame,
     out_root: str,
     ledger_root: str | None = None,
     rules: ValidationRules = DEFAULT_RULES,
+    ingestion_id: str | None = None,
 ) -> DataFrame:
     """Clean, aggregate and store daily, monthly, seasonal and trends.
 
-    Returns the save results (one row per dataset, plus the cleaned table).
+    Returns the save results (one row per aggregate; a failed one has its
+    error text and stops no other). With ``ledger_root``, every step is
+    appended to the ledger, failed ones included, and so are the aggregation
+    facts and the quality checks, all linked to ``ingestion_id``.
     """
     started = time.time()
+    clean_path = os.path.join(out_root, "clean")
     raw_rows = Observation(f"raw_rows_{time.time_ns()}")
     observed = raw.observe(raw_rows, F.count(F.lit(1)).alias("n"))
-    clean_meta = files.sink_parquet(clean.clean(observed, rules), os.path.join(out_root, "clean"))
+    rows = clean.clean(observed, rules).withColumn("YEAR", F.year("DATE"))
+    parts = files.DEFAULT_PARTITIONING["clean"]
+    try:
+        clean_meta = files.sink_parquet(rows, clean_path, parts)
+    except Exception as exc:
+        if ledger_root:
+            failed = ledger.transformation_row(
+                "clean", None, None, time.time() - started, clean_path, {"rules": rules.__dict__},
+                ingestion_id, "CLEANING", "FAILED", str(exc),
+            )
+            ledger.record_transformations(spark, os.path.join(ledger_root, LEDGER_TABLES[0]), [failed])
+        raise
     clean_time = time.time() - started
 
-    stored = spark.read.parquet(os.path.join(out_root, "clean"))
+    # the declared schema also reads a dataset without any row; YEAR comes from the folders
+    stored = files.scan_dataset(spark, out_root, "clean", rows.schema).drop("YEAR")
     enriched = enrich.enrich(stored)
+    daily = aggregate.daily(enriched)
     results = files.save_all(
-        {
-            "daily": aggregate.daily(enriched),
-            "monthly": aggregate.monthly(enriched),
-            "seasonal": aggregate.seasonal(enriched),
-        },
+        {"daily": daily, "monthly": aggregate.monthly(enriched), "seasonal": aggregate.seasonal(enriched)},
         out_root,
     )
-    daily_stored = spark.read.parquet(os.path.join(out_root, "daily"))
-    trend_results = files.save_all(
-        {"trends": trend.trends(daily_stored, materialize=False)}, out_root
-    )
-    all_results = results.unionByName(trend_results)
+    failed_daily = results.where("dataset_name = 'daily' AND error IS NOT NULL").select("error").collect()
+
+    def trends() -> DataFrame:
+        if failed_daily:
+            raise RuntimeError(f"daily was not stored: {failed_daily[0]['error']}")
+        return trend.trends(files.scan_dataset(spark, out_root, "daily", daily.schema), materialize=False)
 
+    all_results = results.unionByName(files.save_all({"trends": trends}, out_root, spark=spark))
     if ledger_root:
         n_raw = int(raw_rows.get.get("n", 0))
-        rows = [
+        steps = [
             ledger.transformation_row(
                 "clean", n_raw, clean_meta["record_count"], clean_time,
-                clean_meta["output_path"], {"rules": rules.__dict__}, kind="CLEANING",
+                clean_meta["output_path"], {"rules": rules.__dict__}, ingestion_id, kind="CLEANING",
             )
-        ]
+        ]
         written = {r["dataset_name"]: r for r in all_results.collect()}  # 4 rows
         for name, r in written.items():
-            if r["error"] is not None:
-                continue
             source = written["daily"]["record_count"] if name == "trends" else clean_meta["record_count"]
-            rows.append(
+            status = "SUCCESS" if r["error"] is None else "FAILED"
+            steps.append(
                 ledger.transformation_row(
-                    name, source, r["record_count"], r["duration_seconds"], r["output_path"]
+                    name, source, r["record_count"], r["duration_seconds"], r["output_path"], None,
+                    ingestion_id, "AGGREGATION", status, r["error"],
                 )
-            )
-        ledger.record_transformations(
-            spark, os.path.join(ledger_root, "spark_transformations"), rows
-        )
+            )
+        tables = [os.path.join(ledger_root, t) for t in LEDGER_TABLES]
+        ledger.record_transformations(spark, tables[0], steps)
+        link = F.lit(ingestion_id).cast("string").alias("ingestion_id")
+        ledger.aggregation_facts(enriched).select("*", link).write.mode("append").parquet(tables[1])
+        ledger.quality_checks(raw, rules).select("*", link).write.mode("append").parquet(tables[2])
     return all_results
 
 
+def ingest_and_batch(
+    spark: SparkSession,
+    landing: str,
+    sink: str,
+    out_root: str,
+    ledger_root: str,
+    fmt: str = "csv",
+    checkpoint: str | None = None,
+    rules: ValidationRules = DEFAULT_RULES,
+) -> DataFrame:
+    """Ingest what has landed, record the run, and run the batch over the whole sink."""
+    from nimbus.schema import OBSERVATION
+
+    ingestion_id = ingest_recorded(spark, landing, sink, ledger_root, fmt, checkpoint)
+    raw = files.scan_dataset(spark, os.path.dirname(sink.rstrip("/")), os.path.basename(sink.rstrip("/")), OBSERVATION)
+    return run_batch(spark, raw, out_root, ledger_root, rules, ingestion_id)
+
+
+def ingest_recorded(
+    spark: SparkSession, landing: str, sink: str, ledger_root: str, fmt: str = "csv", checkpoint: str | None = None
+) -> str:
+    """One ingest run and its row in the ingestion ledger (also when it fails); the row's id."""
+    from nimbus.streaming import ingest
+
+    started, ingestion_id = time.time(), str(uuid.uuid4())
+    ledger_path = os.path.join(ledger_root, "ingestion_metadata")
+    common = {"source_path": landing, "ingestion_id": ingestion_id}
+    kind = "JSON" if fmt == "json" else "CSV"
+    try:
+        run = ingest.ingest_payloads if fmt == "json" else ingest.resumable_ingest
+        totals = ingest.ingest_totals(run(spark, landing, sink, checkpoint)).collect()[0]
+    except Exception as exc:
+        ledger.record_ingestion(
+            spark, ledger_path, kind, os.path.basename(landing.rstrip("/")), status="FAILED",
+            duration_seconds=time.time() - started, error_message=str(exc), **common,
+        )
+        raise
+    ledger.record_ingestion(
+        spark, ledger_path, kind, os.path.basename(landing.rstrip("/")), totals["rows"], totals["valid_rows"],
+        totals["failed_rows"], "PARTIAL" if totals["failed_rows"] else "SUCCESS", time.time() - started,
+        totals["valid_percent"], details={"batches": totals["batches"]}, **common,
+    )
+    return ingestion_id
+
+
 def process_latest(
     spark: SparkSession,
     landing: str,
@@ -102,11 +169,11 @@ def process_latest(
     schema=None,
     rules: ValidationRules = DEFAULT_RULES,
 ) -> DataFrame:
-    """Run the batch on the newest landed CSV file of ``landing``."""
+    """Run the batch on the newest CSV landing under ``landing`` (all its part files)."""
     from nimbus.schema import OBSERVATION
 
-    latest = files.latest_file(spark, landing, "*.csv").first()
-    if latest is None or latest["path"] is None:
+    latest = files.latest_landing(spark, landing, "*.csv").first()
+    if latest is None:
         raise FileNotFoundError(f"no CSV file under {landing}")
     raw = files.scan_csv(spark, latest["path"], schema or OBSERVATION)
     return run_batch(spark, raw, out_root, ledger_root, rules)

@@ -118,7 +118,9 @@ TRANSFORMATION_LEDGER = T.StructType(
         T.StructField("config", T.StringType()),
         T.StructField("output_path", T.StringType()),
         T.StructField("status", T.StringType()),
+        T.StructField("error_message", T.StringType()),
         T.StructField("started_at", T.TimestampNTZType()),
+        T.StructField("completed_at", T.TimestampNTZType()),
     ]
 )
 
