@@ -119,14 +119,27 @@ def q_date_range(spark, sf):
     return clean.date_range(daily_r(spark, sf), "1996-03-01", "1999-10-31")
 
 
+def _with_odd_values(df: DataFrame, *cols: str) -> DataFrame:
+    """The first days of a month turned into NaN and infinities, so that there is something to clean.
+
+    All rows are kept.
+    """
+    inf = float("inf")
+    odd = {1: float("nan"), 2: inf, 3: -inf}
+    return df.withColumns(
+        {c: F.coalesce(*[F.when(F.col("DAY") == d, F.lit(v)) for d, v in odd.items()], F.col(c)) for c in cols}
+    )
+
+
 @register("nonfinite_to_null")
 def q_nonfinite_to_null(spark, sf):
-    return clean.nonfinite_to_null(daily_r(spark, sf))
+    return clean.nonfinite_to_null(_with_odd_values(daily_r(spark, sf), "TEMP_AVG", "WIND_SPEED_MAX"))
 
 
 @register("drop_null_measure")
 def q_drop_null_measure(spark, sf):
-    return clean.drop_null_measure(daily_r(spark, sf), "TEMP_AVG")
+    odd = _with_odd_values(daily_r(spark, sf), "TEMP_AVG")
+    return clean.drop_null_measure(clean.nonfinite_to_null(odd), "TEMP_AVG")
 
 
 # ------------------------------------------------------------- C: scalar functions
@@ -184,9 +197,9 @@ def q_month_label(spark, sf):
 
 @register("null_to_zero")
 def q_null_to_zero(spark, sf):
-    return fr.monthly(spark, sf).select(
-        "YEAR", "MONTH", null_to_zero(F.col("PRECIPITATION_TOTAL")).alias("PRECIPITATION_TOTAL")
-    )
+    # March without a total, May with NaN
+    total = F.when(F.col("MONTH") == 5, F.lit(float("nan"))).when(F.col("MONTH") != 3, F.col("PRECIPITATION_TOTAL"))
+    return fr.monthly(spark, sf).select("YEAR", "MONTH", null_to_zero(total).alias("PRECIPITATION_TOTAL"))
 
 
 @register("round_display")
@@ -405,7 +418,17 @@ def q_record_ingestion(spark, sf):
 
 @register("record_transformation")
 def q_record_transformation(spark, sf):
-    return ledger.with_records_dropped(bindings.transformation_runs(spark, sf))
+    path = unique_scratch(spark, "transformation-ledger")
+    runs = bindings.transformation_runs(spark, sf)
+    # a run cannot put out more than went in: such rows would be rejected
+    allowed = runs.withColumn("output_records", F.least("output_records", F.greatest("input_records", F.lit(0))))
+    ledger.append_transformations(allowed, path)
+    return decimals_as_double(
+        spark.read.parquet(path).select(
+            "transformation_name", "transformation_type", "input_records", "output_records", "records_dropped",
+            "processing_time_seconds", "status",
+        )
+    )
 
 
 @register("ingestion_stats")
@@ -425,8 +448,25 @@ def q_transformation_performance(spark, sf):
 
 @register("ledger_constraints")
 def q_ledger_constraints(spark, sf):
-    bad = ledger.ledger_constraints(bindings.transformation_runs(spark, sf), "transformation")
-    return bad.withColumn("violations", F.array_join("violations", ","))
+    """Broken rules of all three ledger tables: their number by kind and rules."""
+    runs = bindings.ledger_runs(spark, sf)
+    ingestions = runs.withColumns(
+        {
+            "source_type": F.when(F.col("records_count") % 13 == 0, F.lit("FTP")).otherwise(F.col("source_type")),
+            "data_quality_score": F.col("data_quality_score") * 1.5 - 10.0,
+        }
+    )
+    facts = ledger.aggregation_facts(fr.enriched(spark, sf))
+    facts = facts.withColumn(
+        "aggregation_type", F.when(F.col("aggregation_type") != "YEARLY", F.col("aggregation_type")).otherwise("DECADE")
+    )
+    tables = {"ingestion": ingestions, "transformation": bindings.transformation_runs(spark, sf), "aggregation": facts}
+    found = [
+        ledger.ledger_constraints(df, kind).groupBy(F.array_join("violations", ",").alias("violations"))
+        .agg(F.count(F.lit(1)).alias("n_rows")).withColumn("kind", F.lit(kind))
+        for kind, df in tables.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # ------------------------------------------------------- I: declared analyses
@@ -484,7 +524,8 @@ def q_station_slopes(spark, sf):
 
 @register("hot_cold_days")
 def q_hot_cold_days(spark, sf):
-    return insight.hot_cold_days(fr.daily(spark, sf))
+    # the days of each station: single stations reach both limits
+    return insight.hot_cold_days(fr.station_day(spark, sf).withColumnRenamed("TAVG", "TEMP_AVG"))
 
 
 @register("season_profile")
@@ -532,8 +573,22 @@ def q_sink_csv(spark, sf):
 
 @register("flatten_payload")
 def q_flatten_payload(spark, sf):
-    docs = payload.build_payloads(fr.station_day(spark, sf))
-    return payload.flatten_payload(payload.parse_payloads(docs))
+    """Whole, ragged and empty documents.
+
+    Odd years have short rain and maximum arrays; every document has an empty twin.
+    """
+    docs = payload.parse_payloads(payload.build_payloads(fr.station_day(spark, sf)))
+    daily = F.col("doc.data.daily")
+    odd = F.year(F.to_date(F.get(daily["time"], F.lit(0)))) % 2 == 1
+
+    def short(field: str, n: int):
+        return F.when(odd, F.slice(daily[field], 1, n)).otherwise(daily[field])
+
+    ragged = daily.withField("precipitation_sum", short("precipitation_sum", 50))
+    ragged = ragged.withField("temperature_2m_max", short("temperature_2m_max", 30))
+    empty = daily.withField("time", F.array().cast("array<string>"))
+    both = docs.select("doc", F.explode(F.array(ragged, empty)).alias("daily"))
+    return payload.flatten_payload(both.select(F.col("doc").withField("data.daily", F.col("daily")).alias("doc")))
 
 
 @register("land_raw_json")
@@ -578,32 +633,48 @@ def q_save_all(spark, sf):
     )
 
 
-@register("list_datasets")
-def q_list_datasets(spark, sf):
+def _two_datasets(spark, sf) -> str:
     root = unique_scratch(spark, "datasets")
     files.save_all({"daily": fr.daily(spark, sf), "monthly": fr.monthly(spark, sf)}, root)
-    return files.list_datasets(spark, root)
+    return root
+
+
+@register("list_datasets")
+def q_list_datasets(spark, sf):
+    return files.list_datasets(spark, _two_datasets(spark, sf))
 
 
 @register("datasets_overview")
 def q_datasets_overview(spark, sf):
-    root = unique_scratch(spark, "datasets")
-    files.save_all({"daily": fr.daily(spark, sf), "monthly": fr.monthly(spark, sf)}, root)
-    return files.datasets_overview(spark, root)
+    # sizes and times vary from run to run; that they are there is checked
+    found = files.datasets_overview(spark, _two_datasets(spark, sf))
+    return found.select(
+        "name", (F.col("size_mb") >= 0).alias("has_size"), (F.col("file_count") > 0).alias("has_files"),
+        F.col("last_modified").isNotNull().alias("has_time"),
+    )
 
 
 @register("dataset_info")
 def q_dataset_info(spark, sf):
-    root = unique_scratch(spark, "datasets")
-    files.save_all({"daily": fr.daily(spark, sf)}, root)
-    return files.dataset_info_frame(spark, root + "/daily")
+    found = files.dataset_info_frame(spark, _two_datasets(spark, sf) + "/daily")
+    return found.select(
+        "name", (F.col("size_mb") >= 0).alias("has_size"), (F.col("file_count") > 0).alias("has_files"),
+        F.col("last_modified").isNotNull().alias("has_time"),
+    )
 
 
 @register("latest_file")
 def q_latest_file(spark, sf):
+    """The newest landing, all its part files read."""
     path = unique_scratch(spark, "landing")
-    files.sink_csv(fr.raw(spark, sf).repartition(4), path)
-    return files.latest_file(spark, path, "*.csv")
+    raw = fr.raw(spark, sf)
+    files.sink_csv(raw.where("STATION = 'ST_0'"), path + "/earlier")
+    files.sink_csv(raw.repartition(4), path + "/later")
+    newest = files.latest_landing(spark, path).collect()[0]
+    rows = files.scan_csv(spark, newest["path"], _raw_schema())
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("RHUM").alias("rhum")).select(
+        F.lit(newest["path"].rsplit("/", 1)[-1]).alias("landing"), F.lit(newest["files"]).cast("long").alias("files"), "*"
+    )
 
 
 # --------------------------------------------------- J: re-aimed operators
@@ -649,11 +720,30 @@ def q_ingest_payloads(spark, sf):
 
 @register("process_all")
 def q_process_all(spark, sf):
+    """Values of all seven frames of a batch run: rows, temperature and rain sums, first and last day."""
     out = unique_scratch(spark, "batch")
-    batch.run_batch(spark, fr.raw(spark, sf), out, ledger_root=out + "/_ledger")
-    return aggregate.dataset_counts(
-        {name: spark.read.parquet(f"{out}/{name}") for name in ("daily", "monthly", "seasonal", "trends")}
-    )
+    raw = fr.raw(spark, sf)
+    batch.run_batch(spark, raw, out, ledger_root=out + "/_ledger")
+    stored = {n: spark.read.parquet(f"{out}/{n}") for n in ("clean", "daily", "monthly", "seasonal", "trends")}
+    lazy = batch.process_all(raw)
+    frames = {"raw": lazy["raw"], "clean": stored["clean"], "enriched": enrich.enrich(stored["clean"].drop("YEAR")),
+              "daily": stored["daily"], "monthly": stored["monthly"], "seasonal": stored["seasonal"], "trends": stored["trends"]}
+
+    def values(name: str, df: DataFrame) -> DataFrame:
+        temp = "TAVG" if "TAVG" in df.columns else "TEMP_MA_7D" if "TEMP_MA_7D" in df.columns else "TEMP_AVG"
+        rain = "PRCP" if "PRCP" in df.columns else "PRECIPITATION_TOTAL"
+        day = (F.col("DATE") if "DATE" in df.columns else F.lit(None)).cast("string")
+        extra = F.sum("DAY_OF_WEEK") if "DAY_OF_WEEK" in df.columns else F.lit(None).cast("long")
+        return df.agg(
+            F.count(F.lit(1)).alias("RECORDS"), F.round(F.sum(temp), 4).alias("TEMP_SUM"), F.round(F.sum(rain), 4).alias("RAIN_SUM"),
+            F.min(day).alias("FIRST_DAY"), F.max(day).alias("LAST_DAY"), extra.alias("WEEKDAY_SUM"),
+        ).withColumn("DATASET", F.lit(name))
+
+    out_frames = [values(n, df) for n, df in frames.items()]
+    found = out_frames[0]
+    for df in out_frames[1:]:
+        found = found.unionByName(df)
+    return found
 
 
 def queries() -> dict[str, Query]:

@@ -159,8 +159,10 @@ SELECT initial, final, initial - final AS removed,
 FROM (SELECT (SELECT count(*) FROM obs_raw) AS initial, (SELECT count(*) FROM obs_clean) AS final)""",
     "project_available": "SELECT DATE, TEMP_AVG, TEMP_MIN, TEMP_MAX FROM daily",
     "date_range": f"SELECT * FROM ({_DR}) WHERE DATE BETWEEN DATE '1996-03-01' AND DATE '1999-10-31'",
-    "nonfinite_to_null": _DR,
-    "drop_null_measure": f"SELECT * FROM ({_DR}) WHERE TEMP_AVG IS NOT NULL",
+    "nonfinite_to_null": f"""
+SELECT * REPLACE (CASE WHEN DAY > 3 OR DAY IS NULL THEN TEMP_AVG END AS TEMP_AVG,
+                  CASE WHEN DAY > 3 OR DAY IS NULL THEN WIND_SPEED_MAX END AS WIND_SPEED_MAX) FROM ({_DR})""",
+    "drop_null_measure": f"SELECT * FROM ({_DR}) WHERE TEMP_AVG IS NOT NULL AND (DAY > 3 OR DAY IS NULL)",
     # C
     "calendar_parts": "SELECT DATE, YEAR, MONTH, DAY, DAY_OF_WEEK, WEEK_OF_YEAR FROM obs_enriched",
     "season": "SELECT DATE, SEASON FROM obs_enriched",
@@ -172,7 +174,9 @@ FROM (SELECT (SELECT count(*) FROM obs_raw) AS initial, (SELECT count(*) FROM ob
 SELECT DATE, strftime(DATE, '%Y-%m-%d') AS DATE_TEXT,
        strftime(make_date(YEAR, MONTH, 1), '%Y-%m') AS MONTH_TEXT FROM daily""",
     "month_label": f"SELECT YEAR, MONTH, {_label()} AS LABEL FROM monthly",
-    "null_to_zero": "SELECT YEAR, MONTH, coalesce(PRECIPITATION_TOTAL, 0.0e0) AS PRECIPITATION_TOTAL FROM monthly",
+    "null_to_zero": """
+SELECT YEAR, MONTH, CASE WHEN MONTH IN (3, 5) OR MONTH IS NULL THEN 0.0e0
+                         ELSE coalesce(PRECIPITATION_TOTAL, 0.0e0) END AS PRECIPITATION_TOTAL FROM monthly""",
     "round_display": """
 SELECT DATE, round(TEMP_AVG, 1) + 0.0 AS TEMP_AVG, round(HUMIDITY_AVG, 1) + 0.0 AS HUMIDITY_AVG,
        round(PRECIPITATION_TOTAL, 0) + 0.0 AS PRECIPITATION_TOTAL FROM daily""",
@@ -317,7 +321,9 @@ SELECT source_type, 'orders' AS source_name, status, records_count,
        CAST(TRY_CAST(CAST(data_quality_score AS VARCHAR) AS DECIMAL(5, 2)) AS DOUBLE) AS data_quality_score,
        ingestion_timestamp FROM ledger_runs""",
     "record_transformation": """
-SELECT *, greatest(input_records - output_records, 0) AS records_dropped FROM transformation_runs""",
+SELECT transformation_name, transformation_type, input_records, least(output_records, input_records) AS output_records,
+       greatest(input_records - least(output_records, input_records), 0) AS records_dropped,
+       processing_time_seconds, status FROM transformation_runs""",
     "ingestion_stats": """
 SELECT source_type, count(*) AS total_ingestions, CAST(sum(records_count) AS BIGINT) AS total_records,
        avg(data_quality_score) AS avg_quality_score, max(ingestion_timestamp) AS last_ingestion
@@ -336,12 +342,19 @@ SELECT transformation_name, transformation_type, count(*) AS total_runs,
        CAST(sum(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END) AS BIGINT) AS successful_runs
 FROM transformation_runs GROUP BY transformation_name, transformation_type""",
     "ledger_constraints": """
-SELECT * FROM (
-  SELECT *, concat_ws(',',
-           CASE WHEN status IS NULL OR status NOT IN ('PENDING', 'RUNNING', 'SUCCESS', 'FAILED')
-                THEN 'status' END,
-           CASE WHEN output_records > input_records THEN 'output_exceeds_input' END) AS violations
-  FROM transformation_runs) WHERE violations <> ''""",
+, ing AS (
+  SELECT concat_ws(',', CASE WHEN records_count % 13 = 0 THEN 'source_type' END,
+                   CASE WHEN status IS NULL OR status NOT IN ('PENDING', 'SUCCESS', 'FAILED', 'PARTIAL') THEN 'status' END,
+                   CASE WHEN data_quality_score * 1.5 - 10 < 0 OR data_quality_score * 1.5 - 10 > 100
+                        THEN 'quality_score' END) AS violations FROM ledger_runs),
+tra AS (
+  SELECT concat_ws(',', CASE WHEN status IS NULL OR status NOT IN ('PENDING', 'RUNNING', 'SUCCESS', 'FAILED')
+                        THEN 'status' END,
+                   CASE WHEN output_records > input_records THEN 'output_exceeds_input' END) AS violations
+  FROM transformation_runs)
+SELECT 'ingestion' AS kind, violations, count(*) AS n_rows FROM ing WHERE violations <> '' GROUP BY violations
+UNION ALL SELECT 'transformation', violations, count(*) FROM tra WHERE violations <> '' GROUP BY violations
+UNION ALL SELECT 'aggregation', 'aggregation_type', 4 * count(DISTINCT YEAR) FROM obs_enriched WHERE DATE IS NOT NULL""",
     # I
     "quality_checks": """
 , qc AS (
@@ -416,8 +429,8 @@ SELECT STATION, round(regr_slope(TAVG, x), 9) AS SLOPE_PER_DAY, round(regr_r2(TA
 FROM (SELECT *, CAST(DATE - DATE '1970-01-01' AS DOUBLE) AS x FROM obs_clean WHERE DATE IS NOT NULL)
 GROUP BY STATION""",
     "hot_cold_days": """
-SELECT count(*) FILTER (WHERE TEMP_AVG > 30) AS HOT_DAYS, count(*) FILTER (WHERE TEMP_AVG < 5) AS COLD_DAYS,
-       count(*) AS TOTAL_DAYS FROM daily_dated""",
+SELECT count(*) FILTER (WHERE TAVG > 30) AS HOT_DAYS, count(*) FILTER (WHERE TAVG < 5) AS COLD_DAYS,
+       count(*) AS TOTAL_DAYS FROM station_day""",
     "season_profile": """
 SELECT SEASON, round(avg(TAVG), 6) AS TEMP_MEAN, round(stddev_samp(TAVG), 6) AS TEMP_STD,
        round(avg(PRCP), 6) AS PRECIPITATION_MEAN, count(*) AS N_OBS
@@ -434,7 +447,15 @@ FROM d JOIN st ON d.SEASON = st.SEASON WHERE sd > 0 AND abs((d.TEMP_AVG - mu) /
 SELECT CAST(DATE AS VARCHAR) AS "Date", TEMP_AVG AS "Temp Moy", TEMP_MIN AS "Temp Min",
        TEMP_MAX AS "Temp Max", PRECIPITATION_TOTAL AS "Précipitations", HUMIDITY_AVG AS "Humidité"
 FROM daily""",
-    "flatten_payload": _FLAT,
+    "flatten_payload": """
+, ranked AS (
+  SELECT *, year(DATE) % 2 = 1 AS odd,
+         row_number() OVER (PARTITION BY STATION, year(DATE) ORDER BY DATE) AS i FROM station_day)
+SELECT 'OPENMETEO_' || upper(STATION_NAME) AS STATION, STATION_NAME || ', Côte d''Azur, France' AS STATION_NAME,
+       CAST(DATE AS VARCHAR) AS DATE, CAST(NULL AS DOUBLE) AS LATITUDE, CAST(NULL AS DOUBLE) AS LONGITUDE,
+       0 AS ELEVATION, CASE WHEN odd AND i > 30 THEN NULL ELSE TMAX END AS TMAX, TMIN, TAVG,
+       CASE WHEN odd AND i > 50 THEN 0.0e0 ELSE PRCP END AS PRCP, AWND, RHUM
+FROM ranked""",
     "land_raw_json": _FLAT,
     "enrich_station": """
 SELECT STATION_NAME AS location_name, 'OPENMETEO_' || upper(STATION_NAME) AS STATION,
@@ -442,9 +463,9 @@ SELECT STATION_NAME AS location_name, 'OPENMETEO_' || upper(STATION_NAME) AS STA
     "sink_parquet": _DR,
     "scan_dataset": "SELECT * FROM monthly",
     "save_all": """
-SELECT 'daily' AS dataset_name, count(*) AS record_count, 'YEAR,MONTH' AS partitioned_by,
+SELECT 'daily' AS dataset_name, count(*) AS record_count, '' AS partitioned_by,
        'snappy' AS compression, 'overwrite' AS mode, CAST(NULL AS VARCHAR) AS error FROM daily
-UNION ALL SELECT 'monthly', count(*), 'YEAR', 'snappy', 'overwrite', NULL FROM monthly
+UNION ALL SELECT 'monthly', count(*), '', 'snappy', 'overwrite', NULL FROM monthly
 UNION ALL SELECT 'seasonal', count(*), '', 'snappy', 'overwrite', NULL FROM seasonal""",
     # J
     "resumable_ingest": "SELECT * FROM obs_raw",
@@ -453,11 +474,27 @@ UNION ALL SELECT 'seasonal', count(*), '', 'snappy', 'overwrite', NULL FROM seas
 SELECT CAST(4 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS rows,
        CAST(count(*) FILTER (WHERE DATE IS NULL OR TRY_CAST(DATE AS DATE) IS NULL) AS BIGINT) AS failed_rows,
        CAST(count(*) AS BIGINT) AS cumulative_rows FROM obs_raw""",
+    "list_datasets": "SELECT DISTINCT n AS name FROM (VALUES ('daily'), ('monthly')) t(n), daily",
+    "datasets_overview": """
+SELECT DISTINCT n AS name, true AS has_size, true AS has_files, true AS has_time
+FROM (VALUES ('daily'), ('monthly')) t(n), daily""",
+    "dataset_info": "SELECT DISTINCT 'daily' AS name, true AS has_size, true AS has_files, true AS has_time FROM daily",
+    "latest_file": """
+SELECT 'later' AS landing, CAST(4 AS BIGINT) AS files, count(*) AS n_rows, sum(RHUM) AS rhum FROM obs_raw""",
     "process_all": """
-SELECT 'daily' AS DATASET, count(*) AS RECORDS FROM daily
-UNION ALL SELECT 'monthly', count(*) FROM monthly
-UNION ALL SELECT 'seasonal', count(*) FROM seasonal
-UNION ALL SELECT 'trends', count(*) FROM daily_dated""",
+, tr AS (SELECT *, avg(TEMP_AVG) OVER (ORDER BY DATE ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS MA FROM daily_dated)
+SELECT 'raw' AS DATASET, count(*) AS RECORDS, round(sum(TAVG), 4) AS TEMP_SUM, round(sum(PRCP), 4) AS RAIN_SUM,
+       min(DATE) AS FIRST_DAY, max(DATE) AS LAST_DAY, CAST(NULL AS BIGINT) AS WEEKDAY_SUM FROM obs_raw
+UNION ALL SELECT 'clean', count(*), round(sum(TAVG), 4), round(sum(PRCP), 4), CAST(min(DATE) AS VARCHAR),
+       CAST(max(DATE) AS VARCHAR), NULL FROM obs_clean
+UNION ALL SELECT 'enriched', count(*), round(sum(TAVG), 4), round(sum(PRCP), 4), CAST(min(DATE) AS VARCHAR),
+       CAST(max(DATE) AS VARCHAR), CAST(sum(DAY_OF_WEEK) AS BIGINT) FROM obs_enriched
+UNION ALL SELECT 'daily', count(*), round(sum(TEMP_AVG), 4), round(sum(PRECIPITATION_TOTAL), 4),
+       CAST(min(DATE) AS VARCHAR), CAST(max(DATE) AS VARCHAR), NULL FROM daily
+UNION ALL SELECT 'monthly', count(*), round(sum(TEMP_AVG), 4), round(sum(PRECIPITATION_TOTAL), 4), NULL, NULL, NULL FROM monthly
+UNION ALL SELECT 'seasonal', count(*), round(sum(TEMP_AVG), 4), round(sum(PRECIPITATION_TOTAL), 4), NULL, NULL, NULL FROM seasonal
+UNION ALL SELECT 'trends', count(*), round(sum(MA), 4), round(sum(PRECIPITATION_TOTAL), 4),
+       CAST(min(DATE) AS VARCHAR), CAST(max(DATE) AS VARCHAR), NULL FROM tr""",
 }
 
 
