@@ -91,7 +91,7 @@ def run_batch(
 
     all_results = results.unionByName(files.save_all({"trends": trends}, out_root, spark=spark))
     if ledger_root:
-        n_raw = int(raw_rows.get.get("n", 0))
+        n_raw = files.observed(raw_rows, "n")
         steps = [
             ledger.transformation_row(
                 "clean", n_raw, clean_meta["record_count"], clean_time,

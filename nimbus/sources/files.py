@@ -103,6 +103,19 @@ def scan_raw_json(spark: SparkSession, path: str) -> DataFrame:
 # ----------------------------------------------------------------- Parquet
 
 
+def observed(obs: Observation, name: str) -> int:
+    """An observed count; 0 where the rows are known to be none before anything runs (the
+    optimizer then drops the observation with them)."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return int(obs.get.get(name) or 0)
+    except Py4JJavaError as exc:
+        if "java.lang.AssertionError" in str(exc):
+            return 0
+        raise
+
+
 def sink_parquet(
     df: DataFrame,
     path: str,
@@ -136,7 +149,7 @@ def sink_parquet(
     return {
         "dataset_name": os.path.basename(path.rstrip("/")),
         "output_path": path,
-        "record_count": int(obs.get.get("rows", 0)),
+        "record_count": observed(obs, "rows"),
         "size_mb": round(_bytes_under(spark, path) / (1024.0 * 1024.0), 2),
         "partitioned_by": list(partition_by or []),
         "compression": compression,

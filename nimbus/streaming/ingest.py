@@ -51,11 +51,15 @@ def progress_of(sink: str) -> str:
 
 
 def _batches(spark: SparkSession, folder: str) -> set[int]:
-    """Batch numbers in a commit log (its file names)."""
-    if not files._exists(spark, folder):
-        return set()
-    names = files._listing(spark, folder).select(F.regexp_extract("path", r"/(\d+)(?:\.compact)?$", 1).alias("n"))
-    return {int(r["n"]) for r in names.where("n <> ''").collect()}
+    """Batch numbers in a commit log (its file names).
+
+    Spark's own readers hide folders such as ``_spark_metadata``, so the names
+    come from the file system that the path belongs to.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return {int(n.removesuffix(".compact")) for n in names if n.removesuffix(".compact").isdigit()}
 
 
 def _agreeing(spark: SparkSession, sink: str, checkpoint: str) -> set[int]:
@@ -88,12 +92,12 @@ def _run(rows: DataFrame, sink: str, checkpoint: str | None, name: str, partitio
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     kept = spark.conf.get(RETENTION, "100")
-    spark.conf.set(RETENTION, str(2**31 - 1))  # read when the query starts
+    spark.conf.set(RETENTION, str(2**31 - 1))  # read at every report
     try:
         query = writer.start()
+        query.awaitTermination()
     finally:
         spark.conf.set(RETENTION, kept)
-    query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     reports = {int(p.batchId): p for p in query.recentProgress if name in (p.observedMetrics or {})}

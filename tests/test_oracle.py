@@ -3,15 +3,16 @@
 import pytest
 
 import __spark_entry__ as se
+from nimbus.plans import catalog, oracle
 from tests.oracle_util import compare
 
-ORACLE = se.oracle_sql()
-QUERIES = se.queries()
-ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
+ORACLE = oracle.oracle_sql()
+QUERIES = catalog.queries()
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(se.queries()) and set(ORACLE) <= set(se.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -20,12 +21,6 @@ def test_query_matches_oracle(spark, con, sf_dir, name):
     assert diff is None, f"{name}: {diff}"
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_query_runs(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert df.count() > 0
-
-
 def test_entry_smoke(spark):
     df = se.entry(spark)
     assert df.count() > 0

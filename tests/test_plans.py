@@ -79,3 +79,19 @@ def test_histogram_and_periods_have_no_cartesian_product(spark, sf_dir):
 def test_aggregates_are_partial_before_exchange(spark, sf_dir):
     text = plan(fr.monthly(spark, sf_dir))
     assert "partial_avg" in text and "partial_count" in text
+
+
+def test_no_round_robin_in_any_query_plan(spark, sf_dir):
+    from nimbus.plans import catalog
+
+    for name in ("clean", "daily", "monthly", "histogram", "statistics", "trend_slope", "quality_checks", "ingestion_summary"):
+        assert "RoundRobin" not in plan(catalog.QUERIES[name](spark, sf_dir)), name
+
+
+def test_aggregation_facts_fan_out_days_not_rows(spark, sf_dir):
+    from nimbus.operators import ledger
+
+    text = plan(ledger.aggregation_facts(fr.enriched(spark, sf_dir)))
+    # both generators stand above the aggregate by day
+    assert text.count("Generate") >= 2
+    assert text.rindex("Generate explode(array(struct(t") < text.index("keys=[DATE")

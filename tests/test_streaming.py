@@ -1,5 +1,8 @@
 """Resumable ingestion: a rerun ingests only new files, exactly once."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from nimbus.plans import frames as fr
@@ -49,3 +52,68 @@ def test_progress_reports_failed_rows(spark, sf_dir):
     expect = raw.filter(F.col("DATE").isNull() | F.try_to_date("DATE").isNull()).count()
     assert failed == expect
     assert prog.agg(F.max("cumulative_rows")).first()[0] == raw.count()
+
+
+def write(folder, name, *lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+HEADER = "DATE,STATION,TAVG"
+
+
+def test_more_batches_than_the_reports_that_spark_keeps(spark, tmp_path):
+    landing, sink = str(tmp_path / "landing"), str(tmp_path / "sink")
+    for i in range(8):
+        write(landing, f"{i}.csv", HEADER, f"2020-01-0{i + 1},S,1.5")
+    spark.conf.set(ingest.RETENTION, "3")
+    try:
+        progress = ingest.resumable_ingest(spark, landing, sink, max_files_per_trigger=1)
+        assert spark.conf.get(ingest.RETENTION) == "3"
+    finally:
+        spark.conf.unset(ingest.RETENTION)
+    assert [r.cumulative_rows for r in progress.orderBy("batch_id").collect()] == list(range(1, 9))
+    # totals go on in the next run
+    write(landing, "later.csv", HEADER, "bad,S,1.5", "2020-02-01,S,2")
+    again = ingest.resumable_ingest(spark, landing, sink)
+    assert [r.cumulative_rows for r in again.collect()] == [10]
+    totals = ingest.ingest_totals(ingest.ingest_history(spark, sink)).collect()[0]
+    assert (totals.batches, totals.rows, totals.failed_rows, totals.valid_percent) == (9, 10, 1, 90.0)
+
+
+def test_a_new_checkpoint_on_a_used_sink_raises(spark, tmp_path):
+    landing, sink = str(tmp_path / "landing"), str(tmp_path / "sink")
+    write(landing, "a.csv", HEADER, "2020-01-01,S,1.5")
+    ingest.resumable_ingest(spark, landing, sink)
+    write(landing, "b.csv", HEADER, "2020-01-02,S,1.5")
+    with pytest.raises(ValueError, match="does not know"):
+        ingest.resumable_ingest(spark, landing, sink, str(tmp_path / "new"))
+    ingest.resumable_ingest(spark, landing, sink)
+    assert spark.read.parquet(sink).count() == 2
+
+
+def test_two_landings_keep_apart(spark, tmp_path):
+    for name in ("x", "y"):
+        write(str(tmp_path / name), "a.csv", "TAVG,DATE,STATION", f"1.5,2020-01-01,{name}")
+        ingest.resumable_ingest(spark, str(tmp_path / name), str(tmp_path / f"sink_{name}"))
+        row = spark.read.parquet(str(tmp_path / f"sink_{name}")).collect()[0]
+        assert (row.STATION, row.DATE, row.TAVG) == (name, "2020-01-01", 1.5)  # by name, not by place
+
+
+def test_a_file_with_another_header_raises(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    write(landing, "a.csv", HEADER, "2020-01-01,S,1.5")
+    write(landing, "b.csv", "STATION,DATE,TAVG", "S,2020-01-01,1.5")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        ingest.resumable_ingest(spark, landing, str(tmp_path / "sink"))
+
+
+def test_payload_progress_counts_rows(spark, sf_dir):
+    from nimbus.sources import payload
+
+    landing, sink = unique_scratch(spark, "landing"), unique_scratch(spark, "sink")
+    docs = payload.parse_payloads(payload.build_payloads(fr.station_day(spark, sf_dir)))
+    files.land_raw_json(docs.select("doc.*"), landing)
+    progress = ingest.ingest_payloads(spark, landing, sink)
+    assert progress.agg(F.sum("num_input_rows")).collect()[0][0] == spark.read.parquet(sink).count()
