@@ -18,7 +18,7 @@ table beside the sink, so cumulative counts go on across runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,12 +186,10 @@ def ingest_progress(spark: SparkSession, progress: list, name: str = "ingest", b
 
     ``before`` is the number of rows of earlier runs.
     """
-    rows = []
+    rows, total = [], before
     for p in sorted(progress, key=lambda p: p.batchId):
         metrics, rate = p.observedMetrics[name], p.processedRowsPerSecond
         rate = float(rate) if rate is not None and rate == rate else None
-        rows.append((int(p.batchId), p.timestamp, int(metrics["rows"]), int(metrics["failed"]), rate))
-    found = spark.createDataFrame(rows, T.StructType(PROGRESS.fields[:-1]))
-    # one row for each micro-batch of this run
-    upto = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("cumulative_rows", F.sum("num_input_rows").over(upto) + F.lit(before))
+        total += int(metrics["rows"])
+        rows.append((int(p.batchId), p.timestamp, int(metrics["rows"]), int(metrics["failed"]), rate, total))
+    return spark.createDataFrame(rows, PROGRESS)
