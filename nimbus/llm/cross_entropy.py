@@ -139,11 +139,21 @@ SUMS = "slice long, docs binary, losses binary, ids binary, known binary, words
 def _summed(table: pa.Table, unigrams: Unigrams, weight: float) -> pa.Table:
     """Counts the bigrams of a bucket for both models; the losses of each document of each slice."""
     rows = table.to_pylist()
-    code = np.concatenate([np.cumsum(np.frombuffer(r["codes"], np.uint32).astype(np.int64)) for r in rows])
-    docs = np.concatenate([np.frombuffer(r["docs"], np.uint32).astype(np.int64) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32).astype(np.int64) for r in rows])
-    value, place = np.unique(code, return_inverse=True)
-    together = np.stack([np.bincount(place, counts, len(value)), np.bincount(place, counts * (docs & 1), len(value))])
+    code = np.concatenate([np.cumsum(np.frombuffer(r["codes"], np.uint32), dtype=np.uint32) for r in rows])
+    docs = np.concatenate([np.frombuffer(r["docs"], np.uint32) for r in rows])
+    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+    order = np.argsort(code, kind="stable").astype(np.uint32)
+    first = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0]) if len(code) else np.zeros(0, np.int64)
+    value = code[order[first]].astype(np.int64)
+    both = counts[order].astype(np.float64)
+    together = np.zeros((2, len(first)))
+    if len(first):
+        together[0] = np.add.reduceat(both, first)
+        both[docs[order] & 1 == 0] = 0
+        together[1] = np.add.reduceat(both, first)
+    place = np.empty(len(code), np.uint32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.r_[first, len(code)]))
+    del order, both
     loss = unigrams.losses(value, together, weight)
     out, lo = [], 0
     for r in rows:
@@ -174,7 +184,7 @@ def _scored(table: pa.Table) -> pa.Table:
     return pa.table([ids, pa.array(words), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[1] - mean[0])], names=["doc_id", "n_words", "background_loss", "target_loss", "score"])
 
 
-def score(documents: DataFrame, targets: DataFrame, vocabulary: int = VOCABULARY, weight: float = 0.75, bucket_bytes: int = 128 << 20) -> DataFrame:
+def score(documents: DataFrame, targets: DataFrame, vocabulary: int = VOCABULARY, weight: float = 0.75, bucket_bytes: int = 32 << 20) -> DataFrame:
     """`doc_id, n_words, background_loss, target_loss, score` of every row."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     flagged = with_target(documents, targets)
