@@ -231,7 +231,7 @@ def _cut(documents: DataFrame, k: int, block_bytes: int, schema: StructType, fin
         taken = doc < block.ids[block.text[at]]
         return finish(block, at[taken], doc[taken], place[taken])
 
-    lean = blocks.select("_sd_block", "doc_id", "text")
+    lean = blocks  # all columns: one exchange serves all three readers
     sent = lean.groupBy("_sd_block").applyInArrow(send_minimizers, SENT)
     first = sent.groupBy("bucket").applyInArrow(_answers, ANSWERED)
     edges = lean.groupBy("_sd_block").cogroup(first.groupBy("block")).applyInArrow(send_edges, SENT)
