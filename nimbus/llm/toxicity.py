@@ -144,9 +144,10 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("toxic = 1").orderBy(*by_hash).limit(positives).select("doc_id", F.lit(1).alias("kind"))
     free = documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id")
-    ids = ids.unionByName(free.orderBy(*by_hash).limit(unlabelled).select("doc_id", F.lit(0).alias("kind")))
-    # at most positives + unlabelled ids
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", "text")
+    ids = ids.unionByName(free.distinct().orderBy(*by_hash).limit(unlabelled).select("doc_id", F.lit(0).alias("kind")))
+    # at most positives + unlabelled ids, and one text of each however often it is repeated
+    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "kind").agg(F.max("text").alias("text")).select("kind", "text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
