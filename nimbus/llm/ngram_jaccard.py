@@ -13,9 +13,14 @@ therefore first dealt into cells: two sets with Jaccard t share at least l
 shingles among their first n - ceil(t * n) + l in any fixed order of shingles
 (here: the ones that many documents hold last, then by hash), so a cell for
 each of these shingles loses no pair. A small cell compares its points
-directly; a large one links all to its middle point, and a second pass searches
-it by an R-tree for pairs that are still in different components. Equal sets
-are one node throughout.
+directly; a large one pairs all with its middle point, and a second pass
+searches it by an R-tree for pairs that are still in different components.
+Equal sets are one node throughout.
+
+Found pairs are first bounded again by finer points (a group for every second
+shingle). Then one pair of each node is verified on the whole sets, which ties
+a group of near copies together without its square of pairs, and after it the
+pairs that are still between different components.
 
 Defined results for odd input: null texts and texts without words have
 `n_shingles` 0 and are linked with nothing; texts with fewer words than a
@@ -42,6 +47,7 @@ OVER = np.uint16(65535)  # a count that may be larger
 SMALL_CELL = 32
 COMMON = 65_536  # shingles that are put last; a matter of speed, any order gives the same pairs
 CHUNK = 2048
+BROADCAST_BYTES = 64 << 20
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +87,65 @@ def count_vectors(first: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return np.minimum(counts, OVER).astype(np.uint16)
 
 
+def fine_points(first: np.ndarray, shingles: np.ndarray) -> list[bytes]:
+    """The counts of each set in about half as many groups as it has members, one byte a group (255: or more)."""
+    group = (mix(shingles * M2) >> np.uint64(40)).astype(np.int64)
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        groups = fine_groups(hi - lo)
+        out.append(np.minimum(np.bincount(group[lo:hi] % groups, minlength=groups), 255).astype(np.uint8).tobytes())
+    return out
+
+
+def fine_groups(size: int) -> int:
+    """A power of two, so that a finer point folds into a coarser one."""
+    return 1 << min(14, max(4, (size // 2).bit_length()))
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """Summed coordinate minima at the coarser of two resolutions."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 60
+    groups = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, groups).sum(axis=0, dtype=np.int64), y.reshape(-1, groups).sum(axis=0, dtype=np.int64)).sum())
+
+
+class FinePoints:
+    """The finer points of a cell, by resolution, for bounds against many of them at once."""
+
+    def __init__(self, points: list[bytes]):
+        self.groups = np.array([len(p) for p in points])
+        self.place = np.zeros(len(points), np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        for g in np.unique(self.groups).tolist():
+            at = np.flatnonzero(self.groups == g)
+            self.place[at] = np.arange(len(at))
+            self.tables[g] = np.stack([np.frombuffer(points[i], np.uint8) for i in at])
+        self.over = np.array([b"\xff" in p for p in points])
+
+    def coarse(self) -> np.ndarray:
+        """All points folded to GROUPS counts."""
+        out = np.zeros((len(self.groups), GROUPS), np.uint16)
+        for g, table in self.tables.items():
+            out[self.groups == g] = np.minimum(table.reshape(len(table), -1, GROUPS).sum(axis=1, dtype=np.int64), OVER)
+        out[self.over] = OVER
+        return out
+
+    def bounds(self, q: int, others: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlap of point `q` with each of `others`."""
+        most = np.full(len(others), np.int64(1) << 60)
+        if self.over[q]:
+            return most
+        mine = self.tables[int(self.groups[q])][self.place[q]].astype(np.uint32)
+        for g in np.unique(self.groups[others]).tolist():
+            at = np.flatnonzero((self.groups[others] == g) & ~self.over[others])
+            n = min(g, len(mine))
+            theirs = self.tables[g][self.place[others[at]]].reshape(len(at), -1, n).sum(axis=1, dtype=np.uint32)
+            most[at] = np.minimum(theirs, mine.reshape(-1, n).sum(axis=0, dtype=np.uint32)).sum(axis=1, dtype=np.int64)
+        return most
+
+
 class Threshold:
     """Links where 100 * intersection >= percent * union."""
 
@@ -145,14 +210,13 @@ class CountRTree:
         return self.order[at]
 
 
-FOUND = "kind int, a long, b long, shared long, need long, size long, counts binary"
+FOUND = "kind int, a long, b long, shared long, need long"
 
 
-def _found(kind: int, a, b=None, shared=None, need=None, size=None, counts=None) -> pa.RecordBatch:
+def _found(kind: int, a, b=None, shared=None, need=None) -> pa.RecordBatch:
     n = len(a)
     none = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(np.asarray(x, np.int64))
-    counts = pa.nulls(n, pa.binary()) if counts is None else pa.array([c.tobytes() for c in counts], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), none(a), none(b), none(shared), none(need), none(size), counts], ["kind", "a", "b", "shared", "need", "size", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), none(a), none(b), none(shared), none(need)], ["kind", "a", "b", "shared", "need"])
 
 
 def _cells(table: pa.Table, by: Threshold) -> pa.Table:
@@ -192,15 +256,18 @@ def _cells(table: pa.Table, by: Threshold) -> pa.Table:
         ok = minima(counts[a], counts[b]) >= by.overlap(sizes[a], sizes[b])
         a, b, shared = a[ok], b[ok], shared[ok]
         out.append(_found(0, keys[a], keys[b], shared, by.least_shared(np.minimum(sizes[a], sizes[b]))))
+    stars = []
     for c in np.flatnonzero(held > SMALL_CELL):
         members = node[first[c] : first[c] + held[c]]
         members = members[np.argsort(sizes[members], kind="stable")]
         middle, rest = members[len(members) // 2], np.delete(members, len(members) // 2)
         ok = by.sizes(sizes[middle], sizes[rest]) & (minima(counts[middle][None, :], counts[rest]) >= by.overlap(sizes[middle], sizes[rest]))
-        rest = rest[ok]
-        out.append(_found(1, np.full(len(rest), keys[middle]), keys[rest]))
+        stars.append(middle * len(keys) + rest[ok])
         cell_id = np.uint64(cell[first[c]]).astype(np.int64)
-        out.append(_found(2, keys[members], np.full(len(members), cell_id), size=sizes[members], counts=counts[members]))
+        out.append(_found(2, keys[members], np.full(len(members), cell_id)))
+    if stars:
+        both = np.unique(np.concatenate(stars))
+        out.append(_found(1, keys[both // len(keys)], keys[both % len(keys)]))
     return pa.Table.from_batches(out)
 
 
@@ -211,22 +278,22 @@ def _scratch(df: DataFrame, label: str) -> DataFrame:
 
 
 def _described(documents: DataFrame, n: int) -> DataFrame:
-    """Kind 0: `id, key, size` of every row; kind 1: shingles that several sets of a slice share, with their number."""
+    """Kind 0: `id, key, size, point` of every row; kind 1: shingles that several sets of a slice share, with their number."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "key", "size"]
+        names = ["kind", "id", "key", "size", "point"]
         for batch in batches:
             for b in slices(batch, 1):
                 first, shingles = shingle_sets(b.column(1), n)
                 keys, sizes = set_keys(first, shingles), np.diff(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array(keys), pa.array(sizes)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array(keys), pa.array(sizes), pa.array(fine_points(first, shingles), pa.binary())], names)
                 _, once = np.unique(keys, return_index=True)
                 mine = np.concatenate([shingles[first[i] : first[i + 1]] for i in once]) if len(once) else shingles[:0]
                 value, held = np.unique(mine, return_counts=True)
-                value, held = value[held >= 4].astype(np.int64), held[held >= 4]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), pa.nulls(len(value), pa.int64()), pa.array(value), pa.array(held)], names)
+                value, held = value[held >= 2].astype(np.int64), held[held >= 2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), pa.nulls(len(value), pa.int64()), pa.array(value), pa.array(held), pa.nulls(len(value), pa.binary())], names)
 
-    return documents.mapInArrow(describe, "kind int, id long, key long, size long")
+    return documents.mapInArrow(describe, "kind int, id long, key long, size long, point binary")
 
 
 def _postings(documents: DataFrame, n: int, by: Threshold, common: np.ndarray, buckets: int) -> DataFrame:
@@ -270,10 +337,26 @@ def _postings(documents: DataFrame, n: int, by: Threshold, common: np.ndarray, b
     return documents.mapInArrow(post, "bucket int, keys binary, sizes binary, counts binary, cells binary, nodes binary")
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, by: Threshold) -> DataFrame:
+    """The pairs whose finer points allow a link. `points`: `key, size, point`, one row each."""
+    one, two = points.toDF("a", "size_a", "point_a"), points.toDF("b", "size_b", "point_b")
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "point_a", "point_b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            need = by.overlap(b.column(2).to_numpy(), b.column(3).to_numpy())
+            most = [fine_bound(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(np.array(most, np.int64) >= need, pa.bool_()))
+
+    return full.mapInArrow(bound, "a long, b long")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, n: int, by: Threshold) -> DataFrame:
     """`a, b` of the pairs whose whole sets link."""
     nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    asked = rows.join(nodes, "key").groupBy("key").agg(F.min("id").alias("doc_id"))
+    asked = _scratch(rows.join(nodes, "key").groupBy("key").agg(F.min("id").alias("doc_id")), "asked")
+    if asked.count() * 32 <= BROADCAST_BYTES:  # else the texts are shuffled
+        asked = F.broadcast(asked)
     texts = documents.join(asked, "doc_id").select("key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,33 +384,60 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, n: int, b
     return full.mapInArrow(verify, "a long, b long")
 
 
-def _across(points: DataFrame, labels: DataFrame, by: Threshold) -> DataFrame:
-    """Pairs of large cells that may link and are in different components: an R-tree for each chunk of a cell."""
-    labelled = points.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a"))
+def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, by: Threshold) -> DataFrame:
+    """Pairs of large cells that may link and are in different components: an R-tree for each chunk of a cell.
+
+    `cells`: `a` a member, `b` its cell. Only the pairs whose finer points allow a link come out.
+    """
+    labelled = cells.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a"))
     mixed = labelled.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     members = labelled.join(mixed.select("b", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "b")
+    members = members.join(points.withColumnRenamed("key", "a"), "a")
     mine = F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")
     met = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("a", "b", "size", "counts", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    met = met.select("a", "b", "size", "point", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def search(table: pa.Table) -> pa.Table:
         keys, size, label, mine = (table[c].to_numpy() for c in ("a", "size", "label", "mine"))
-        vectors = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint16).reshape(-1, GROUPS)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         there = np.flatnonzero(mine == j)
         out = [_found(1, [])]
         if len(there):
+            fine = FinePoints(table["point"].to_pylist())
+            vectors = fine.coarse()
             tree = CountRTree(vectors[there], size[there], label[there])
             for q in np.flatnonzero(mine == i):
                 hit = there[tree.search(vectors[q], int(size[q]), int(label[q]), by)]
                 hit = hit[(label[hit] != label[q]) & (keys[hit] != keys[q])]
-                out.append(_found(1, np.full(len(hit), keys[q]), keys[hit]))
+                hit = hit[fine.bounds(q, hit) >= by.overlap(size[q], size[hit])]
+                if len(hit):
+                    out.append(_found(1, np.full(len(hit), keys[q]), keys[hit]))
         return pa.Table.from_batches(out)
 
     found = met.groupBy("b", "i", "j").applyInArrow(search, FOUND)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs between different components."""
+    for c in ("a", "b"):
+        of = labels.toDF(c, f"label_{c}")
+        pairs = pairs.join(of, c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    return pairs.where("label_a <> label_b").select("a", "b")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: the components that are there are the nodes now."""
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    every = labels.unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(every.toDF(c, f"label_{c}"), c)
+    merged = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    merged = merged.toDF("component", "whole")
+    return every.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def self_join(documents: DataFrame, n: int = 4, percent: int = 85, bucket_bytes: int = 64 << 20) -> DataFrame:
     """`doc_id, n_shingles, component_id` of every row."""
     by, spark = Threshold(percent), documents.sparkSession
@@ -337,7 +447,7 @@ def self_join(documents: DataFrame, n: int = 4, percent: int = 85, bucket_bytes:
     described = _scratch(_described(lean, n), "sets")
     rows = described.where("kind = 0").select("id", "key", F.col("size").alias("n"))
     linkable = rows.where("n > 0 AND id IS NOT NULL")
-    top = described.where("kind = 1").groupBy("key").agg(F.sum("size").alias("n")).where("n >= 64").orderBy(F.desc("n"), "key").limit(COMMON)
+    top = described.where("kind = 1").groupBy("key").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "key").limit(COMMON)
     common = np.sort(np.array([r["key"] for r in top.select("key").collect()], np.int64).astype(np.uint64))  # at most COMMON
     postings = _postings(lean, n, by, common, buckets)
     found = _scratch(postings.groupBy("bucket").applyInArrow(lambda t: _cells(t, by), FOUND), "cells")
@@ -345,12 +455,14 @@ def self_join(documents: DataFrame, n: int = 4, percent: int = 85, bucket_bytes:
     counted = found.where("kind = 0").select(*ordered, "shared", "need").groupBy("a", "b")
     near = counted.agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     near = near.unionByName(found.where("kind = 1").select(*ordered)).distinct()
-    links = _scratch(_verified(near, linkable, lean, n, by), "links")
+    points = described.where("kind = 0 AND size > 0 AND id IS NOT NULL").groupBy("key").agg(F.first("size").alias("size"), F.first("point").alias("point"))
+    near = _scratch(_bounded(near, points, by), "near")
+    links = _scratch(_verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), linkable, lean, n, by), "links")
     labels = components(links)
-    rest = _scratch(_across(found.where("kind = 2").select("a", "b", "size", "counts").distinct(), labels, by), "across")
-    if rest.limit(1).count():
-        links = links.unionByName(_scratch(_verified(rest, linkable, lean, n, by), "links"))
-        labels = components(links)
+    across = _across(found.where("kind = 2").select("a", "b").distinct(), points, labels, by)
+    apart = _scratch(_apart(near, labels).unionByName(across).distinct(), "apart")
+    if apart.limit(1).count():
+        labels = _joined(labels, _scratch(_verified(apart, linkable, lean, n, by), "links"))
     of = linkable.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     first = of.groupBy("component").agg(F.min("id").alias("component_id"))
     named = of.select("key", "component").distinct().join(first, "component").select("key", "component_id")
