@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,9 @@ def run_batch(
     stored = files.scan_dataset(spark, out_root, "clean", rows.schema).drop("YEAR")
     enriched = enrich.enrich(stored)
     daily = aggregate.daily(enriched)
+    # facts and quality checks are jobs of their own; they fill the cores beside the others
+    side = ThreadPoolExecutor(max_workers=2)
+    records = _side_records(side, raw, enriched, rules, ledger_root, ingestion_id) if ledger_root else []
     results = files.save_all(
         {"daily": daily, "monthly": aggregate.monthly(enriched), "seasonal": aggregate.seasonal(enriched)},
         out_root,
@@ -108,14 +112,25 @@ def run_batch(
                     ingestion_id, "AGGREGATION", status, r["error"],
                 )
             )
-        tables = [os.path.join(ledger_root, t) for t in LEDGER_TABLES]
-        ledger.record_transformations(spark, tables[0], steps)
-        link = F.lit(ingestion_id).cast("string").alias("ingestion_id")
-        ledger.aggregation_facts(enriched).select("*", link).write.mode("append").parquet(tables[1])
-        ledger.quality_checks(raw, rules).select("*", link).write.mode("append").parquet(tables[2])
+        ledger.record_transformations(spark, os.path.join(ledger_root, LEDGER_TABLES[0]), steps)
+    for record in records:
+        record.result()  # a failed write raises here
+    side.shutdown()
     return all_results
 
 
+def _side_records(
+    pool: ThreadPoolExecutor, raw: DataFrame, enriched: DataFrame, rules: ValidationRules, ledger_root: str, ingestion_id: str | None
+) -> list[Future]:
+    """Appends the aggregation facts and the quality checks to their ledger tables, side by side."""
+    link = F.lit(ingestion_id).cast("string").alias("ingestion_id")
+    frames = {LEDGER_TABLES[1]: ledger.aggregation_facts(enriched), LEDGER_TABLES[2]: ledger.quality_checks(raw, rules)}
+    return [
+        pool.submit(lambda df, table: df.select("*", link).write.mode("append").parquet(os.path.join(ledger_root, table)), df, table)
+        for table, df in frames.items()
+    ]
+
+
 def ingest_and_batch(
     spark: SparkSession,
     landing: str,
