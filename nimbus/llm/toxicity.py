@@ -71,7 +71,10 @@ def select(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float
     The unlabelled share is corrected for the positives hidden in it; the chance is the Poisson tail
     bound of the count in the positives, held to one false feature among all that are tested.
     """
-    p, u = (np.bincount(np.concatenate(x), minlength=size).astype(float) for x in (pos, unl))
+    p, u = np.zeros(size), np.zeros(size)
+    for total, docs in ((p, pos), (u, unl)):
+        for features_ in docs:  # distinct features: each counts once
+            total[features_] += 1
     share_p, share_u = p / len(pos), u / len(unl)
     negative = np.maximum((share_u - prior * share_p) / (1 - prior), 0.5 / len(unl))
     expected = negative * len(pos)
@@ -93,9 +96,8 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int =
     place[kept] = np.arange(len(kept))
 
     def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        f = place[np.concatenate(docs)]
-        return doc[f >= 0], f[f >= 0], len(docs)
+        known = [f[f >= 0] for f in (place[d] for d in docs)]
+        return np.repeat(np.arange(len(docs)), [len(f) for f in known]), np.concatenate(known), len(docs)
 
     p, u = rows(pos), rows(unl)
     w, b = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
@@ -147,7 +149,7 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
     ids = ids.unionByName(free.distinct().orderBy(*by_hash).limit(unlabelled).select("doc_id", F.lit(0).alias("kind")))
     # at most positives + unlabelled ids, and one text of each however often it is repeated
     sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    sample = sample.groupBy("doc_id", "kind").agg(F.max("text").alias("text")).select("kind", "text")
+    sample = sample.groupBy("doc_id", "kind").agg(F.max("text").alias("text")).select("kind", "text", "doc_id")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +157,13 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
                 text, feature = distinct(*features(b.column(1)))
                 cuts = np.searchsorted(text, np.arange(b.num_rows + 1))
                 packed = [feature[cuts[i] : cuts[i + 1]].astype("<u4").tobytes() for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["kind", "features"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["kind", "doc_id", "features"])
 
-    rows = sample.mapInArrow(found, "kind int, features binary").collect()
+    # at most positives + unlabelled rows; read as Arrow and looked at in place
+    rows = sample.mapInArrow(found, "kind int, doc_id long, features binary").toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending")])
     docs: tuple[list, list] = ([], [])
-    for r in sorted(rows, key=lambda r: bytes(r["features"])):  # the order of rows does not matter
-        docs[r["kind"]].append(np.frombuffer(bytes(r["features"]), "<u4").astype(np.int64))
+    for kind, packed in zip(rows["kind"].to_pylist(), rows["features"], strict=True):
+        docs[kind].append(np.frombuffer(packed.as_buffer(), "<u4"))
     return fit(docs[1], docs[0], float(prior))
 
 
