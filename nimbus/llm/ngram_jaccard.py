@@ -457,7 +457,10 @@ def self_join(documents: DataFrame, n: int = 4, percent: int = 85, bucket_bytes:
     near = near.unionByName(found.where("kind = 1").select(*ordered)).distinct()
     points = described.where("kind = 0 AND size > 0 AND id IS NOT NULL").groupBy("key").agg(F.first("size").alias("size"), F.first("point").alias("point"))
     near = _scratch(_bounded(near, points, by), "near")
-    links = _scratch(_verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), linkable, lean, n, by), "links")
+    # one pair of each node from either side: this keeps every star whole
+    one = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    one = one.unionByName(near.groupBy("a").agg(F.min("b").alias("b"))).distinct()
+    links = _scratch(_verified(one, linkable, lean, n, by), "links")
     labels = components(links)
     across = _across(found.where("kind = 2").select("a", "b").distinct(), points, labels, by)
     apart = _scratch(_apart(near, labels).unionByName(across).distinct(), "apart")
