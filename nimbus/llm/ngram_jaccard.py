@@ -384,6 +384,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, n: int, b
     return full.mapInArrow(verify, "a long, b long")
 
 
+def earlier_cells(cells: pa.ListArray, cell: int) -> np.ndarray:
+    """For each member one bit for each cell before `cell` that several members share, packed."""
+    if isinstance(cells, pa.ChunkedArray):
+        cells = cells.chunk(0)
+    member = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy())
+    ids = cells.flatten().to_numpy()
+    member, ids = member[ids < cell], ids[ids < cell]
+    names, column, held = np.unique(ids, return_inverse=True, return_counts=True)
+    several = held > 1
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    bits = np.zeros((len(cells), max(1, int(several.sum()))), bool)
+    bits[member[keep], place[column[keep]]] = True
+    return np.packbits(bits, axis=1)
+
+
 def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, by: Threshold) -> DataFrame:
     """Pairs of large cells that may link and are in different components: an R-tree for each chunk of a cell.
 
@@ -392,10 +408,12 @@ def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, by: Threshol
     labelled = cells.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a"))
     mixed = labelled.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     members = labelled.join(mixed.select("b", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "b")
-    members = members.join(points.withColumnRenamed("key", "a"), "a")
+    # all large cells of a member (no more than its prefix): a pair is met in the first cell that both are in
+    held = cells.groupBy("a").agg(F.collect_list("b").alias("cells"))
+    members = members.join(points.withColumnRenamed("key", "a"), "a").join(held, "a")
     mine = F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")
     met = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("a", "b", "size", "point", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    met = met.select("a", "b", "size", "point", "cells", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def search(table: pa.Table) -> pa.Table:
         keys, size, label, mine = (table[c].to_numpy() for c in ("a", "size", "label", "mine"))
@@ -404,11 +422,13 @@ def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, by: Threshol
         out = [_found(1, [])]
         if len(there):
             fine = FinePoints(table["point"].to_pylist())
+            earlier = earlier_cells(table["cells"].combine_chunks(), table["b"][0].as_py())
             vectors = fine.coarse()
             tree = CountRTree(vectors[there], size[there], label[there])
             for q in np.flatnonzero(mine == i):
                 hit = there[tree.search(vectors[q], int(size[q]), int(label[q]), by)]
                 hit = hit[(label[hit] != label[q]) & (keys[hit] != keys[q])]
+                hit = hit[~(earlier[hit] & earlier[q]).any(axis=1)]
                 hit = hit[fine.bounds(q, hit) >= by.overlap(size[q], size[hit])]
                 if len(hit):
                     out.append(_found(1, np.full(len(hit), keys[q]), keys[hit]))
