@@ -21,6 +21,8 @@ from nimbus.llm import ngram_jaccard, packing, secret_scan, substring_dedup, tox
 from nimbus.session import unique_scratch
 
 TOXIC = 0.3
+# of the near-duplicate stage; the thin query of op8 has its own
+SHINGLE_WORDS, NEAR_PERCENT = 5, 80
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = ngram_jaccard.self_join(docs)
+    """Of each group of near duplicates (Jaccard 0.8 of 5-word shingles) the document with the smallest id stays."""
+    found = ngram_jaccard.self_join(docs, n=SHINGLE_WORDS, percent=NEAR_PERCENT)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

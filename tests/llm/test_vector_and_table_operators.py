@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from nimbus.llm import catalog, cover_search, curve_search, secret_scan, url_filter
 from tests.llm.conftest import ROWS, frame
+from tests.llm.test_text_operators import brute_components, near_copies
 from tests.oracle_util import compare
 
 
@@ -196,6 +197,19 @@ def test_stages_on_odd_rows(spark, odd, none, sf_dir):
     assert ids == Counter({1: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 1, 10: 1, None: 2, 12: 1, 13: 1}), ids
 
 
+def test_near_duplicate_stage_against_brute_force(spark, sf_dir):
+    words = [f"v{i}" for i in range(100)]
+    edited = list(words)
+    edited[30], edited[60] = "x", "y"  # 0.81 of 5-word shingles
+    rows = ROWS + near_copies(3, 6, 8, 70) + [(5000, " ".join(words)), (5001, " ".join(edited))]
+    kept = Counter(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows).repartition(4), sf_dir).collect())
+    expected = Counter()
+    for (i, _, component), count in brute_components(rows, percent=80, n=5).items():
+        if component == i:
+            expected[i] += count
+    assert kept == expected and kept[5000] == 1 and 5001 not in kept
+
+
 def test_pipeline_runs(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
