@@ -246,6 +246,28 @@ def test_cross_entropy_against_counting(spark, odd, none):
     assert cross_entropy.score(none, targets).count() == 0
 
 
+def test_cross_entropy_knows_every_word(spark):
+    rng = random.Random(4)
+    texts = [[f"w{i}" for i in range(70_000)]] + [[f"w{rng.randrange(69_900, 70_000)}" for _ in range(50)] for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    hit = {3, 4, 5}
+    models = []
+    for used in (range(len(texts)), hit):
+        single = Counter(w for i in used for w in texts[i])
+        models.append((single, Counter(p for i in used for p in zip([None, *texts[i]], texts[i], strict=False)), len(used)))
+    targets = spark.createDataFrame([(i,) for i in hit], "doc_id long")
+    for size in ({}, {"vocabulary": 70_000}):
+        got = cross_entropy.score(frame(spark, rows).repartition(3), targets, **size).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            loss = []
+            for single, pairs, first in models:
+                total = single.total()
+                p = [0.75 * pairs[u, w] / max(1, first if u is None else single[u]) + 0.25 * (single[w] + 1) / (total + 70_001) for u, w in zip([None, *texts[r.doc_id]], texts[r.doc_id], strict=False)]
+                loss.append(-sum(map(math.log, p)) / len(p))
+            assert (r.background_loss, r.target_loss) == pytest.approx(tuple(loss), abs=1e-9)
+
+
 # ------------------------------------------------------------------- pieces
 
 PIECES = piece_transducer.Transducer(piece_transducer.model_bytes())
