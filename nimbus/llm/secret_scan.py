@@ -22,13 +22,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# candidates: key blocks; values behind a key word and a sign or quote; runs of
-# 16 or more key characters holding a digit. Only possessive runs of single
-# character classes, so long texts need no deep matching stack.
+KEY_WORDS = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api_?key|access_?key|credential|auth|bearer|private)"
+
+# candidates: key blocks; runs of 16 or more key characters holding a digit;
+# values of 8 or more characters behind a key word and a sign. Only possessive
+# runs of single character classes, so long texts need no deep matching stack.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
     r"|(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])[A-Za-z0-9_+/.~-]{16,}+={0,2}+"
-    r"|(?<=[=:\"'])(?<=(?:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[^\s\"',;]{8,}+"
+    r"|(?<=[=:\"'\s])(?=[^\s\"',;]{8})(?<=[=:]\s{0,2}[\"']{0,1})"
+    rf"(?<=(?:{KEY_WORDS})[sS]{{0,1}}[\"']{{0,1}}\s{{0,2}}[=:]\s{{0,2}}[\"']{{0,1}})[^\s\"',;]{{8,}}+"
 )
 
 # short common words and name parts counted as dictionary text
@@ -41,7 +44,6 @@ DICTIONARY = [
     "dummy", "changeme", "placeholder",
 ]
 
-KEY_WORDS = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api_?key|access_?key|credential|auth|bearer|private)"
 OTHER_WORDS = r"(?i)(?:commit|sha|md5|checksum|hash|uuid|guid|order|isbn|phone|iban|card|invoice|version|page|file|see)"
 
 FEATURES = (
@@ -95,6 +97,11 @@ def labelled_findings(spark: SparkSession, per_kind: int = 120) -> DataFrame:
     told = pick(['token = "', "password=", "api_key: ", 'secret="', "access_key = ", "auth token ", "the credential is "])
     plain = pick(["seen in ", "and then ", "found the ", "is on ", "was at ", "look for "])
     other = pick(["commit ", "checksum ", "sha256:", "uuid ", "order number ", "isbn ", "phone ", "see page "])
+    given = pick(["password: ", "password = ", "PASSWORD=", "DB_PASSWORD='", "Password: ", "pwd=", "access_key = ", 'secret: "', "passwd=", '"password": "', "token="])
+    spoken = F.translate(h, "0123456789abcdef", "aeioutrnslmdkpgb")  # letters that read like words
+    sign = pick(["&", "!", "#", "$", "@", "*", "%"])
+    digit = F.left(digits, F.lit(1))
+    leet = F.translate(F.initcap(F.left(spoken, F.lit(8) + cut)), "aoie", "4013")
     upper = F.upper(F.substr(b64, F.lit(1), F.lit(16)))
     kinds = [  # (candidate, before, label)
         (F.left(h, F.lit(40)), told, 1),
@@ -118,12 +125,21 @@ def labelled_findings(spark: SparkSession, per_kind: int = 120) -> DataFrame:
         (F.concat(F.lit("xxxxxxxxxxxx"), F.left(digits, F.lit(4)), F.lit("xxxx")), told, 0),
         (pick(["example_password_1", "your-token-here-123", "changeme_changeme1", "placeholder_secret1"]), told, 0),
         (F.concat(F.lit("+"), F.left(digits, F.lit(2)), F.lit("-"), F.substr(digits, F.lit(3), F.lit(3)), F.lit("-"), F.substr(digits, F.lit(6), F.lit(3)), F.lit("-"), F.substr(digits, F.lit(9), F.lit(4))), plain, 0),
+        (F.concat(leet, sign, digit), given, 1),
+        (F.concat(F.left(spoken, F.lit(6)), digit, F.left(spoken, F.lit(6)), digit), given, 1),
+        (F.concat(F.initcap(F.left(spoken, F.lit(5) + cut)), sign, F.left(digits, F.lit(4))), given, 1),
+        (F.left(b64, F.lit(8) + cut), given, 1),
+        (F.left(spoken, F.lit(8) + cut), given, 0),
+        (F.concat(F.initcap(F.left(spoken, F.lit(8) + cut)), pick([".", ")", "", "?", "!"])), given, 0),
+        (F.concat(F.left(spoken, F.lit(5) + cut), pick(["-", "_", "/", "."]), F.substr(spoken, F.lit(13), F.lit(6))), given, 0),
+        (F.concat(pick(["https://", "http://www.", "/usr/lib/", "./"]), F.left(spoken, F.lit(6)), pick([".com/", "/"]), F.substr(spoken, F.lit(9), F.lit(5))), given, 0),
+        (pick(["${PASSWORD}", "<password>", "********", "{{token}}", "your_password", "os.environ", "xxxxxxxx", "changeme123", "password1", "getenv(name)"]), given, 0),
     ]
     rows = spark.range(len(kinds) * per_kind).withColumn("kind", (F.col("id") % len(kinds)).cast("int"))
     rows = rows.withColumn("id", F.floor(F.col("id") / len(kinds)))
     choose = lambda k: F.coalesce(*[F.when(F.col("kind") == i, kinds[i][k] if k < 2 else F.lit(kinds[i][k])) for i in range(len(kinds))])
     before = choose(1)
-    after = F.when(before.endswith('"'), F.lit('" and')).otherwise(F.lit(" and"))
+    after = F.when(before.endswith('"'), F.lit('" and')).when(before.endswith("'"), F.lit("' and")).otherwise(F.lit(" and"))
     return rows.select(choose(0).alias("candidate"), before.alias("before"), after.alias("after"), choose(2).cast("double").alias("label"))
 
 

@@ -113,6 +113,19 @@ def test_secrets_are_found_and_others_left(spark, forest, none):
     assert secret_scan.scan(none, forest).count() == 0 and secret_scan.redact(none, forest).count() == 0
 
 
+def test_short_secrets_behind_key_words(spark, forest):
+    secrets = {
+        "password: Tr0ub4dor&3": "Tr0ub4dor&3", "password = hunter2hunter2 x": "hunter2hunter2", "set PASSWORD=Tr0ub4dor&3": "Tr0ub4dor&3",
+        "DB_PASSWORD='Tr0ub4dor&3'": "Tr0ub4dor&3", "Password: kestrel7!Vane": "kestrel7!Vane", "pwd=Tr0ub4dor&3": "Tr0ub4dor&3",
+        "access_key = Zx9$kk!mQ2p": "Zx9$kk!mQ2p", '{"password": "Tr0ub4dor&3"}': "Tr0ub4dor&3",
+    }
+    others = ["password: required here", "Password: optional", "secret: something else", "token = ${TOKEN_VALUE}", "author: Jonathan7Swift", "the password policy2024"]
+    rows = list(enumerate([*secrets, *others]))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(frame(spark, rows), forest).collect()}
+    expected = [t.replace(s, "[SECRET]") for t, s in secrets.items()] + others
+    assert [clean[i] for i, _ in rows] == expected
+
+
 def test_forest_as_sql_equals_the_model(spark, forest):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
