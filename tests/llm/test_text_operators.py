@@ -268,6 +268,15 @@ def test_cross_entropy_knows_every_word(spark):
             assert (r.background_loss, r.target_loss) == pytest.approx(tuple(loss), abs=1e-9)
 
 
+def test_a_common_bigram_is_one_number_a_slice():
+    for texts in (3, 3000):
+        batch = pa.record_batch([pa.array(range(texts)), pa.array(["the same"] * texts), pa.array([i % 3 == 0 for i in range(texts)])], ["doc_id", "text", "target"])
+        rows = cross_entropy._sliced(batch, None, 0, 16).to_pylist()
+        n, n_target = (sorted(x for r in rows for x in cross_entropy.unpack(r[c]).tolist()) for c in ("n", "n_target"))
+        # two words, the start, and a bigram for each word
+        assert n == [texts] * 5 and n_target == [texts // 3] * 5
+
+
 # ------------------------------------------------------------------- pieces
 
 PIECES = piece_transducer.Transducer(piece_transducer.model_bytes())
