@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nimbus.llm import cover_search, cross_entropy, curve_search, ngram_jaccard, packing, piece_transducer, secret_scan, substring_dedup, toxicity, url_filter
+from nimbus.llm import cover_search, cross_entropy, curve_search, hard_negatives, ngram_jaccard, packing, piece_transducer, secret_scan, sharding, substring_dedup, token_alignment, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,14 @@ def queries() -> dict[str, Query]:
         "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
         "op9_curve_search": curve_search.op9_curve_search,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_sharding": sharding.op11_sharding,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_cover_tree_search": cover_search.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }

@@ -175,7 +175,7 @@ def test_urls(spark):
 
 def test_every_operator_is_registered():
     names = set(catalog.queries())
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and names <= set(entry.queries())
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and names <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "substring_dedup", "secret_scan", "packing"]
     assert "pipeline" in entry.queries()
 
