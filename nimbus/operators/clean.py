@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.observation import Observation
 
 from nimbus.functions.display import finite_or_null
 from nimbus.schema import DEFAULT_RULES, ValidationRules
@@ -70,6 +71,18 @@ def valid_wind(df: DataFrame, rules: ValidationRules = DEFAULT_RULES) -> DataFra
     return keep_in_range(df, "AWND", rules.wind_speed_min)
 
 
+def in_bounds(df: DataFrame, rules: ValidationRules = DEFAULT_RULES, date_format: str | None = None) -> DataFrame:
+    """Rows with a date text and every measure in its range; the text becomes a date."""
+    return (
+        df.transform(drop_null_date)
+        .transform(lambda d: parse_date(d, "DATE", date_format))
+        .transform(lambda d: valid_temperature(d, rules))
+        .transform(lambda d: valid_humidity(d, rules))
+        .transform(lambda d: valid_precipitation(d, rules))
+        .transform(lambda d: valid_wind(d, rules))
+    )
+
+
 def clean(
     df: DataFrame,
     rules: ValidationRules = DEFAULT_RULES,
@@ -82,20 +95,21 @@ def clean(
     survives as a null date (one null-date group downstream) unless
     ``drop_unparseable`` is set.
     """
-    out = (
-        df.transform(dedup_rows)
-        .transform(drop_null_date)
-        .transform(lambda d: parse_date(d, "DATE", date_format))
-        .transform(lambda d: valid_temperature(d, rules))
-        .transform(lambda d: valid_humidity(d, rules))
-        .transform(lambda d: valid_precipitation(d, rules))
-        .transform(lambda d: valid_wind(d, rules))
-    )
+    out = in_bounds(dedup_rows(df), rules, date_format)
     if drop_unparseable:
         out = drop_null_date(out)
     return out
 
 
+def clean_counted(df: DataFrame, rules: ValidationRules, observation: Observation, counts: list[Column], times: str = "_n") -> DataFrame:
+    """``clean`` with counts observed on its own de-duplication: no second pass over the rows.
+
+    ``counts`` are aggregates over the distinct rows and their multiplicity ``times``.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(times)).observe(observation, *counts)
+    return in_bounds(counted, rules).drop(times)
+
+
 def _valid_row(df: DataFrame, rules: ValidationRules) -> F.Column:
     """Row-level predicate equal to the cleaning filters (date kept if text present)."""
     cond = F.col("DATE").isNotNull()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbus.functions.calendar import format_day, format_month
+from nimbus.session import cut_lineage
 
 
 def _z(x: Column) -> Column:
@@ -133,9 +134,9 @@ def statistics_cards(daily: DataFrame) -> DataFrame:
 
 
 def histogram(
-    daily: DataFrame, col: str = "TEMP_AVG", bins: int = 20, include_max: bool = False
+    daily: DataFrame, col: str = "TEMP_AVG", bins: int = 20, include_max: bool = False, materialize: bool = True
 ) -> DataFrame:
-    """Equal-width histogram with every bin kept (BIN, BIN_START, LABEL, COUNT).
+    """Equal-width histogram with every bin kept (BIN, BIN_START, LABEL, COUNT), in the order of the bins.
 
     Bin ``i`` is ``[min + i*w, min + i*w + w)`` with ``w = (max - min) / bins``
     evaluated in double precision, exactly as the chart does; by default the
@@ -144,13 +145,16 @@ def histogram(
     value on an edge that rounding places in two bins (or none) is counted
     the same way the edge arithmetic decides.
 
-    The minimum and maximum come from one scalar subquery (a global
-    aggregate evaluated once and inlined as a literal), so the binning itself
-    is a narrow projection followed by a partial/final aggregation on 20 keys.
+    The values are written once (unless the caller read them from storage), the
+    bounds are taken from them by one global aggregate, and the binning is one
+    scan of the values with both bounds as literals, a partial/final count of at
+    most ``bins`` keys, and one row that is fanned out to all bins.
     """
     values = daily.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
-    bounds = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    if materialize:
+        values = cut_lineage(values, "histogram")
+    least, most = values.agg(F.min("_v"), F.max("_v")).first()
+    lo, hi = (F.lit(x).cast("double") for x in (least, most))
     width = (hi - lo) / F.lit(float(bins))
     start_of = lambda b: lo + b.cast("double") * width
     guess = F.when(width > 0, F.floor((F.col("_v") - lo) / width).cast("int"))
@@ -162,13 +166,12 @@ def histogram(
     if include_max:
         inside = inside | ((F.col("BIN") == bins - 1) & (F.col("_v") == hi))
     counts = cand.filter(inside).groupBy("BIN").agg(F.count(F.lit(1)).alias("COUNT"))
-    spark = daily.sparkSession
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("BIN"))
-    out = grid.join(counts, "BIN", "left")
+    found = counts.agg(F.map_from_entries(F.collect_list(F.struct("BIN", "COUNT"))).alias("n"))
+    every = found.select("n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("BIN"))
     bin_start = start_of(F.col("BIN"))
-    return out.select(
+    return every.select(
         "BIN",
         bin_start.alias("BIN_START"),
         F.format_string("%.1f", F.round(bin_start, 1)).alias("LABEL"),
-        F.coalesce(F.col("COUNT"), F.lit(0)).cast("long").alias("COUNT"),
-    ).orderBy("BIN")
+        F.coalesce(F.element_at("n", F.col("BIN")), F.lit(0)).cast("long").alias("COUNT"),
+    )

@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nimbus.operators import aggregate
 from nimbus.operators.rank import rank_desc
 from nimbus.session import cut_lineage
 
@@ -109,20 +110,26 @@ def hottest_year(yearly: DataFrame) -> DataFrame:
     )
 
 
-def station_comparison(enriched: DataFrame, materialize: bool = True) -> DataFrame:
+def station_comparison(enriched: DataFrame, materialize: bool = True, codes: DataFrame | None = None) -> DataFrame:
     """Per station: mean temperature, total rain, counts and both ranks.
 
     Observation rows are reduced to one row per station by a partial
     aggregate; the ranks are computed in parallel (``rank.rank_desc``), not by
     a single-task window. The per-station table feeds both rankings, so it is
-    checkpointed once (unless ``materialize`` is off).
+    checkpointed once (unless ``materialize`` is off). With ``codes``
+    (``aggregate.station_codes``) the least name is found by hashing, not sorting.
     """
-    per = enriched.groupBy("STATION").agg(
+    rows = enriched.select("STATION", "STATION_NAME", "TAVG", "PRCP")
+    if codes is not None:
+        rows = aggregate.encoded(rows, codes, ("STATION_NAME",))
+    per = rows.groupBy("STATION").agg(
         F.min("STATION_NAME").alias("STATION_NAME"),
         F.round(F.avg("TAVG"), 6).alias("TEMP_AVG"),
         F.sum("PRCP").alias("PRECIPITATION_TOTAL"),
         F.count(F.lit(1)).alias("N_OBS"),
     )
+    if codes is not None:
+        per = aggregate.decoded(per, codes, ("STATION_NAME",))
     if materialize:
         per = cut_lineage(per)
     by_temp = rank_desc(per, "TEMP_AVG", "TEMP_RANK")

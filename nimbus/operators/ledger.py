@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbus.functions.calendar import SEASONS, season_index
+from nimbus.operators import aggregate
 from nimbus.schema import (
     AGGREGATION_TYPES,
     DEFAULT_RULES,
@@ -26,6 +27,7 @@ from nimbus.schema import (
     ValidationRules,
 )
 from nimbus.session import cut_lineage
+from nimbus.sources import files
 
 
 # ---------------------------------------------------------------- records
@@ -126,6 +128,10 @@ def append_transformations(runs: DataFrame, path: str) -> DataFrame:
     return rows
 
 
+def transformation_id(ingestion_id: str | None, name: str) -> str:
+    return str(uuid.uuid4() if ingestion_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f"{ingestion_id}/{name}"))
+
+
 def transformation_row(
     name: str,
     input_records: int | None,
@@ -138,11 +144,14 @@ def transformation_row(
     status: str = "SUCCESS",
     error_message: str | None = None,
 ) -> tuple:
-    """One ledger row; it completed now and started ``processing_time`` seconds ago."""
+    """One ledger row; it completed now and started ``processing_time`` seconds ago.
+
+    The steps of a named run have ids that follow from the run and the step, so a retry writes the same ones.
+    """
     done = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     known = input_records is not None and output_records is not None
     return (
-        str(uuid.uuid4()),
+        transformation_id(ingestion_id, name),
         ingestion_id,
         name,
         kind,
@@ -249,11 +258,41 @@ def ledger_constraints(df: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("violations", broken).filter(F.size("violations") > 0)
 
 
+# The column that names a row of a ledger table.
+ROW_IDS = {"ingestion": "ingestion_id", "transformation": "transformation_id"}
+
+
 def append_checked(df: DataFrame, path: str, kind: str) -> None:
-    """Append rows to a ledger table after checking its constraints."""
+    """Add rows to a ledger table after checking its constraints; a row with an id that is there replaces it.
+
+    A retried run that gives its rows the same ids therefore leaves one row each.
+    """
     bad = ledger_constraints(df, kind).limit(1).count()
     if bad:
         raise ValueError(f"{kind} ledger rows violate a constraint")
+    key = ROW_IDS.get(kind)
+    if key is not None:
+        n, ids = df.agg(F.count(key), F.countDistinct(key)).first()
+        if n != ids:
+            raise ValueError(f"{kind} ledger rows share an id")
+    _put(df, path, key)
+
+
+def put_run(df: DataFrame, path: str, run_id: str | None, key: str = "ingestion_id") -> None:
+    """Add the rows of one run; rows that an earlier try of the run left are replaced. Without an id they are appended."""
+    _put(df.withColumn(key, F.lit(run_id).cast("string")), path, None if run_id is None else key, run_id)
+
+
+def _put(df: DataFrame, path: str, key: str | None, run_id: str | None = None) -> None:
+    spark = df.sparkSession
+    files.settle(spark, path)
+    if key is not None and files._exists(spark, path):
+        old = spark.read.parquet(path)
+        ids = df.select(key) if run_id is None else spark.createDataFrame([(run_id,)], f"{key} string")
+        if old.join(ids, key, "left_semi").limit(1).count():
+            kept = old.join(ids, key, "left_anti")
+            files.replace_dataset(spark, path, kept.unionByName(df, allowMissingColumns=True).write.parquet)
+            return
     df.write.mode("append").parquet(path)
 
 
@@ -263,33 +302,54 @@ def append_checked(df: DataFrame, path: str, kind: str) -> None:
 METRICS = {"TAVG": "temperature", "RHUM": "humidity", "PRCP": "precipitation", "AWND": "wind_speed"}
 
 
-def _daily_moments(enriched: DataFrame, metrics: list[str]) -> DataFrame:
-    """Per DATE and metric number: count, sum, least, most and the squares about the day's mean."""
-    parts = [
+# Aggregation type -> the step of a batch run whose periods it describes.
+FACT_STEPS = {"DAILY": "daily", "MONTHLY": "monthly", "SEASONAL": "seasonal", "YEARLY": "daily"}
+
+
+def _day_metrics(states: DataFrame, measures: list[str]) -> DataFrame:
+    """Per DATE and metric number: count, sum, least, most, and the squares about the day's mean."""
+    sd, n = (lambda c: F.coalesce(F.col(aggregate.part(c, "SD")), F.lit(0.0))), (lambda c: F.col(aggregate.part(c, "N")))
+    structs = [
         F.struct(
-            F.lit(i).alias("m"), F.count(c).alias("n"), F.sum(c).alias("s"), F.min(c).alias("lo"),
-            F.max(c).alias("hi"), (F.var_pop(c) * F.count(c)).alias("sq"),
-        ).alias(f"m{i}")
-        for i, c in enumerate(metrics)
+            F.lit(i).alias("m"), n(c).alias("n"), F.col(aggregate.part(c, "SUM")).alias("s"), F.col(aggregate.part(c, "LO")).alias("lo"),
+            F.col(aggregate.part(c, "HI")).alias("hi"), (sd(c) * sd(c) * (n(c) - 1)).alias("sq"),
+        )
+        for i, c in enumerate(measures)
     ]
-    days = enriched.filter(F.col("DATE").isNotNull()).groupBy("DATE").agg(*parts)
-    return days.select("DATE", F.explode(F.array(*[f"m{i}" for i in range(len(metrics))])).alias("x")).select("DATE", "x.*")
+    return states.filter(F.col("DATE").isNotNull()).select("DATE", F.explode(F.array(*structs)).alias("x")).select("DATE", "x.*")
 
 
-def aggregation_facts(enriched: DataFrame, location: str | None = None) -> DataFrame:
-    """Long table of (type, metric, period) statistics as Decimal(10,2).
+def _merged_squares(moments: Column) -> Column:
+    """Squares about the common mean of several (n, mean, squares), merged one by one.
 
-    Two stages: one grouped aggregation by day over the rows, then the days
-    (a few thousand, whatever the input) are rolled up to their daily, monthly,
-    seasonal and yearly periods. Squares about a period's mean are those about
-    the days' means plus what the days' means differ by.
+    Only differences of means are squared, so values far from zero lose nothing.
     """
-    metrics = [(c, m) for c, m in METRICS.items() if c in enriched.columns]
+
+    def merge(a: Column, x: Column) -> Column:
+        total, apart = a["n"] + x["n"], x["mean"] - a["mean"]
+        squares = a["sq"] + x["sq"] + apart * apart * a["n"] * x["n"] / total
+        return F.struct(total.alias("n"), (a["mean"] + apart * x["n"] / total).alias("mean"), squares.alias("sq"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+    return F.aggregate(moments, zero, merge, lambda a: a["sq"])
+
+
+def aggregation_facts(frame: DataFrame, location: str | None = None) -> DataFrame:
+    """Long table of (type, metric, period) statistics as Decimal(10,2), from observation rows or day states.
+
+    The days (a few thousand, whatever the input) are rolled up to their daily,
+    monthly, seasonal and yearly periods. A period has at most 366 days; their
+    means and squared deviations are merged in that order of days.
+    """
+    states = frame if aggregate.is_states(frame) else aggregate.day_states(frame)
+    metrics = [(c, m) for c, m in METRICS.items() if aggregate.part(c, "N") in states.columns]
     types = ["DAILY", "MONTHLY", "SEASONAL", "YEARLY"]
     year, month = F.year("DATE"), F.month("DATE")
     keys = [F.unix_date("DATE"), year * 100 + month, year * 10 + season_index(month), year]
     periods = F.array(*[F.struct(F.lit(t).alias("t"), k.cast("long").alias("k")) for t, k in enumerate(keys)])
-    fanned = _daily_moments(enriched, [c for c, _ in metrics]).select("*", F.explode(periods).alias("p")).select("*", "p.t", "p.k")
+    fanned = _day_metrics(states, [c for c, _ in metrics]).select("*", F.explode(periods).alias("p")).select("*", "p.t", "p.k")
+    count = F.col("n").cast("double")
+    moment = F.struct("DATE", count.alias("n"), F.try_divide(F.col("s"), count).alias("mean"), F.col("sq").alias("sq"))
     sums = fanned.groupBy("t", "m", "k").agg(
         F.min("DATE").alias("period_start"),
         F.max("DATE").alias("period_end"),
@@ -297,10 +357,10 @@ def aggregation_facts(enriched: DataFrame, location: str | None = None) -> DataF
         F.sum("s").alias("s"),
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
-        (F.sum("sq") + F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("n")))).alias("raw"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > 0, moment))).alias("moments"),
     )
     n, total = F.col("n"), F.col("s")
-    squares = F.greatest(F.col("raw") - F.try_divide(total * total, n), F.lit(0.0))
+    squares = _merged_squares(F.col("moments"))
     d = lambda x: x.try_cast("decimal(10,2)")
     name_of = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
     k = F.col("k")
@@ -325,10 +385,21 @@ def aggregation_facts(enriched: DataFrame, location: str | None = None) -> DataF
     )
 
 
+def linked_facts(facts: DataFrame, step_ids: dict[str, str]) -> DataFrame:
+    """Facts with the ``transformation_id`` of the step that made their periods."""
+    kind = F.col("aggregation_type")
+    link = F.coalesce(*[F.when(kind == t, F.lit(step_ids[s])) for t, s in FACT_STEPS.items() if s in step_ids], F.lit(None).cast("string"))
+    return facts.withColumn("transformation_id", link)
+
+
 # ------------------------------------------------------------ quality checks
 
 
 def _rule_flags(df: DataFrame, rules: ValidationRules) -> list[tuple[str, str, Column]]:
+    return _rule_flags_of(df.columns, rules)
+
+
+def _rule_flags_of(columns: list[str], rules: ValidationRules) -> list[tuple[str, str, Column]]:
     out: list[tuple[str, str, Column]] = [
         ("date_present", "completeness", F.col("DATE").isNull()),
         (
@@ -344,7 +415,7 @@ def _rule_flags(df: DataFrame, rules: ValidationRules) -> list[tuple[str, str, C
         ("wind_speed_range", "AWND", rules.wind_speed_min, None),
     ]
     for name, col, lo, hi in ranges:
-        if col not in df.columns:
+        if col not in columns:
             continue
         c = F.col(col)
         ok = c >= lo if hi is None else (c >= lo) & (c <= hi)
@@ -361,11 +432,28 @@ def quality_checks(
     both yields the duplicate count and shrinks the input of the rule counts.
     """
     grouped = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
-    flags = _rule_flags(raw, rules)
-    aggs = [F.sum("_n").alias("_total"), F.sum(F.col("_n") - 1).alias("duplicate_rows")]
-    aggs += [F.sum(F.when(c, F.col("_n")).otherwise(0)).alias(n) for n, _, c in flags]
-    one = grouped.agg(*aggs)
-    checks = [("duplicate_rows", "uniqueness")] + [(n, t) for n, t, _ in flags]
+    return _check_rows(grouped.agg(*check_counts(raw, rules)), rules, raw.columns, tolerance)
+
+
+def check_counts(raw: DataFrame, rules: ValidationRules = DEFAULT_RULES, times: str = "_n") -> list[Column]:
+    """Counts of all checks over de-duplicated rows with their multiplicity; they can be observed on the cleaning pass."""
+    n = F.col(times)
+    failed = [F.sum(F.when(c, n).otherwise(0)).alias(name) for name, _, c in _rule_flags(raw, rules)]
+    return [F.sum(n).alias("_total"), F.sum(n - 1).alias("duplicate_rows"), *failed]
+
+
+def observed_checks(
+    spark: SparkSession, counts: dict, columns: list[str], rules: ValidationRules = DEFAULT_RULES, tolerance: float = 0.05
+) -> DataFrame:
+    """The rows of ``quality_checks`` from observed counts (none: an empty input)."""
+    names = ["_total", "duplicate_rows", *[n for n, _, _ in _rule_flags_of(columns, rules)]]
+    one = spark.createDataFrame([tuple(counts.get(n) for n in names)], ", ".join(f"{n} long" for n in names))
+    return _check_rows(one, rules, columns, tolerance)
+
+
+def _check_rows(one: DataFrame, rules: ValidationRules, columns: list[str], tolerance: float) -> DataFrame:
+    """One row of counts as one row for each check."""
+    checks = [("duplicate_rows", "uniqueness")] + [(n, t) for n, t, _ in _rule_flags_of(columns, rules)]
     rows = one.select(
         F.explode(
             F.array(

@@ -5,15 +5,14 @@ number of rows with a greater value. Computed in parallel:
 
 1. ties are collapsed: one row per distinct value with its row count (a hash
    aggregate, so a value shared by a third of the rows is one row here);
-2. approximate quantiles of the distinct values (one scalar subquery) cut the
-   value range into ``buckets`` contiguous buckets; a value's bucket is the
-   number of boundaries below it, which never decreases as the value grows;
-3. rows above a value = rows in all higher buckets (a bucket-sized prefix
-   sum) + rows with a greater value in the same bucket (a running count in a
-   window partitioned by bucket);
+2. the distinct values are dealt into consecutive spans of a bounded number of
+   values (``spans``), so their number grows with the distinct values;
+3. rows above a value = rows in all spans before (a running sum over the
+   spans' totals) + rows with a greater value in the same span (a window
+   partitioned by span);
 4. the rank is joined back to the rows on the value.
 
-The quantiles only balance the buckets; correctness does not depend on them.
+The bounds only balance the spans; correctness does not depend on them.
 """
 
 from __future__ import annotations
@@ -21,40 +20,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbus.operators.spans import SPAN, spanned
+from nimbus.session import cut_lineage
 
-def rank_desc(df: DataFrame, col: str, out: str, buckets: int = 256) -> DataFrame:
-    """Add ``out`` = rank of ``col`` in descending order, nulls last (ties share a rank)."""
-    v = F.col(col)
-    vals = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = vals.agg(F.percentile_approx("_v", probs, 10000).alias("_b")).scalar()
-    non_null = vals.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    # bucket = number of boundaries strictly below the value (0 .. buckets-1)
-    bucketed = (
-        vals.withColumn("_bs", bounds)
-        .withColumn("_a", F.size(F.filter("_bs", lambda b: b < F.col("_v"))))
-        .drop("_bs")
-    )
-    totals = bucketed.groupBy("_a").agg(F.sum("_n").alias("_t"))
-    # rows in higher buckets: each bucket's total is added to every lower bucket
-    above = (
-        totals.filter(F.col("_a") > 0)
-        .select(F.explode(F.sequence(F.lit(0), F.col("_a") - 1)).alias("_a"), "_t")
-        .groupBy("_a")
-        .agg(F.sum("_t").alias("_above"))
-    )
-    within = Window.partitionBy("_a").orderBy(F.col("_v").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+
+def rank_desc(df: DataFrame, col: str, out: str, buckets: int | None = None, span_values: int = 100_000) -> DataFrame:
+    """Add ``out`` = rank of ``col`` in descending order, nulls last (ties share a rank).
+
+    There is a span for each ``span_values`` distinct values, or ``buckets`` of them.
+    """
+    spark, v = df.sparkSession, F.col(col)
+    vals = cut_lineage(df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "rank-values")
+    if buckets:
+        span_values = max(1, -(-vals.count() // buckets))
+    dealt, _ = spanned(vals, [F.col("_v").desc()], span_values)
+    totals = dict(dealt.groupBy(SPAN).agg(F.sum("_n").alias("n")).collect())  # a row for each span
+    above, running = [], 0
+    for span in sorted(totals):
+        above.append((span, running))
+        running += totals[span]
+    starts = spark.createDataFrame(above, f"{SPAN} int, _above long")
+    within = Window.partitionBy(SPAN).orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
-        bucketed.withColumn("_within", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        .join(above, "_a", "left")
-        .select(
-            F.col("_v"),
-            (F.coalesce(F.col("_above"), F.lit(0)) + F.col("_within") + 1).cast("int").alias(out),
-        )
+        dealt.withColumn("_within", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+        .join(F.broadcast(starts), SPAN)
+        .select(F.col("_v"), (F.col("_above") + F.col("_within") + 1).cast("int").alias(out))
     )
     joined = df.join(ranks, v.eqNullSafe(F.col("_v")), "left").drop("_v")
-    return joined.withColumn(
-        out, F.when(v.isNull(), (non_null + 1).cast("int")).otherwise(F.col(out))
-    )
+    return joined.withColumn(out, F.when(v.isNull(), F.lit(running + 1).cast("int")).otherwise(F.col(out)))

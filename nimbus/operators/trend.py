@@ -2,16 +2,14 @@
 
 A row frame ("this row and the k-1 before it, in DATE order") over a frame
 without partition keys would normally run in a single task
-(``Exchange SinglePartition``). Here the frame is evaluated block-wise:
+(``Exchange SinglePartition``). Here the rows are range-partitioned in their
+order into consecutive spans (``spans``); the last ``w-1`` rows before a span
+are handed to it as a read-only halo, and the window runs partitioned by (key,
+span), so each task holds a span and its halo. Halo rows are dropped afterwards.
 
-1. every row gets its global position in DATE order: rows are counted per
-   (key, year) -- one small partial aggregate --, the counts are turned into
-   year offsets over that tiny per-year table, and a row's rank inside its
-   (key, year) is added to its year offset;
-2. positions are cut into blocks of ``block_rows`` rows; the last ``w-1``
-   rows of every block are copied into the next block as a read-only halo;
-3. the window runs partitioned by (key, block), so each task holds at most
-   ``block_rows + w - 1`` rows, and halo rows are dropped afterwards.
+A frame that must stay lazy (``lazy``, nothing runs before an action) is cut into
+blocks of equal numbers of rows instead, by positions from joined year counts:
+more scans and shuffles in one plan.
 
 The result equals the plain ``Window.orderBy(DATE).rowsBetween(-(w-1), 0)``
 frame on input that is unique on (key, DATE); gaps in the calendar widen the
@@ -25,6 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbus.operators.spans import SPAN, spanned
 from nimbus.session import cut_lineage
 
 # name -> (source column, frame width in rows) of the daily trend columns
@@ -77,40 +76,65 @@ def row_positions(
     )
 
 
+def _heirs(sizes: Sequence[int], halo: int) -> dict[int, list[int]]:
+    """For every span the later spans that need some of its last ``halo`` rows: the next one, and those after it
+    while the spans in between hold fewer rows than the halo together."""
+    out: dict[int, list[int]] = {}
+    for i in range(len(sizes)):
+        between = 0
+        out[i] = []
+        for j in range(i + 1, len(sizes)):
+            if between >= halo:
+                break
+            out[i].append(j)
+            between += sizes[j]
+    return out
+
+
+def _in_spans(df: DataFrame, order: list[str], halo: int, rows: int) -> DataFrame:
+    """Rows with their span, and the rows before each span once more as its halo."""
+    own, sizes = spanned(df, [F.col(c) for c in order], rows)
+    last = Window.partitionBy(SPAN).orderBy(*[F.col(c).desc() for c in order])
+    ends = own.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= halo).drop("_rn")
+    heirs = [(i, j) for i, to in _heirs(sizes, halo).items() for j in to]  # about one row for each span
+    to = df.sparkSession.createDataFrame(heirs, f"{SPAN} int, _to int")
+    handed = ends.join(F.broadcast(to), SPAN).drop(SPAN).withColumnRenamed("_to", SPAN)
+    return own.withColumn("_halo", F.lit(False)).unionByName(handed.withColumn("_halo", F.lit(True)))
+
+
+def _in_blocks(df: DataFrame, order_col: str, keys: list[str], halo: int, rows: int) -> DataFrame:
+    """The same by positions, without a job of its own."""
+    block = max(rows, halo + 1)
+    pos = row_positions(df, order_col, keys).withColumn(SPAN, F.floor(F.col("_pos") / block))
+    copies = pos.filter(F.col("_pos") % block >= block - halo).withColumn(SPAN, F.col(SPAN) + 1)
+    return pos.withColumn("_halo", F.lit(False)).unionByName(copies.withColumn("_halo", F.lit(True)))
+
+
 def moving_averages(
     df: DataFrame,
     specs: Mapping[str, tuple[str, int]],
     order_col: str = "DATE",
     keys: Sequence[str] = (),
-    block_rows: int = 4096,
+    block_rows: int = 100_000,
     materialize: bool = True,
+    lazy: bool = False,
 ) -> DataFrame:
     """Append one moving-average column per spec (rows frame, nulls skipped).
 
     ``df`` must be unique on (keys, order_col) with a non-null order column.
-    The input is read by several branches (year counts, ranks, halo copies),
-    so unless ``materialize`` is off (input already read from storage) it is
-    checkpointed once first.
+    A span holds about ``block_rows`` rows. The input is read more than once,
+    so unless ``materialize`` is off (input already read from storage, or
+    ``lazy``) it is written once first.
     """
     specs = {n: (c, w) for n, (c, w) in specs.items() if c in df.columns}
     if not specs:
         return df
-    if materialize:
-        df = cut_lineage(df)
-    keys = list(keys)
-    halo = max(w for _, w in specs.values()) - 1
-    block = max(block_rows, halo + 1)
-    pos = row_positions(df, order_col, keys).withColumn(
-        "_blk", F.floor(F.col("_pos") / block)
-    )
-    own = pos.withColumn("_halo", F.lit(False))
-    copies = pos.filter(F.col("_pos") % block >= block - halo).select(
-        *[c for c in pos.columns if c != "_blk"],
-        (F.col("_blk") + 1).alias("_blk"),
-        F.lit(True).alias("_halo"),
-    )
-    both = own.unionByName(copies) if halo > 0 else own
-    w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
+    keys, halo = list(keys), max(w for _, w in specs.values()) - 1
+    if lazy:
+        both = _in_blocks(df, order_col, keys, halo, block_rows)
+    else:
+        both = _in_spans(cut_lineage(df) if materialize else df, [*keys, order_col], halo, block_rows)
+    w = Window.partitionBy(*keys, SPAN).orderBy(order_col)
     avgs: dict[str, Column] = {
         name: F.avg(src).over(w.rowsBetween(-(width - 1), 0))
         for name, (src, width) in specs.items()
@@ -123,10 +147,11 @@ def trends(
     daily: DataFrame,
     specs: Mapping[str, tuple[str, int]] = DAILY_SPECS,
     materialize: bool = True,
+    lazy: bool = False,
 ) -> DataFrame:
     """Daily frame (dated rows only) plus its 7/30-row temperature and 7-row rain averages."""
     dated = daily.filter(F.col("DATE").isNotNull())
-    return moving_averages(dated, specs, "DATE", materialize=materialize)
+    return moving_averages(dated, specs, "DATE", materialize=materialize, lazy=lazy)
 
 
 def station_trends(

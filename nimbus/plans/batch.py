@@ -1,10 +1,10 @@
 """The three-phase batch run: clean -> aggregate -> store, with a run ledger.
 
 The cleaned rows are written once as a Parquet table in the output folder
-(shared storage), which cuts the lineage: the four aggregates read that table
-instead of repeating the de-duplication shuffle, and a lost executor costs a
-re-read, not a recomputation from the raw files. Row counts for the ledger are
-observed metrics of the writes themselves.
+(shared storage), which cuts the lineage: a lost executor costs a re-read, not a
+recomputation from the raw files. One pass over that table folds it to mergeable
+day states, and all aggregates and the aggregation facts are rolled up from the
+days. Row counts and the quality checks are metrics observed on the cleaning pass.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql.observation import Observation
 
 from nimbus.operators import aggregate, clean, enrich, ledger, trend
 from nimbus.schema import DEFAULT_RULES, ValidationRules
+from nimbus.session import cut_lineage
 from nimbus.sources import files
 
 
@@ -35,7 +36,7 @@ def process_all(raw: DataFrame, rules: ValidationRules = DEFAULT_RULES) -> dict[
         "daily": daily,
         "monthly": aggregate.monthly(enriched),
         "seasonal": aggregate.seasonal(enriched),
-        "trends": trend.trends(daily, materialize=False),
+        "trends": trend.trends(daily, lazy=True),
     }
 
 
@@ -59,9 +60,8 @@ def run_batch(
     """
     started = time.time()
     clean_path = os.path.join(out_root, "clean")
-    raw_rows = Observation(f"raw_rows_{time.time_ns()}")
-    observed = raw.observe(raw_rows, F.count(F.lit(1)).alias("n"))
-    rows = clean.clean(observed, rules).withColumn("YEAR", F.year("DATE"))
+    seen = Observation(f"cleaning_{time.time_ns()}")
+    rows = clean.clean_counted(raw, rules, seen, ledger.check_counts(raw, rules)).withColumn("YEAR", F.year("DATE"))
     parts = files.DEFAULT_PARTITIONING["clean"]
     try:
         clean_meta = files.sink_parquet(rows, clean_path, parts)
@@ -77,13 +77,15 @@ def run_batch(
 
     # the declared schema also reads a dataset without any row; YEAR comes from the folders
     stored = files.scan_dataset(spark, out_root, "clean", rows.schema).drop("YEAR")
-    enriched = enrich.enrich(stored)
-    daily = aggregate.daily(enriched)
-    # facts and quality checks are jobs of their own; they fill the cores beside the others
+    # the only pass over the cleaned rows: all levels and the facts are rolled up from its days
+    # (the codes read the two station columns once more)
+    states = cut_lineage(aggregate.day_states(stored, aggregate.station_codes(stored)), "day-states")
+    daily = aggregate.daily(states)
+    # facts and quality checks fill the cores beside the others
     side = ThreadPoolExecutor(max_workers=2)
-    records = _side_records(side, raw, enriched, rules, ledger_root, ingestion_id) if ledger_root else []
+    records = _side_records(side, spark, states, files.observed_all(seen), raw.columns, rules, ledger_root, ingestion_id) if ledger_root else []
     results = files.save_all(
-        {"daily": daily, "monthly": aggregate.monthly(enriched), "seasonal": aggregate.seasonal(enriched)},
+        {"daily": daily, "monthly": aggregate.monthly(states), "seasonal": aggregate.seasonal(states)},
         out_root,
     )
     failed_daily = results.where("dataset_name = 'daily' AND error IS NOT NULL").select("error").collect()
@@ -95,7 +97,7 @@ def run_batch(
 
     all_results = results.unionByName(files.save_all({"trends": trends}, out_root, spark=spark))
     if ledger_root:
-        n_raw = files.observed(raw_rows, "n")
+        n_raw = files.observed(seen, "_total")
         steps = [
             ledger.transformation_row(
                 "clean", n_raw, clean_meta["record_count"], clean_time,
@@ -120,15 +122,16 @@ def run_batch(
 
 
 def _side_records(
-    pool: ThreadPoolExecutor, raw: DataFrame, enriched: DataFrame, rules: ValidationRules, ledger_root: str, ingestion_id: str | None
-) -> list[Future]:
-    """Appends the aggregation facts and the quality checks to their ledger tables, side by side."""
-    link = F.lit(ingestion_id).cast("string").alias("ingestion_id")
-    frames = {LEDGER_TABLES[1]: ledger.aggregation_facts(enriched), LEDGER_TABLES[2]: ledger.quality_checks(raw, rules)}
-    return [
-        pool.submit(lambda df, table: df.select("*", link).write.mode("append").parquet(os.path.join(ledger_root, table)), df, table)
-        for table, df in frames.items()
-    ]
+    pool: ThreadPoolExecutor, spark: SparkSession, states: DataFrame, counts: dict, columns: list[str],
+    rules: ValidationRules, ledger_root: str, ingestion_id: str | None,
+) -> list[Future]:
+    """Puts the aggregation facts and the quality checks into their ledger tables, side by side."""
+    steps = {} if ingestion_id is None else {s: ledger.transformation_id(ingestion_id, s) for s in set(ledger.FACT_STEPS.values())}
+    frames = {
+        LEDGER_TABLES[1]: ledger.linked_facts(ledger.aggregation_facts(states), steps),
+        LEDGER_TABLES[2]: ledger.observed_checks(spark, counts, columns, rules),
+    }
+    return [pool.submit(ledger.put_run, df, os.path.join(ledger_root, table), ingestion_id) for table, df in frames.items()]
 
 
 def ingest_and_batch(
@@ -143,10 +146,10 @@ def ingest_and_batch(
 ) -> DataFrame:
     """Ingest what has landed, record the run, and run the batch over the whole sink."""
     from nimbus.schema import OBSERVATION
+    from nimbus.streaming import ingest
 
     ingestion_id = ingest_recorded(spark, landing, sink, ledger_root, fmt, checkpoint)
-    raw = files.scan_dataset(spark, os.path.dirname(sink.rstrip("/")), os.path.basename(sink.rstrip("/")), OBSERVATION)
-    return run_batch(spark, raw, out_root, ledger_root, rules, ingestion_id)
+    return run_batch(spark, ingest.read_sink(spark, sink, OBSERVATION), out_root, ledger_root, rules, ingestion_id)
 
 
 def ingest_recorded(

@@ -217,22 +217,22 @@ def q_round_display(spark, sf):
 
 @register("daily")
 def q_daily(spark, sf):
-    return daily_r(spark, sf)
+    return r6(aggregate.daily(fr.cleaned(spark, sf), fr.station_codes(spark, sf)), "TEMP_STD")
 
 
 @register("monthly")
 def q_monthly(spark, sf):
-    return fr.monthly(spark, sf)
+    return aggregate.monthly(fr.cleaned(spark, sf), fr.station_codes(spark, sf))
 
 
 @register("seasonal")
 def q_seasonal(spark, sf):
-    return fr.seasonal(spark, sf)
+    return aggregate.seasonal(fr.cleaned(spark, sf), fr.station_codes(spark, sf))
 
 
 @register("yearly")
 def q_yearly(spark, sf):
-    return fr.yearly(spark, sf)
+    return aggregate.yearly(fr.cleaned(spark, sf), fr.station_codes(spark, sf))
 
 
 @register("monthly_rain")
@@ -282,21 +282,9 @@ def q_histogram(spark, sf):
 
 @register("dataset_counts")
 def q_dataset_counts(spark, sf):
-    # the cleaned rows feed every later stage: materialize them once
-    cleaned = cut_lineage(fr.cleaned(spark, sf))
-    enriched = enrich.enrich(cleaned)
-    daily = cut_lineage(aggregate.daily(enriched))
-    return aggregate.dataset_counts(
-        {
-            "raw": fr.raw(spark, sf),
-            "clean": cleaned,
-            "enriched": enriched,
-            "daily": daily,
-            "monthly": aggregate.monthly(enriched),
-            "seasonal": aggregate.seasonal(enriched),
-            "trends": trend.trends(daily, materialize=False),
-        }
-    )
+    raw = fr.raw(spark, sf)
+    days = fr.cleaned(spark, sf).groupBy("DATE").agg(F.count(F.lit(1)).alias(aggregate.ROWS))
+    return aggregate.dataset_counts({"raw": raw}).unionByName(aggregate.level_counts(days))
 
 
 # ------------------------------------------------------------------ E: windows
@@ -514,7 +502,7 @@ def q_hottest_year(spark, sf):
 
 @register("station_comparison")
 def q_station_comparison(spark, sf):
-    return insight.station_comparison(fr.enriched(spark, sf))
+    return insight.station_comparison(fr.cleaned(spark, sf), codes=fr.station_codes(spark, sf))
 
 
 @register("station_slopes")
@@ -688,7 +676,7 @@ def q_resumable_ingest(spark, sf):
     ingest.resumable_ingest(
         spark, landing, sink, unique_scratch(spark, "ckpt"), schema=_raw_schema()
     )
-    return spark.read.parquet(sink)
+    return ingest.read_sink(spark, sink)
 
 
 @register("ingest_progress")
@@ -715,7 +703,7 @@ def q_ingest_payloads(spark, sf):
     files.land_raw_json(docs.select("doc.*"), landing)
     sink = unique_scratch(spark, "payload-rows")
     ingest.ingest_payloads(spark, landing, sink, unique_scratch(spark, "ckpt"))
-    return spark.read.parquet(sink)
+    return ingest.read_sink(spark, sink)
 
 
 @register("process_all")

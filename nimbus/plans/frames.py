@@ -24,6 +24,11 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich(cleaned(spark, sf_dir))
 
 
+def station_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all stations of the raw rows (those of the cleaned rows are among them); no de-duplication."""
+    return aggregate.station_codes(raw(spark, sf_dir))
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.daily(enriched(spark, sf_dir))
 

@@ -8,6 +8,7 @@ such setting (tests, benchmarks) gets a fresh folder under /tmp.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,9 +48,26 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     scratch_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session, once.
+
+    Workers import the functions that they are sent by name, and they do not
+    share the driver's module path. Spark serves the zipped package to every
+    executor; ``spark-submit --py-files`` does the same from outside.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    if any(os.path.basename(f) == f"{name}.zip" for f in spark.sparkContext.listFiles):
+        return
+    folder = tempfile.mkdtemp(prefix="ship-")  # the driver's own copy, read by Spark's file server
+    zipped = shutil.make_archive(os.path.join(folder, name), "zip", os.path.dirname(package), name)
+    spark.sparkContext.addPyFile(zipped)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,17 +104,91 @@ def scan_raw_json(spark: SparkSession, path: str) -> DataFrame:
 # ----------------------------------------------------------------- Parquet
 
 
-def observed(obs: Observation, name: str) -> int:
-    """An observed count; 0 where the rows are known to be none before anything runs (the
+def observed_all(obs: Observation) -> dict:
+    """Observed metrics; none where the rows are known to be none before anything runs (the
     optimizer then drops the observation with them)."""
     from py4j.protocol import Py4JJavaError
 
     try:
-        return int(obs.get.get(name) or 0)
+        return obs.get
     except Py4JJavaError as exc:
         if "java.lang.AssertionError" in str(exc):
-            return 0
+            return {}
+        raise
+
+
+def observed(obs: Observation, name: str) -> int:
+    """An observed count; 0 where there is none."""
+    return int(observed_all(obs).get(name) or 0)
+
+
+def _at(spark: SparkSession, path: str):
+    """(file system, path object) of a folder; works for every store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _beside(path: str, word: str) -> str:
+    """A hidden sibling of a dataset's folder (listings and readers pass over names that start with a dot)."""
+    folder, name = os.path.split(path.rstrip("/"))
+    return os.path.join(folder, f".{word}-{name}")
+
+
+def current_folder(spark: SparkSession, path: str) -> str:
+    """Where the dataset of this path is: the folder that a committed replacement points at, else the path itself."""
+    fs, pointer = _at(spark, _beside(path, "replaced-by"))
+    if not fs.exists(pointer):
+        return path
+    stream = fs.open(pointer)
+    name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    staged = os.path.join(os.path.dirname(path.rstrip("/")), name)
+    return staged if _at(spark, staged)[0].exists(_at(spark, staged)[1]) else path
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Moves a committed replacement into place; a replacement that a crash left half moved is finished."""
+    fs, pointer = _at(spark, _beside(path, "replaced-by"))
+    if not fs.exists(pointer):
+        return
+    staged, place = current_folder(spark, path), _at(spark, path)[1]
+    if staged != path:
+        fs.delete(place, True)
+        if not fs.rename(_at(spark, staged)[1], place):
+            raise OSError(f"{staged} holds the dataset of {path} and could not be moved there")
+    fs.delete(pointer, False)
+
+
+def _point_to(spark: SparkSession, path: str, staged: str) -> None:
+    """The commit of a replacement: one small file, renamed into place when it is whole."""
+    fs, pointer = _at(spark, _beside(path, "replaced-by"))
+    _, draft = _at(spark, _beside(path, f"draft-{uuid.uuid4().hex[:12]}"))
+    out = fs.create(draft, True)
+    out.write(bytearray(os.path.basename(staged).encode()))
+    out.close()
+    if not fs.rename(draft, pointer):
+        raise OSError(f"the replacement of {path} could not be committed")
+
+
+def replace_dataset(spark: SparkSession, path: str, write) -> None:
+    """Replaces a dataset as a whole: ``write`` fills a staged folder, which then takes the path's place.
+
+    The old dataset stays as it is until the staged one is complete. The commit
+    is a pointer file beside the dataset that ``scan_dataset`` follows; after it
+    the staged folder is moved to the path (a rename). A write that fails leaves
+    the old dataset, a crash after the commit leaves the new one, and the next
+    replacement finishes the move.
+    """
+    settle(spark, path)
+    staged = _beside(path, f"staged-{uuid.uuid4().hex[:12]}")
+    try:
+        write(staged)
+    except Exception:
+        fs, at = _at(spark, staged)
+        fs.delete(at, True)
         raise
+    _point_to(spark, path, staged)
+    settle(spark, path)
 
 
 def sink_parquet(
@@ -126,7 +201,8 @@ def sink_parquet(
     """Write a dataset; returns rows written, size and duration.
 
     ``mode`` is one of Spark's save modes, or ``replace_partitions``:
-    ``overwrite`` replaces the whole dataset, ``replace_partitions`` only the
+    ``overwrite`` replaces the whole dataset at once (``replace_dataset``: a
+    failed write leaves the old rows), ``replace_partitions`` only the
     partitions that the new rows fall in. The row count is an observed metric
     of the write itself (no second job). Before a partitioned write the rows
     are rebalanced on the partition columns (AQE splits a hot partition and
@@ -144,8 +220,13 @@ def sink_parquet(
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if mode == "overwrite":
+        replace_dataset(spark, path, writer.parquet)
+    else:
+        settle(spark, path)
+        writer.parquet(path)
     duration = time.time() - started
+    # Names of a write's result.
     return {
         "dataset_name": os.path.basename(path.rstrip("/")),
         "output_path": path,
@@ -220,8 +301,11 @@ def save_all(
 def scan_dataset(
     spark: SparkSession, root: str, name: str, schema: T.StructType | None = None
 ) -> DataFrame | None:
-    """A stored dataset; if absent: an empty frame of ``schema``, else None."""
-    path = os.path.join(root, name)
+    """A stored dataset; if absent: an empty frame of ``schema``, else None.
+
+    A replacement that was committed and not yet moved into place is followed.
+    """
+    path = current_folder(spark, os.path.join(root, name))
     if _exists(spark, path):
         reader = spark.read
         if schema is not None:
@@ -233,16 +317,9 @@ def scan_dataset(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists (resolving a file listing; no job runs)."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        return True
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            return False
-        raise
+    """Whether a path exists (asked of its file system; no job runs)."""
+    fs, at = _at(spark, path)
+    return fs.exists(at)
 
 
 def _bytes_under(spark: SparkSession, path: str) -> int:

@@ -5,9 +5,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from nimbus.operators import clean, dashboard, insight, query, trend
+from nimbus.operators import aggregate, clean, dashboard, insight, ledger, query, rank, spans, trend
 from nimbus.plans import frames as fr
-from nimbus.session import unique_scratch
+from nimbus.session import cut_lineage, unique_scratch
 
 
 def plan(df) -> str:
@@ -78,7 +78,51 @@ def test_histogram_and_periods_have_no_cartesian_product(spark, sf_dir):
 
 def test_aggregates_are_partial_before_exchange(spark, sf_dir):
     text = plan(fr.monthly(spark, sf_dir))
-    assert "partial_avg" in text and "partial_count" in text
+    assert "partial_sum" in text and "partial_count" in text
+
+
+def test_levels_and_comparison_fold_rows_by_hash(spark, sf_dir):
+    """No sort-based aggregate below the first exchange on the date (or station): rows are folded by hash."""
+    rows, codes = fr.cleaned(spark, sf_dir), fr.station_codes(spark, sf_dir)
+    for level in ("daily", "monthly", "seasonal", "yearly"):
+        text = plan(getattr(aggregate, level)(rows, codes))
+        folds = [line for line in text.splitlines() if "keys=[DATE" in line]
+        assert folds and all("HashAggregate" in line for line in folds), level
+        # what is sorted at most is days
+        assert "SortAggregate" not in text[text.index("keys=[DATE"):], level
+    stations = aggregate.encoded(rows.select("STATION", "STATION_NAME", "TAVG", "PRCP"), codes, ("STATION_NAME",))
+    assert "SortAggregate" not in plan(stations.groupBy("STATION").agg(F.min("STATION_NAME"), F.avg("TAVG")))
+    # the dictionary is small and stored: its measured size lets Spark broadcast it
+    assert "BroadcastHashJoin" in plan(aggregate.daily(rows, codes))
+
+
+def test_the_batch_reads_the_clean_table_once(spark, sf_dir):
+    """All levels and the facts come from stored day states; none of their plans reaches the clean table."""
+    path = unique_scratch(spark, "clean")
+    fr.cleaned(spark, sf_dir).write.parquet(path)
+    stored = spark.read.parquet(path)
+    states = cut_lineage(aggregate.day_states(stored, aggregate.station_codes(stored)))
+    for df in (aggregate.daily(states), aggregate.monthly(states), aggregate.seasonal(states), aggregate.yearly(states), ledger.aggregation_facts(states)):
+        text = formatted(df)
+        assert path not in text and text.count("Scan parquet") <= 2
+
+
+def test_histogram_has_one_scan(spark, sf_dir):
+    text = plan(dashboard.histogram(fr.daily(spark, sf_dir)))
+    assert text.count("FileScan") == 1 and "subquery" not in text.lower() and "rangepartitioning" not in text
+
+
+def test_moving_averages_have_one_exchange_a_branch(spark, sf_dir):
+    text = plan(trend.trends(fr.daily(spark, sf_dir)))
+    assert text.count("FileScan") == 2 and text.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in text
+
+
+def test_spans_follow_the_number_of_values(spark):
+    few, many = (spark.range(n).select(F.col("id").cast("double").alias("x")) for n in (1000, 9000))
+    assert [len(spans.spanned(df, [F.col("x")], 500)[1]) for df in (few, many)] == [2, 18]
+    ranked = rank.rank_desc(many, "x", "R", span_values=500)
+    assert "BroadcastNestedLoopJoin" not in plan(ranked)
+    assert ranked.where("R <> 9000 - x").count() == 0
 
 
 def test_no_round_robin_in_any_query_plan(spark, sf_dir):
@@ -89,8 +133,6 @@ def test_no_round_robin_in_any_query_plan(spark, sf_dir):
 
 
 def test_aggregation_facts_fan_out_days_not_rows(spark, sf_dir):
-    from nimbus.operators import ledger
-
     text = plan(ledger.aggregation_facts(fr.enriched(spark, sf_dir)))
     # both generators stand above the aggregate by day
     assert text.count("Generate") >= 2

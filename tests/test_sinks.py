@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from nimbus.plans import batch
@@ -39,6 +40,41 @@ def test_save_all_isolates_failures(spark, sf_dir):
     assert "monthly" in names
 
 
+def test_a_failed_replacement_leaves_the_old_dataset(spark, sf_dir):
+    root = unique_scratch(spark, "root")
+    m = fr.monthly(spark, sf_dir)
+    path, n = os.path.join(root, "monthly"), m.count()
+    files.sink_parquet(m, path)
+    bad = m.withColumn("TEMP_AVG", F.when(F.col("YEAR") == 1996, F.raise_error(F.lit("no"))).otherwise(F.col("TEMP_AVG")))
+    for _ in range(2):
+        with pytest.raises(Exception, match="no"):
+            files.sink_parquet(bad, path)
+        assert spark.read.parquet(path).count() == files.scan_dataset(spark, root, "monthly").count() == n
+    assert sorted(os.listdir(root)) == ["monthly"]  # nothing is left of the staged folders
+    # even one that reads what it replaces
+    files.sink_parquet(spark.read.parquet(path).limit(3), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+@pytest.mark.parametrize("died", ["after the commit", "after the old rows went"])
+def test_a_crash_after_the_commit_leaves_the_new_dataset(spark, sf_dir, monkeypatch, died):
+    root = unique_scratch(spark, "root")
+    m = fr.monthly(spark, sf_dir)
+    path = os.path.join(root, "monthly")
+    files.sink_parquet(m, path)
+    with monkeypatch.context() as patched:
+        calls = []
+        patched.setattr(files, "settle", lambda spark, path, whole=files.settle: whole(spark, path) if not calls.append(1) and len(calls) == 1 else None)
+        files.sink_parquet(m.limit(2), path)
+    if died == "after the old rows went":
+        fs, place = files._at(spark, path)
+        fs.delete(place, True)
+    assert files.scan_dataset(spark, root, "monthly").count() == 2
+    assert {r.name for r in files.list_datasets(spark, root).collect()} <= {"monthly"}
+    files.sink_parquet(m.limit(1), path, mode="append")  # finishes the move first
+    assert spark.read.parquet(path).count() == 3 and sorted(os.listdir(root)) == ["monthly"]
+
+
 def test_dataset_info_and_latest(spark, sf_dir):
     root = unique_scratch(spark, "root")
     files.save_all({"daily": fr.daily(spark, sf_dir)}, root)
