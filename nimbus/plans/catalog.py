@@ -696,6 +696,19 @@ def q_ingest_progress(spark, sf):
     )
 
 
+@register("ingest_share")
+def q_ingest_share(spark, sf):
+    """Four landed files are ingested, a fifth has landed since."""
+    landing, sink = unique_scratch(spark, "landing"), unique_scratch(spark, "ingested")
+    raw = fr.raw(spark, sf)
+    files.sink_csv(raw.repartition(4), landing)
+    ingest.resumable_ingest(spark, landing, sink, schema=_raw_schema())
+    files.sink_csv(raw.coalesce(1), landing, mode="append")
+    share = ingest.ingest_share(spark, landing, sink)
+    # bytes depend on how the rows fell into files
+    return share.select("files_landed", "files_done", "files_remaining", "files_percent", (F.col("bytes_done") > 0).alias("has_bytes"))
+
+
 @register("ingest_payloads")
 def q_ingest_payloads(spark, sf):
     landing = unique_scratch(spark, "payload-landing")

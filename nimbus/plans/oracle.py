@@ -474,6 +474,9 @@ UNION ALL SELECT 'seasonal', count(*), '', 'snappy', 'overwrite', NULL FROM seas
 SELECT CAST(4 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS rows,
        CAST(count(*) FILTER (WHERE DATE IS NULL OR TRY_CAST(DATE AS DATE) IS NULL) AS BIGINT) AS failed_rows,
        CAST(count(*) AS BIGINT) AS cumulative_rows FROM obs_raw""",
+    "ingest_share": """
+SELECT DISTINCT CAST(5 AS BIGINT) AS files_landed, CAST(4 AS BIGINT) AS files_done, CAST(1 AS BIGINT) AS files_remaining,
+       CAST(80.0 AS DOUBLE) AS files_percent, true AS has_bytes FROM obs_raw""",
     "list_datasets": "SELECT DISTINCT n AS name FROM (VALUES ('daily'), ('monthly')) t(n), daily",
     "datasets_overview": """
 SELECT DISTINCT n AS name, true AS has_size, true AS has_files, true AS has_time
