@@ -167,8 +167,18 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
     return fit(docs[1], docs[0], float(prior))
 
 
-def score(documents: DataFrame, model: Classifier) -> DataFrame:
-    """Every row with all its columns and a last column `_score`."""
+def free_name(columns: list[str], name: str = "_score") -> str:
+    """The name, or the name with more underscores in front where a column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def score(documents: DataFrame, model: Classifier, name: str = "_score") -> DataFrame:
+    """Every row with all its columns and a last column `name`, which the input must not have (`free_name` gives one)."""
+    if free_name(documents.columns, name) != name:
+        raise ValueError(f"the documents have a column {name!r} of their own")
     shared = documents.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     at = documents.columns.index("text")
 
@@ -176,9 +186,9 @@ def score(documents: DataFrame, model: Classifier) -> DataFrame:
         one = Classifier(*shared.value)
         for batch in batches:
             for b in slices(batch, at):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(one.scores(b.column(at)))], [*b.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(one.scores(b.column(at)))], [*b.schema.names, name])
 
-    return documents.mapInArrow(scored, StructType([*documents.schema.fields]).add("_score", "double"))
+    return documents.mapInArrow(scored, StructType([*documents.schema.fields]).add(name, "double"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
