@@ -29,7 +29,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model).where(F.col("_score") < TOXIC).select(docs.columns)
+    name = toxicity.free_name(docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < TOXIC).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             ingest.resumable_ingest(spark, args.landing, args.sink, args.checkpoint)
         ingest.ingest_totals(ingest.ingest_history(spark, args.sink)).show(truncate=False)
+        ingest.ingest_share(spark, args.landing, args.sink, args.checkpoint).show(truncate=False)
     elif args.command == "run":
         from nimbus.plans import batch
 
