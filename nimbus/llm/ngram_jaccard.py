@@ -14,13 +14,15 @@ shingles among their first n - ceil(t * n) + l in any fixed order of shingles
 (here: the ones that many documents hold last, then by hash), so a cell for
 each of these shingles loses no pair. A small cell compares its points
 directly; a large one pairs all with its middle point, and a second pass
-searches it by an R-tree for pairs that are still in different components.
+searches it by an R-tree for links between what are still different components.
 Equal sets are one node throughout.
 
 Found pairs are first bounded again by finer points (a group for every second
 shingle). Then one pair of each node is verified on the whole sets, which ties
 a group of near copies together without its square of pairs, and after it the
-pairs that are still between different components.
+pairs that are still between different components. Inside a large cell these
+are verified where they meet and joined at once, so a cell puts out a forest of
+links, never its pairs.
 
 Defined results for odd input: null texts and texts without words have
 `n_shingles` 0 and are linked with nothing; texts with fewer words than a
@@ -47,6 +49,7 @@ OVER = np.uint16(65535)  # a count that may be larger
 SMALL_CELL = 32
 COMMON = 65_536  # shingles that are put last; a matter of speed, any order gives the same pairs
 CHUNK = 2048
+CHUNK_BYTES = 32 << 20  # of whole sets
 BROADCAST_BYTES = 64 << 20
 
 
@@ -351,9 +354,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, by: Threshold) -> DataFrame:
     return full.mapInArrow(bound, "a long, b long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, n: int, by: Threshold) -> DataFrame:
-    """`a, b` of the pairs whose whole sets link."""
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+def _members(nodes: DataFrame, rows: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """`key, members`: the whole shingle sets of `nodes` (`key`)."""
     asked = _scratch(rows.join(nodes, "key").groupBy("key").agg(F.min("id").alias("doc_id")), "asked")
     if asked.count() * 32 <= BROADCAST_BYTES:  # else the texts are shuffled
         asked = F.broadcast(asked)
@@ -367,7 +369,20 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, n: int, b
                 data = [shingles[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["key", "members"]).filter(pa.array(mine))
 
-    members = texts.mapInArrow(sets, "key long, members binary").dropDuplicates(["key"])
+    return texts.mapInArrow(sets, "key long, members binary").dropDuplicates(["key"])
+
+
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sets without repeats."""
+    both = np.concatenate([p, q])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, n: int, by: Threshold) -> DataFrame:
+    """`a, b` of the pairs whose whole sets link."""
+    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    members = _members(nodes, rows, documents, n)
     one, two = members.toDF("a", "members_a"), members.toDF("b", "members_b")
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "members_a", "members_b")
 
@@ -376,9 +391,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, n: int, b
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                keep.append(bool(by.links(int((both[1:] == both[:-1]).sum()), len(p), len(q))))
+                keep.append(bool(by.links(shared(p, q), len(p), len(q))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return full.mapInArrow(verify, "a long, b long")
@@ -400,42 +413,81 @@ def earlier_cells(cells: pa.ListArray, cell: int) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, by: Threshold) -> DataFrame:
-    """Pairs of large cells that may link and are in different components: an R-tree for each chunk of a cell.
+class Cell:
+    """The members of a chunk pair of one large cell, and the pairs among them that may link."""
 
-    `cells`: `a` a member, `b` its cell. Only the pairs whose finer points allow a link come out.
+    def __init__(self, table: pa.Table, by: Threshold):
+        self.by, self.cell = by, table["b"][0].as_py()
+        self.keys, self.size, self.given, mine = (table[c].to_numpy() for c in ("a", "size", "label", "mine"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        self.here, self.there, self.one = np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j
+        self.fine = FinePoints(table["point"].to_pylist())
+        self.earlier = earlier_cells(table["cells"].combine_chunks(), self.cell)
+        self.vectors = self.fine.coarse()
+
+    def pairs(self, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, its possible partners of other labels, the most promising first); a pair is met once, in its first cell."""
+        if not len(self.there):
+            return
+        keys, size = self.keys, self.size
+        tree = CountRTree(self.vectors[self.there], size[self.there], self.given[self.there])
+        for q in self.here:
+            hit = self.there[tree.search(self.vectors[q], int(size[q]), int(self.given[q]), self.by)]
+            hit = hit[(label[hit] != label[q]) & (keys[hit] > keys[q] if self.one else keys[hit] != keys[q])]
+            hit = hit[~(self.earlier[hit] & self.earlier[q]).any(axis=1)]
+            spare = self.fine.bounds(q, hit) - self.by.overlap(size[q], size[hit])
+            hit = hit[spare >= 0][np.argsort(-spare[spare >= 0], kind="stable")]
+            if len(hit):
+                yield q, hit
+
+
+def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, rows: DataFrame, documents: DataFrame, n: int, by: Threshold) -> DataFrame:
+    """Links of large cells between different components: an R-tree for each chunk of a cell.
+
+    `cells`: `a` a member, `b` its cell. A first pass over the points marks the members that some other may link with;
+    only their whole sets go to their cells. There the pairs that the finer points allow are verified, the most
+    promising first, and a link joins both components at once, so that pairs inside are passed over. What comes out is
+    a forest: less than a link for each member of a chunk pair, however alike the members are.
     """
     labelled = cells.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a"))
-    mixed = labelled.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    members = labelled.join(mixed.select("b", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "b")
+    mixed = labelled.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("b")
     # all large cells of a member (no more than its prefix): a pair is met in the first cell that both are in
-    held = cells.groupBy("a").agg(F.collect_list("b").alias("cells"))
-    members = members.join(points.withColumnRenamed("key", "a"), "a").join(held, "a")
-    mine = F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")
-    met = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("a", "b", "size", "point", "cells", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    of = cells.groupBy("a").agg(F.collect_list("b").alias("cells"))
+    described = labelled.join(mixed, "b").join(points.withColumnRenamed("key", "a"), "a").join(of, "a")
+    members = _scratch(described.select("a", "b", "size", "point", "cells", "label"), "mixed")
+
+    def met(members: DataFrame, weight: int) -> DataFrame:
+        """Members once for each chunk pair `i, j` of their cell; a chunk has a bounded number of rows, and of bytes at `weight` a shingle."""
+        chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") * weight / CHUNK_BYTES)).cast("int").alias("chunks")
+        mine = F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")
+        dealt = members.join(members.groupBy("b").agg(chunks), "b").withColumn("mine", mine)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("chunks", "other")
+
+    def promising(table: pa.Table) -> pa.Table:
+        cell = Cell(table, by)
+        marked = np.zeros(len(cell.keys), bool)
+        for q, hit in cell.pairs(cell.given):
+            marked[q] = marked[hit] = True
+        return pa.table({"a": cell.keys[marked], "b": np.full(int(marked.sum()), cell.cell)})
+
+    marked = _scratch(met(members, 1).groupBy("b", "i", "j").applyInArrow(promising, "a long, b long").distinct(), "promising")
+    sets = _members(marked.select(F.col("a").alias("key")).distinct(), rows, documents, n).withColumnRenamed("key", "a")
+    whole = _scratch(members.join(marked, ["a", "b"]).join(sets, "a"), "promising-sets")
 
     def search(table: pa.Table) -> pa.Table:
-        keys, size, label, mine = (table[c].to_numpy() for c in ("a", "size", "label", "mine"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        there = np.flatnonzero(mine == j)
-        out = [_found(1, [])]
-        if len(there):
-            fine = FinePoints(table["point"].to_pylist())
-            earlier = earlier_cells(table["cells"].combine_chunks(), table["b"][0].as_py())
-            vectors = fine.coarse()
-            tree = CountRTree(vectors[there], size[there], label[there])
-            for q in np.flatnonzero(mine == i):
-                hit = there[tree.search(vectors[q], int(size[q]), int(label[q]), by)]
-                hit = hit[(label[hit] != label[q]) & (keys[hit] != keys[q])]
-                hit = hit[~(earlier[hit] & earlier[q]).any(axis=1)]
-                hit = hit[fine.bounds(q, hit) >= by.overlap(size[q], size[hit])]
-                if len(hit):
-                    out.append(_found(1, np.full(len(hit), keys[q]), keys[hit]))
-        return pa.Table.from_batches(out)
-
-    found = met.groupBy("b", "i", "j").applyInArrow(search, FOUND)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        cell = Cell(table, by)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"]]
+        label, a, b = cell.given.copy(), [], []
+        for q, hit in cell.pairs(label):
+            for h in hit:
+                if label[h] != label[q] and by.links(shared(sets[q], sets[h]), len(sets[q]), len(sets[h])):
+                    a.append(cell.keys[q])
+                    b.append(cell.keys[h])
+                    label[label == label[h]] = label[q]
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return met(whole, 8).groupBy("b", "i", "j").applyInArrow(search, "a long, b long")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -481,14 +533,19 @@ def self_join(documents: DataFrame, n: int = 4, percent: int = 85, bucket_bytes:
     one = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     one = one.unionByName(near.groupBy("a").agg(F.min("b").alias("b"))).distinct()
     links = _scratch(_verified(one, linkable, lean, n, by), "links")
-    labels = components(links)
-    across = _across(found.where("kind = 2").select("a", "b").distinct(), points, labels, by)
-    apart = _scratch(_apart(near, labels).unionByName(across).distinct(), "apart")
-    if apart.limit(1).count():
-        labels = _joined(labels, _scratch(_verified(apart, linkable, lean, n, by), "links"))
-    of = linkable.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # labels are written after every step: their plans would else grow into each other
+    labels = _scratch(components(links), "labels")
+    across = _across(found.where("kind = 2").select("a", "b").distinct(), points, labels, linkable, lean, n, by)
+    apart = _scratch(_apart(near, labels), "apart")
+    more = _scratch(_verified(apart, linkable, lean, n, by).unionByName(across), "links")
+    if more.limit(1).count():
+        labels = _scratch(_joined(labels, more), "labels")
+    # one row for each distinct set from here on: copies are folded before the shuffle, not joined one by one
+    sets = linkable.groupBy("key").agg(F.min("id").alias("id"))
+    of = sets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     first = of.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = of.select("key", "component").distinct().join(first, "component").select("key", "component_id")
+    named = _scratch(of.join(first, "component").select("key", "component_id"), "named")
+    # a join of its own, so that the rows of a hot key can be dealt to several tasks
     out = rows.join(named, "key", "left")
     own = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -497,3 +554,31 @@ def self_join(documents: DataFrame, n: int = 4, percent: int = 85, bucket_bytes:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of `documents` linked at Jaccard 0.85 of their 4-word shingles."""
     return self_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), placed AS (
+  SELECT row_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words
+), windows AS (
+  SELECT row_id, n, pos, list(word) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS win FROM placed
+), shingles AS (
+  SELECT DISTINCT row_id, win FROM windows WHERE len(win) = 4 OR (n < 4 AND pos = 1)
+), sizes AS (
+  SELECT row_id, count(*) AS n FROM shingles GROUP BY row_id
+), met AS (
+  SELECT a.row_id AS a, b.row_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.win = b.win AND a.row_id < b.row_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.row_id = a JOIN sizes y ON y.row_id = b WHERE 100 * met.n >= 85 * (x.n + y.n - met.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(a, b) AS (
+  SELECT row_id, row_id FROM words UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b
+)
+SELECT w.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, CASE WHEN w.doc_id IS NOT NULL THEN min(o.doc_id) END AS component_id
+FROM words w JOIN reached r ON r.a = w.row_id JOIN words o ON o.row_id = r.b LEFT JOIN sizes s ON s.row_id = w.row_id
+GROUP BY w.row_id, w.doc_id
+"""

@@ -160,10 +160,9 @@ def brute_components(rows, percent=85, n=4):
             x = parent[x]
         return x
 
-    for a in nodes:
-        for b in nodes:
-            both = len(a[1] & b[1])
-            if 100 * both >= percent * len(a[1] | b[1]):
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if root(a) != root(b) and 100 * len(a[1] & b[1]) >= percent * len(a[1] | b[1]):
                 parent[root(a)] = root(b)
     least = {}
     for x in nodes:
@@ -321,9 +320,74 @@ def test_lightest_path_of_a_unigram_file():
     assert np.frombuffer(machine.encode("azb"), "<u4").tolist() == [1, 0, 2]
 
 
+def test_a_group_of_many_near_copies_puts_out_a_forest(spark, monkeypatch):
+    """2,000 near copies, most of them no link of the middle one: less links come out of a cell than it has members."""
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(40)] = f"edit{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    seen = []
+    across = ngram_jaccard._across
+
+    def counted(cells, *rest):
+        out = ngram_jaccard._scratch(across(cells, *rest), "forest")
+        seen.append((cells.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "_across", counted)
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 500)
+    got = ngram_jaccard.self_join(frame(spark, rows).repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    members, links = seen[0]
+    assert members > 2000 and links < 2000 * 4  # below the members of the chunk pairs, not the 2 million pairs
+
+
 # ----------------------------------------------------------------- toxicity
 
 
+def test_the_step_follows_the_gradient_of_the_corrected_risk():
+    """One step of size `rate` goes against the sign of the numeric gradient of the non-negative risk."""
+    rng = random.Random(3)
+    pos = [np.array(sorted({0, 1, rng.randint(2, 9)})) for _ in range(40)]
+    unl = [np.array(sorted({rng.randint(0, 19), rng.randint(5, 19)})) for _ in range(120)]
+    prior, bits = 0.2, 5
+    kept = toxicity.select(pos, unl, 1 << bits, prior)
+    assert len(kept)
+
+    def risk(w, b):
+        z = lambda docs: np.array([sum(w[f] for f in d) + b for d in docs])
+        loss = lambda v: np.logaddexp(0, v).mean()
+        negative = loss(z(unl)) - prior * loss(z(pos))
+        assert negative >= 0  # the branch of the plain risk
+        return prior * loss(-z(pos)) + negative
+
+    w, b = np.zeros(1 << bits), float(np.log(prior / (1 - prior)))
+    one = toxicity.fit(pos, unl, prior, bits, rounds=1, rate=1e-3, decay=0.0)
+    for f in kept:
+        up, down = w.copy(), w.copy()
+        up[f] += 1e-5
+        down[f] -= 1e-5
+        slope = (risk(up, b) - risk(down, b)) / 2e-5
+        assert one.weights[f] == pytest.approx(-1e-3 * np.sign(slope), rel=1e-3) or abs(slope) < 1e-6
+
+
+def test_a_column_of_the_score_s_name(spark, odd):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    model = toxicity.Classifier(0.0, np.zeros(1 << toxicity.BITS))
+    clash = odd.withColumn("_score", F.lit("mine")).withColumn("__SCORE", F.lit(1))
+    name = toxicity.free_name(clash.columns)
+    assert name == "___score" and toxicity.score(clash, model, name).where(F.col(name) == 0.5).count() == odd.count()
+    with pytest.raises(ValueError, match="of their own"):
+        toxicity.score(clash, model)
+    assert corpus_pipeline.toxicity.free_name(odd.columns) == "_score"
+
+
 def test_toxicity_learns_and_never_reads_held_out_labels(spark, odd, none):
     rng = random.Random(1)
     clean = [f"word{i}" for i in range(300)]
