@@ -31,6 +31,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op8_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
         "op3_cover_tree_search": cover_search.ORACLE_SQL,
         "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }

@@ -324,3 +324,29 @@ def dedup(documents: DataFrame, k: int = 13, block_bytes: int = 8 << 20) -> Data
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of `documents` covered by 13-word windows that a smaller document holds too, removed."""
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT row_id, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words
+), windows AS (
+  SELECT *, list(word) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win FROM placed
+), least AS (
+  SELECT win, min({'doc': doc_id, 'pos': pos}) AS first FROM windows WHERE len(win) = 13 GROUP BY win
+), judged AS (
+  SELECT w.row_id, w.word, w.pos, coalesce(l.first.doc < w.doc_id, false) AS earlier, l.first AS first
+  FROM windows w LEFT JOIN least l ON len(w.win) = 13 AND l.win = w.win
+), covered AS (
+  SELECT *, bool_or(earlier) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone,
+    earlier AND NOT coalesce(lag(earlier) OVER o AND lag(first.doc) OVER o = first.doc AND lag(first.pos) OVER o = first.pos - 1, false) AS begins
+  FROM judged WINDOW o AS (PARTITION BY row_id ORDER BY pos)
+), kept AS (
+  SELECT row_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_paths, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+  FROM covered GROUP BY row_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256,
+  CAST(coalesce(k.n_paths, 0) AS BIGINT) AS n_paths
+FROM words w LEFT JOIN kept k USING (row_id)
+"""
