@@ -17,7 +17,9 @@ neighbours agree, so each position keeps a single state.
 
 No piece of such a file holds the mark behind another letter, so a text is cut
 before marks and each different word is composed once for a worker's bounded
-cache. (Files for which this does not hold are composed whole.)
+cache, all new words of a slice of texts together: the trie is one table from
+(state, letter) to state, and every step takes a letter of all words (numpy).
+(Files for which this does not hold are composed whole.)
 
 Defined results for odd input: null and empty texts give no pieces; ids of
 rows are carried as they are, nulls too; repeated rows are encoded one by one;
@@ -32,16 +34,20 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from nimbus.llm.words import slices
+
 MARK = "▁"
 NORMAL, USER_DEFINED, UNUSED, BYTE, UNKNOWN = 1, 4, 5, 6, 2  # piece types of the file format
 UNIGRAM, BPE = 1, 2  # model types of the file format
-CACHE_WORDS = 200_000  # bounds of the caches; they change no result
+CACHE_LETTERS = 8_000_000  # bounds of the caches; they change no result
 CACHE_PAIRS = 500_000
+TOGETHER = 64  # letters; longer words are composed one by one
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -93,6 +99,49 @@ class ModelFile:
                 self.dummy_prefix, self.remove_extra, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
 
 
+class Table:
+    """Whole numbers by whole numbers (not negative), looked up for many keys at once; open addressing."""
+
+    def __init__(self, room: int = 1 << 12):
+        self.bits, self.held = room.bit_length(), 0
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+
+    def __len__(self) -> int:
+        return self.held
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        out, live, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slots(keys)
+        while len(live):
+            there = self.keys[at]
+            match = there == keys[live]
+            out[live[match]] = self.values[at[match]]
+            on = ~match & (there >= 0)
+            live, at = live[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds different keys that are not in the table."""
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            grown = Table(2 * (self.held + len(keys)))
+            grown.put(self.keys[old], self.values[old])
+            self.bits, self.keys, self.values, self.held = grown.bits, grown.keys, grown.values, grown.held
+        self.held += len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            # of several keys that want one free slot the first takes it
+            place, first = np.unique(at, return_index=True)
+            first = first[self.keys[place] < 0]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            on = np.ones(len(keys), bool)
+            on[first] = False
+            keys, values, at = keys[on], values[on], (at[on] + 1) & ((1 << self.bits) - 1)
+
+
 class Transducer:
     """The compiled machines; `encode` and `decode`."""
 
@@ -100,6 +149,7 @@ class Transducer:
         self.file = file = ModelFile(data)
         self.ids = {p: i for i, (p, _, kind) in enumerate(file.pieces) if kind in (NORMAL, USER_DEFINED, UNUSED)}
         self.scores = [score for _, score, _ in file.pieces]
+        self.score_of = {p: self.scores[i] for p, i in self.ids.items()}
         self.unknown = next((i for i, (_, _, kind) in enumerate(file.pieces) if kind == UNKNOWN), 0)
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(file.pieces) if kind == BYTE}
         self.text = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER_DEFINED, UNUSED) else b"" for p, _, kind in file.pieces]
@@ -113,9 +163,23 @@ class Transducer:
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.letters = 0  # in the cached words
+        self.pairs = Table()
+        self._number_states()
         self.least = min([s for _, s, kind in file.pieces if kind == NORMAL], default=0.0) - 10.0
 
+    def _number_states(self) -> None:
+        """The trie as one table of arcs, `state << 21 | letter` to the next state, and the piece that each state accepts."""
+        arcs, accepts, todo = [], [-1], [(0, self.trie)]
+        for number, state in todo:  # grows while it is read
+            for letter, (below, piece) in state.items():
+                arcs.append((number << 21 | ord(letter), len(accepts)))
+                todo.append((len(accepts), below))
+                accepts.append(piece)
+        keys, values = np.array(arcs, np.int64).reshape(-1, 2).T
+        self.arcs, self.accepts = Table(4 * len(keys) + 1), np.array(accepts, np.int64)
+        self.arcs.put(keys, values)
+
     # normaliser
 
     def normalise(self, text: str) -> str:
@@ -167,27 +231,109 @@ class Transducer:
         return [x for ids in reversed(path) for x in ids]
 
     def _agree(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            left, right = self.file.pieces[a][0], self.file.pieces[b][0]
-            found = self.pairs[a, b] = self.merge(left + right) == [left, right]
-        return found
-
-    def merge(self, text: str) -> list[str]:
-        """Byte-pair merging by its definition: the best-scored neighbours first, the leftmost among equals."""
-        parts = list(text)
-        while len(parts) > 1:
+        return bool(self._agreements(np.array([a]), np.array([b]))[0])
+
+    def _agreements(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """True where merging the letters of both pieces gives them back; each pair is merged once for the cache."""
+        keys = a << 32 | b
+        found = self.pairs.get(keys)
+        new = np.unique(keys[found < 0])
+        if len(new):
+            if len(self.pairs) + len(new) > CACHE_PAIRS:
+                self.pairs = Table()
+                new = np.unique(keys)
+            names = [(self.file.pieces[k >> 32][0], self.file.pieces[k & 0xFFFFFFFF][0]) for k in new.tolist()]
+            self.pairs.put(new, np.array([self.keeps(x, y) for x, y in names], np.int32))
+            found = self.pairs.get(keys)
+        return found > 0
+
+    def compose_many(self, words: list[str]) -> list[bytes]:
+        """Ids of many words; those of a byte-pair file are composed together, a letter of all at a time."""
+        if self.file.type != BPE:
+            return [np.asarray(self.compose(w), "<u4").tobytes() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= TOGETHER]
+        for i, w in enumerate(words):
+            if len(w) > TOGETHER:
+                out[i] = np.asarray(self.compose(w), "<u4").tobytes()
+        for i, ids in zip(short, self._agreeing_all([words[i] for i in short]), strict=True):
+            out[i] = ids
+        return out
+
+    def _agreeing_all(self, words: list[str]) -> list[bytes]:
+        """The path of weight 0 of every word, as `_agreeing` finds it for one."""
+        if not words:
+            return []
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        size = np.array([len(w) for w in words], np.int64)
+        start = np.cumsum(size) - size
+        base = start + np.arange(len(words))  # places 0..size of each word
+        none, free = -2, -1  # no piece ends here; a fallback letter does
+        last, back = np.full(len(letters) + len(words), none, np.int64), np.zeros(len(letters) + len(words), np.int64)
+        last[base] = free
+        for i in range(int(size.max())):
+            here = np.flatnonzero(size > i)
+            here = here[last[base[here] + i] != none]
+            before, single = last[base[here] + i], np.zeros(len(here), bool)
+            at, state, j = np.arange(len(here)), np.zeros(len(here), np.int64), i
+            while len(at):
+                to = self.arcs.get(state << 21 | letters[start[here[at]] + j]).astype(np.int64)
+                at, state, j = at[to >= 0], to[to >= 0], j + 1
+                piece, place = self.accepts[state], base[here[at]] + j
+                if j == i + 1:
+                    single[at] = piece >= 0
+                open_ = np.flatnonzero((piece >= 0) & (last[place] == none))
+                left, right = before[at[open_]], piece[open_]
+                fits = left < 0
+                fits[~fits] = self._agreements(left[~fits], right[~fits])
+                last[place[open_[fits]]], back[place[open_[fits]]] = right[fits], i
+                on = size[here[at]] > j
+                at, state = at[on], state[on]
+            alone = base[here[~single]] + i + 1  # no piece is this letter alone
+            alone = alone[last[alone] == none]
+            last[alone], back[alone] = free, i
+        # back from the ends of all words, a piece of each at a time
+        word, place, steps = np.arange(len(words)), size.copy(), []
+        while len(word):
+            piece, to = last[base[word] + place], back[base[word] + place]
+            steps.append((word, to, piece))
+            word, place = word[to > 0], to[to > 0]
+        word, place, piece = (np.concatenate(x) for x in zip(*steps, strict=True))
+        sort = np.lexsort((place, word))
+        word, place, piece = word[sort], place[sort], piece[sort]
+        ids = piece.astype("<u4")
+        cuts = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        out = [ids[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        for w in np.unique(word[piece < 0]).tolist():  # words with fallback letters
+            lo, hi = cuts[w], cuts[w + 1]
+            path = [self.fallback(words[w][p]) if x < 0 else [x] for p, x in zip(place[lo:hi].tolist(), piece[lo:hi].tolist(), strict=True)]
+            out[w] = np.array([x for ids_ in path for x in ids_], "<u4").tobytes()
+        return out
+
+    def keeps(self, left: str, right: str) -> bool:
+        """Whether byte-pair merging of left + right ends with these two.
+
+        By its definition: the best-scored neighbours merge first, the leftmost among equals.
+        It is over as soon as letters of both sides would merge.
+        """
+        parts, cut, score = list(left + right), len(left), self.score_of.get
+        merged = [score(x + y) for x, y in zip(parts, parts[1:], strict=False)]
+        while True:
             best, at = None, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
+            for i, s in enumerate(merged):
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
             if best is None:
-                break
+                return cut == 1 and len(parts) == 2
+            if at == cut - 1:
+                return False
+            cut -= at < cut
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del merged[at]
+            if at:
+                merged[at - 1] = score(parts[at - 1] + parts[at])
+            if at < len(merged):
+                merged[at] = score(parts[at] + parts[at + 1])
 
     def _lightest(self, word: str) -> list[int]:
         """The path of the largest summed score."""
@@ -216,20 +362,21 @@ class Transducer:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        given = self.normalise(text)
-        parts = [given] if self.whole else self.cut.findall(given)
-        for word in parts:
-            if word not in words:
-                words[word] = np.asarray(self.compose(word), "<u4").tobytes()
-        out = b"".join(map(words.__getitem__, parts))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of many texts; words that are not in the cache are composed together."""
+        given = [self.normalise(t) if t else "" for t in texts]
         if self.whole:
-            words.clear()
-        return out
+            return self.compose_many(given)
+        if self.letters > CACHE_LETTERS:
+            self.words, self.letters = {}, 0
+        words = self.words
+        parts = [self.cut.findall(t) for t in given]
+        new = list({w for mine in parts for w in mine if w not in words})
+        words.update(zip(new, self.compose_many(new), strict=True))
+        self.letters += sum(map(len, new))
+        return [b"".join(map(words.__getitem__, mine)) for mine in parts]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -238,6 +385,12 @@ class Transducer:
         return raw.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def machine_of(data: bytes) -> Transducer:
+    """The compiled file with its caches, kept by a worker from task to task."""
+    return Transducer(data)
+
+
 def model_bytes(path: str | None = None) -> bytes:
     """The model file, read once on the driver; by default the public byte-pair file with byte fallback."""
     if path is None:
@@ -254,12 +407,12 @@ def encode(documents: DataFrame, model: bytes, keep_ids: bool = True) -> DataFra
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
-        for b in batches:
+        machine = machine_of(shared.value)
+        for b in (part for batch in batches for part in slices(batch, 1)):
             rows, ids = [], []
-            for text in b.column(1):
-                given = text.as_py() or ""
-                out = machine.encode(given)
+            texts = b.column(1).to_pylist()
+            for text, out in zip(texts, machine.encode_all(texts), strict=True):
+                given = text or ""
                 rows.append((len(out) // 4, zlib.crc32(out), machine.decode(out) == machine.normalise(given).replace(MARK, " ")[machine.file.dummy_prefix and given != "" :]))
                 if keep_ids:
                     ids.append(np.frombuffer(out, "<u4").astype(np.int32))
@@ -279,7 +432,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        machine = machine_of(shared.value)
         for b in batches:
             texts = [machine.decode(np.asarray(x.as_py() or [], "<u4").tobytes()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -288,6 +441,6 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 
 def op6_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of `documents` encoded and decoded: number and checksum of its ids."""
+    """Every whole text of `documents` encoded and decoded: its ids, their number and checksum, and whether it came back."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode(documents, model_bytes(), keep_ids=False)
+    return encode(documents, model_bytes())
