@@ -23,8 +23,10 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +48,11 @@ class Side:
     def __init__(self) -> None:
         self.size = np.array([len(b) for b in self.bytes_of], np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def spells(self, ids: np.ndarray, raw: bytes) -> bool:
-        """True if the bytes of the ids, joined, are `raw`."""
-        return int(self.size[ids].sum()) == len(raw) and b"".join(map(self.bytes_of.__getitem__, ids.tolist())) == raw
+    def spell(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class ByteSide(Side):
@@ -66,8 +67,8 @@ class ByteSide(Side):
         self.bytes_of = [special[i] if i in special else bytes(letters[c] for c in words.get(i, "")) for i in range(max([*words, *special]) + 1)]
         super().__init__()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.encoder.encode(" " + t), "<u4").astype(np.int64) for t in texts]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(self.encoder.encode(" " + t), "<u4").tolist() for t in texts]
 
 
 class PieceSide(Side):
@@ -81,54 +82,66 @@ class PieceSide(Side):
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         super().__init__()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
+
+
+NEAR_STEPS = 8  # places next to the middle that are tried one by one; beyond, rings of doubling width
+
+
+def ring(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, away: int) -> np.ndarray:
+    """For each interval the common end that is nearest to its middle, at `away` places or more; -1 if there is none."""
+    found, middle = np.full(len(lo), -1, np.int64), (lo + hi) // 2
+    live, near, far = np.arange(len(lo)), away, 2 * away
+    while len(live):
+        step = np.arange(near, far)
+        place = middle[live][:, None] + np.concatenate([step, -step])[None, :]
+        inside = (place >= lo[live][:, None]) & (place <= hi[live][:, None])
+        owner, which = np.nonzero(inside)
+        ends = a[place[owner, which]]
+        hit = b[np.minimum(np.searchsorted(b, ends), len(b) - 1)] == ends
+        owner, place = owner[hit], place[owner[hit], which[hit]]
+        best = np.lexsort((place, np.abs(place - middle[live[owner]]), owner))
+        first, at = np.unique(owner[best], return_index=True)
+        found[live[first]] = place[best][at]
+        rest = (found[live] < 0) & ((middle[live] - far >= lo[live]) | (middle[live] + far <= hi[live]))
+        live, near, far = live[rest], far, 2 * far
+    return found
 
 
 def common_ends(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
     """True for the ends `a` that are in `b` too, by divide and conquer.
 
     Both lists ascend; `first[i]:first[i + 1]` are the ends in `a` of text i, whose
-    last one is common by construction.
+    last one is common by construction. All intervals take one step a round: they
+    bisect `b` for one end near their middle, and split where it is found.
     """
     cut = np.zeros(len(a), bool)
     last = first[1:][np.diff(first) > 0] - 1
     cut[last] = True
-    # an interval holds the candidates lo..hi (its own last end is known); `near` to `far` is the ring that is looked at
-    lo, hi = first[:-1][np.diff(first) > 0], last - 1
-    near, far = np.zeros(len(lo), np.int64), np.ones(len(lo), np.int64)
+    # an interval holds the candidates lo..hi (its own last end is known); they stay in ascending order
+    lo, hi, step = first[:-1][np.diff(first) > 0], last - 1, np.zeros(len(last), np.int64)
     while True:
-        open_ = lo <= hi
-        lo, hi, near, far = lo[open_], hi[open_], near[open_], far[open_]
+        live = lo <= hi
+        lo, hi, step = lo[live], hi[live], step[live]
         if not len(lo):
             return cut
-        middle = (lo + hi) // 2
-        # the ring around the middle: distances near..far-1 on both sides, one row for each place
-        width = far - near
-        owner = np.repeat(np.arange(len(lo)), width)
-        away = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + near[owner]
-        owner, away = np.r_[owner, owner[away > 0]], np.r_[away, -away[away > 0]]
-        place = middle[owner] + away
-        inside = (place >= lo[owner]) & (place <= hi[owner])
-        owner, place, away = owner[inside], place[inside], np.abs(away[inside])
-        to = np.searchsorted(b, a[place])
-        hit = b[np.minimum(to, len(b) - 1)] == a[place]
-        owner, place, away = owner[hit], place[hit], away[hit]
-        best = np.lexsort((place, away, owner))
-        split, at = np.unique(owner[best], return_index=True)
-        found = place[best][at]
-        cut[found] = True
-        # those without a hit look further out, until the ring has passed both ends: then they are leaves
-        rest = np.ones(len(lo), bool)
-        rest[split] = False
-        rest &= (middle - far >= lo) | (middle + far <= hi)
-        fresh = np.zeros(len(split), np.int64)
-        lo, hi, near, far = (
-            np.r_[lo[split], found + 1, lo[rest]],
-            np.r_[found - 1, hi[split], hi[rest]],
-            np.r_[fresh, fresh, far[rest]],
-            np.r_[fresh + 1, fresh + 1, 2 * far[rest]],
-        )
+        # the middle, then the places next to it in turn on both sides
+        place = (lo + hi) // 2 + np.where(step & 1, (step + 1) >> 1, -(step >> 1))
+        inside = (place >= lo) & (place <= hi)
+        ends = a[np.where(inside, place, lo)]
+        hit = inside & (b[np.minimum(np.searchsorted(b, ends), len(b) - 1)] == ends)
+        far = np.flatnonzero(~hit & (step + 1 >= NEAR_STEPS))
+        if len(far):
+            at = ring(a, b, lo[far], hi[far], NEAR_STEPS // 2)
+            place[far], hit[far] = at, at >= 0
+            hi[far[at < 0]] = lo[far[at < 0]] - 1  # no common end inside: a leaf
+        cut[place[hit]] = True
+        # a split interval becomes two, any other tries its next place
+        wide = np.empty((3, 2 * len(lo)), np.int64)
+        wide[:, 0::2] = lo, np.where(hit, place - 1, hi), np.where(hit, 0, step + 1)
+        wide[:, 1::2] = np.where(hit, place + 1, 1), np.where(hit, hi, 0), np.zeros_like(step)
+        lo, hi, step = wide
 
 
 def pack_codes(codes: np.ndarray, times: np.ndarray) -> bytes:
@@ -150,13 +163,12 @@ class Slice:
     def __init__(self, texts: list[str | None], a: Side, b: Side):
         given = [t or "" for t in texts]
         ids_a, ids_b = a.encode(given), b.encode(given)
-        none = np.zeros(0, np.int64)
         for i, t in enumerate(given):
             raw = b" " + t.encode()
-            if not t or not a.spells(ids_a[i], raw) or not b.spells(ids_b[i], raw):
-                ids_a[i], ids_b[i] = none, none
+            if not t or a.spell(ids_a[i]) != raw or b.spell(ids_b[i]) != raw:
+                ids_a[i], ids_b[i] = [], []
         self.n_a, self.n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
-        self.ids_a, self.ids_b = np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b])
+        self.ids_a, self.ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
         self.first_a, self.first_b = np.r_[0, np.cumsum(self.n_a)], np.r_[0, np.cumsum(self.n_b)]
         self.ends_a, self.ends_b = np.cumsum(a.size[self.ids_a]), np.cumsum(b.size[self.ids_b])
 
@@ -206,7 +218,7 @@ def align(documents: DataFrame, a_json: str, b_model: bytes, slice_bytes: int =
             for part in slices(batch, 1, slice_bytes):
                 s = Slice(part.column(1).to_pylist(), a, b)
                 doc, pair = s.links()
-                pairs, code = np.unique(pair, return_inverse=True)
+                code, pairs = pd.factorize(pair)
                 held, times = np.unique(doc * (len(pairs) + 1) + code, return_counts=True)
                 of, code = np.divmod(held, len(pairs) + 1)
                 cuts = np.searchsorted(of, np.arange(part.num_rows + 1))
