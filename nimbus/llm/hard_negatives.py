@@ -207,7 +207,8 @@ def visit(asks: DataFrame, index: MultiIndex, lists: DataFrame, plan: Plan, same
     chunks = max(1, -(-asks.count() // ask_rows))
     salted = visits.withColumn("chunk", F.pmod(F.xxhash64("ask"), F.lit(chunks)))
     packed = salted.groupBy("cell", "chunk").applyInArrow(pack, "cell int, blocks array<int>, asks binary, vectors binary, counts binary, spans binary")
-    met = packed.select("*", F.explode("blocks").alias("block")).drop("blocks").join(lists, ["cell", "block"])
+    # both sides grow with the table: neither may be broadcast on a guess from the size of its source
+    met = packed.select("*", F.explode("blocks").alias("block")).drop("blocks").join(lists.hint("merge"), ["cell", "block"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
