@@ -71,15 +71,17 @@ def select(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float
     The unlabelled share is corrected for the positives hidden in it; the chance is the Poisson tail
     bound of the count in the positives, held to one false feature among all that are tested.
     """
-    p, u = np.zeros(size), np.zeros(size)
+    p, u = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for total, docs in ((p, pos), (u, unl)):
         for features_ in docs:  # distinct features: each counts once
             total[features_] += 1
+    seen = np.flatnonzero(p)  # no other can be more frequent in positives
+    p, u = p[seen].astype(np.float64), u[seen].astype(np.float64)
     share_p, share_u = p / len(pos), u / len(unl)
     negative = np.maximum((share_u - prior * share_p) / (1 - prior), 0.5 / len(unl))
     expected = negative * len(pos)
     tail = p * np.log(np.maximum(p, 1e-9) / expected) - p + expected
-    return np.flatnonzero((p > expected) & (tail > np.log(max(1, np.count_nonzero(p)))))
+    return seen[(p > expected) & (tail > np.log(max(1, len(seen))))]
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4, beta: float = 0.0) -> Classifier:
