@@ -7,11 +7,13 @@ such setting (tests, benchmarks) gets a fresh folder under /tmp.
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -104,6 +106,18 @@ def unique_scratch(spark: SparkSession, label: str) -> str:
     return scratch_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Lets go of what earlier jobs left on the driver.
+
+    Python's garbage and Arrow's pool go back to the system; a full collection
+    shrinks the JVM's heap and lets Spark's cleaner drop the broadcasts and
+    shuffle files of frames that nothing refers to any more.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.java.lang.System.gc()
+
+
 def cut_lineage(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write a frame once as Parquet in the shared scratch folder and read it back.
 

@@ -20,3 +20,13 @@ def test_trends_without_a_checkpoint_setting(tmp_path):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": ROOT}
     done = subprocess.run([sys.executable, "-c", SCRIPT], env=env, cwd=ROOT, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout and int(done.stdout.split("ROWS")[1]) > 0, done.stderr[-2000:]
+
+
+def test_the_package_is_shipped_once(spark):
+    from nimbus import session
+
+    session.ship_package(spark)
+    assert [f for f in spark.sparkContext.listFiles if f.endswith("/nimbus.zip")] == [f for f in spark.sparkContext.listFiles if "nimbus" in f]
+    assert len([f for f in spark.sparkContext.listFiles if f.endswith("/nimbus.zip")]) == 1
+    session.release_driver(spark)
+    assert spark.range(3).count() == 3
