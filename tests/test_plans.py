@@ -6,8 +6,10 @@ import os
 from pyspark.sql import functions as F
 
 from nimbus.operators import aggregate, clean, dashboard, insight, ledger, query, rank, spans, trend
+from nimbus.plans import catalog
 from nimbus.plans import frames as fr
 from nimbus.session import cut_lineage, unique_scratch
+from nimbus.sources import files
 
 
 def plan(df) -> str:
@@ -137,3 +139,32 @@ def test_aggregation_facts_fan_out_days_not_rows(spark, sf_dir):
     # both generators stand above the aggregate by day
     assert text.count("Generate") >= 2
     assert text.rindex("Generate explode(array(struct(t") < text.index("keys=[DATE")
+
+
+def _landings(spark, monkeypatch, rows: int) -> list[list[int]]:
+    """From now on: rows of each file of every landing that a query writes, with files of at most so many rows of lineitem."""
+    written, whole = [], files.sink_csv
+
+    def sink(df, path, mode="overwrite"):
+        whole(df, path, mode)
+        landed = spark.read.option("header", True).csv(path).groupBy(F.input_file_name()).count().collect()
+        written.append([r["count"] for r in landed])
+
+    monkeypatch.setattr(catalog, "LANDED_ROWS", rows, raising=False)
+    monkeypatch.setattr(files, "sink_csv", sink)
+    return written
+
+
+def test_ingest_share_lands_a_larger_table_in_more_files(spark, sf_dir, monkeypatch):
+    rows = fr.raw(spark, sf_dir).count()
+    written = _landings(spark, monkeypatch, 1000)
+    share = catalog.QUERIES["ingest_share"](spark, sf_dir).collect()
+    assert [tuple(r) for r in share] == [(5, 4, 1, 80.0, True)]
+    assert [sum(w) for w in written] == [rows, 2 * rows]
+    assert all(max(w) < 1.5 * 1000 for w in written)  # some orders land twice
+
+
+def test_deliveries_are_whole_or_the_files_are_shown(spark):
+    one = spark.range(1)
+    assert one.select(*[catalog._deliveries(n, 6).alias(f"n{n}") for n in (0, 6, 24, 23, 25)]).first() == (0, 1, 4, 23, 25)
+    assert one.withColumn("n", F.lit(5)).select(catalog._deliveries("n", 1)).first()[0] == 5
