@@ -700,10 +700,11 @@ def q_resumable_ingest(spark, sf):
 @register("ingest_progress")
 def q_ingest_progress(spark, sf):
     landing = unique_scratch(spark, "landing")
-    files.sink_csv(fr.raw(spark, sf).repartition(4), landing)
+    each = _landed_files(spark, sf)  # of each micro-batch
+    files.sink_csv(fr.raw(spark, sf).repartition(4 * each), landing)
     progress = ingest.resumable_ingest(
         spark, landing, unique_scratch(spark, "ingested"), unique_scratch(spark, "ckpt"),
-        schema=_raw_schema(), max_files_per_trigger=1,
+        schema=_raw_schema(), max_files_per_trigger=each,
     )
     # per-batch split and rates depend on file layout and timing; totals do not
     return progress.agg(

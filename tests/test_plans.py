@@ -168,3 +168,11 @@ def test_deliveries_are_whole_or_the_files_are_shown(spark):
     one = spark.range(1)
     assert one.select(*[catalog._deliveries(n, 6).alias(f"n{n}") for n in (0, 6, 24, 23, 25)]).first() == (0, 1, 4, 23, 25)
     assert one.withColumn("n", F.lit(5)).select(catalog._deliveries("n", 1)).first()[0] == 5
+
+
+def test_ingest_progress_lands_a_larger_table_in_more_files(spark, sf_dir, monkeypatch):
+    rows = fr.raw(spark, sf_dir).count()
+    written = _landings(spark, monkeypatch, 1000)
+    progress = catalog.QUERIES["ingest_progress"](spark, sf_dir).first()
+    assert (progress.batches, progress.rows, progress.cumulative_rows) == (4, rows, rows)
+    assert sum(written[0]) == rows and max(written[0]) < 1000 / 2
