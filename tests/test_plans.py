@@ -176,3 +176,11 @@ def test_ingest_progress_lands_a_larger_table_in_more_files(spark, sf_dir, monke
     progress = catalog.QUERIES["ingest_progress"](spark, sf_dir).first()
     assert (progress.batches, progress.rows, progress.cumulative_rows) == (4, rows, rows)
     assert sum(written[0]) == rows and max(written[0]) < 1000 / 2
+
+
+def test_latest_file_lands_a_larger_table_in_more_files(spark, sf_dir, monkeypatch):
+    rows = fr.raw(spark, sf_dir).count()
+    written = _landings(spark, monkeypatch, 1000)
+    latest = catalog.QUERIES["latest_file"](spark, sf_dir).first()
+    assert (latest.landing, latest["files"], latest.n_rows) == ("later", 4, rows)
+    assert sum(written[1]) == rows and max(written[1]) < 1000 / 2
