@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -162,11 +163,17 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["kind", "doc_id", "features"])
 
     # at most positives + unlabelled rows; read as Arrow and looked at in place
-    rows = sample.mapInArrow(found, "kind int, doc_id long, features binary").toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending")])
+    rows = sample.mapInArrow(found, "kind int, doc_id long, features binary").toArrow()
+    return fit(*by_kind(rows), float(prior))
+
+
+def by_kind(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features of the positives and of the unlabelled in the order of their ids: views of the table, which is not copied."""
+    kinds, packed = rows["kind"].to_pylist(), rows["features"]
     docs: tuple[list, list] = ([], [])
-    for kind, packed in zip(rows["kind"].to_pylist(), rows["features"], strict=True):
-        docs[kind].append(np.frombuffer(packed.as_buffer(), "<u4"))
-    return fit(docs[1], docs[0], float(prior))
+    for i in pc.sort_indices(rows, sort_keys=[("kind", "ascending"), ("doc_id", "ascending")]).to_pylist():
+        docs[kinds[i]].append(np.frombuffer(packed[i].as_buffer(), "<u4"))
+    return docs[1], docs[0]
 
 
 def free_name(columns: list[str], name: str = "_score") -> str:

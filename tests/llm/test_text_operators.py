@@ -413,3 +413,14 @@ def test_toxicity_learns_and_never_reads_held_out_labels(spark, odd, none):
     nobody = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert len({r._score for r in toxicity.score(odd, nobody).collect()}) == 1
     toxicity.train(none, known)
+
+
+def test_the_sample_of_the_classifier_is_ordered_without_a_copy():
+    kinds, ids = [1, 0, 1, 0], [3, 9, 2, 1]
+    features = [np.full(50_000, i, "<u4") for i in range(4)]
+    half = lambda a, b: pa.record_batch({"kind": kinds[a:b], "doc_id": ids[a:b], "features": [f.tobytes() for f in features[a:b]]})
+    rows = pa.Table.from_batches([half(0, 2), half(2, 4)])
+    before = pa.total_allocated_bytes()
+    pos, unl = toxicity.by_kind(rows)
+    assert [int(f[0]) for f in pos] == [2, 0] and [int(f[0]) for f in unl] == [3, 1]
+    assert all(len(f) == 50_000 for f in pos + unl) and pa.total_allocated_bytes() - before < 50_000
