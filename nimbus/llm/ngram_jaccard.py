@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from nimbus.llm.components import components
 from nimbus.llm.words import LOWER, M2, Words, mix, slices, window_hashes, window_text
-from nimbus.session import unique_scratch
+from nimbus.session import stored
 
 GROUPS = 16
 OVER = np.uint16(65535)  # a count that may be larger
@@ -274,12 +274,6 @@ def _cells(table: pa.Table, by: Threshold) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
-def _scratch(df: DataFrame, label: str) -> DataFrame:
-    path = unique_scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _described(documents: DataFrame, n: int) -> DataFrame:
     """Kind 0: `id, key, size, point` of every row; kind 1: shingles that several sets of a slice share, with their number."""
 
@@ -356,7 +350,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, by: Threshold) -> DataFrame:
 
 def _members(nodes: DataFrame, rows: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     """`key, members`: the whole shingle sets of `nodes` (`key`)."""
-    asked = _scratch(rows.join(nodes, "key").groupBy("key").agg(F.min("id").alias("doc_id")), "asked")
+    asked = stored(rows.join(nodes, "key").groupBy("key").agg(F.min("id").alias("doc_id")), "asked")
     if asked.count() * 32 <= BROADCAST_BYTES:  # else the texts are shuffled
         asked = F.broadcast(asked)
     texts = documents.join(asked, "doc_id").select("key", "text")
@@ -454,7 +448,7 @@ def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, rows: DataFr
     # all large cells of a member (no more than its prefix): a pair is met in the first cell that both are in
     of = cells.groupBy("a").agg(F.collect_list("b").alias("cells"))
     described = labelled.join(mixed, "b").join(points.withColumnRenamed("key", "a"), "a").join(of, "a")
-    members = _scratch(described.select("a", "b", "size", "point", "cells", "label"), "mixed")
+    members = stored(described.select("a", "b", "size", "point", "cells", "label"), "mixed")
 
     def met(members: DataFrame, weight: int) -> DataFrame:
         """Members once for each chunk pair `i, j` of their cell; a chunk has a bounded number of rows, and of bytes at `weight` a shingle."""
@@ -471,9 +465,9 @@ def _across(cells: DataFrame, points: DataFrame, labels: DataFrame, rows: DataFr
             marked[q] = marked[hit] = True
         return pa.table({"a": cell.keys[marked], "b": np.full(int(marked.sum()), cell.cell)})
 
-    marked = _scratch(met(members, 1).groupBy("b", "i", "j").applyInArrow(promising, "a long, b long").distinct(), "promising")
+    marked = stored(met(members, 1).groupBy("b", "i", "j").applyInArrow(promising, "a long, b long").distinct(), "promising")
     sets = _members(marked.select(F.col("a").alias("key")).distinct(), rows, documents, n).withColumnRenamed("key", "a")
-    whole = _scratch(members.join(marked, ["a", "b"]).join(sets, "a"), "promising-sets")
+    whole = stored(members.join(marked, ["a", "b"]).join(sets, "a"), "promising-sets")
 
     def search(table: pa.Table) -> pa.Table:
         cell = Cell(table, by)
@@ -516,35 +510,35 @@ def self_join(documents: DataFrame, n: int = 4, percent: int = 85, bucket_bytes:
     lean = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = lean.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(16, -(-size // bucket_bytes))
-    described = _scratch(_described(lean, n), "sets")
+    described = stored(_described(lean, n), "sets")
     rows = described.where("kind = 0").select("id", "key", F.col("size").alias("n"))
     linkable = rows.where("n > 0 AND id IS NOT NULL")
     top = described.where("kind = 1").groupBy("key").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "key").limit(COMMON)
     common = np.sort(np.array([r["key"] for r in top.select("key").collect()], np.int64).astype(np.uint64))  # at most COMMON
     postings = _postings(lean, n, by, common, buckets)
-    found = _scratch(postings.groupBy("bucket").applyInArrow(lambda t: _cells(t, by), FOUND), "cells")
+    found = stored(postings.groupBy("bucket").applyInArrow(lambda t: _cells(t, by), FOUND), "cells")
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     counted = found.where("kind = 0").select(*ordered, "shared", "need").groupBy("a", "b")
     near = counted.agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     near = near.unionByName(found.where("kind = 1").select(*ordered)).distinct()
     points = described.where("kind = 0 AND size > 0 AND id IS NOT NULL").groupBy("key").agg(F.first("size").alias("size"), F.first("point").alias("point"))
-    near = _scratch(_bounded(near, points, by), "near")
+    near = stored(_bounded(near, points, by), "near")
     # one pair of each node from either side: this keeps every star whole
     one = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     one = one.unionByName(near.groupBy("a").agg(F.min("b").alias("b"))).distinct()
-    links = _scratch(_verified(one, linkable, lean, n, by), "links")
+    links = stored(_verified(one, linkable, lean, n, by), "links")
     # labels are written after every step: their plans would else grow into each other
-    labels = _scratch(components(links), "labels")
+    labels = stored(components(links), "labels")
     across = _across(found.where("kind = 2").select("a", "b").distinct(), points, labels, linkable, lean, n, by)
-    apart = _scratch(_apart(near, labels), "apart")
-    more = _scratch(_verified(apart, linkable, lean, n, by).unionByName(across), "links")
+    apart = stored(_apart(near, labels), "apart")
+    more = stored(_verified(apart, linkable, lean, n, by).unionByName(across), "links")
     if more.limit(1).count():
-        labels = _scratch(_joined(labels, more), "labels")
+        labels = stored(_joined(labels, more), "labels")
     # one row for each distinct set from here on: copies are folded before the shuffle, not joined one by one
     sets = linkable.groupBy("key").agg(F.min("id").alias("id"))
     of = sets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     first = of.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = _scratch(of.join(first, "component").select("key", "component_id"), "named")
+    named = stored(of.join(first, "component").select("key", "component_id"), "named")
     # a join of its own, so that the rows of a hot key can be dealt to several tasks
     out = rows.join(named, "key", "left")
     own = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -111,11 +112,30 @@ def release_driver(spark: SparkSession) -> None:
 
     Python's garbage and Arrow's pool go back to the system; a full collection
     shrinks the JVM's heap and lets Spark's cleaner drop the broadcasts and
-    shuffle files of frames that nothing refers to any more.
+    shuffle files of frames that nothing refers to any more. What the JVM's
+    compiler, its loaded classes' tables and its many short-lived threads have
+    freed outside the heap stays with the C library until that is told to trim.
     """
     gc.collect()
     pa.default_memory_pool().release_unused()
     spark._jvm.java.lang.System.gc()
+    _trim_native_heap(spark)
+
+
+def _trim_native_heap(spark: SparkSession) -> bool:
+    """Has the driver's JVM give free native memory back; a JVM without that command (it is HotSpot's, on Linux) is left as it is."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    given = new_array(jvm.java.lang.Object, 4)
+    given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given[1], given[2], given[3] = "systemTrimNativeHeap", new_array(jvm.java.lang.Object, 0), new_array(jvm.java.lang.String, 0)
+    # by the interface: the server's own class is closed to callers
+    methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+    try:
+        next(m for m in methods if m.getName() == "invoke").invoke(server, given)
+    except Py4JError:
+        return False
+    return True
 
 
 def cut_lineage(df: DataFrame, label: str = "stored") -> DataFrame:
@@ -131,3 +151,9 @@ def cut_lineage(df: DataFrame, label: str = "stored") -> DataFrame:
     path = unique_scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`cut_lineage` for operators of many steps: the driver first lets go of the steps before."""
+    release_driver(df.sparkSession)
+    return cut_lineage(df, label)

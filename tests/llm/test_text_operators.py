@@ -12,7 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nimbus.llm import cross_entropy, ngram_jaccard, packing, piece_transducer, substring_dedup, toxicity
+from nimbus import session
+from nimbus.llm import components, cross_entropy, ngram_jaccard, packing, piece_transducer, substring_dedup, toxicity
 from nimbus.llm.words import Words, window_hashes, window_text
 from tests.llm.conftest import ROWS, frame
 
@@ -199,6 +200,28 @@ def test_ngram_components(spark, odd, none, small, monkeypatch):
         assert ngram_jaccard.self_join(none).count() == 0
 
 
+def test_component_rounds_end_with_stars(spark, monkeypatch):
+    """Edges that are stars already need no round, and no second look at the result of the last one."""
+    written, released, real = [], [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, label, *a: written.append(label) or real(df, label, *a))
+    monkeypatch.setattr(session, "release_driver", lambda s: released.append(s))
+    stars = [(1, 2), (5, 1), (3, 1), (7, 8), (8, 8), (2, 1)]
+    found = components.components(spark.createDataFrame(stars, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (5, 1), (7, 7), (8, 7)]
+    assert written == ["links"] and len(released) == 1
+    assert not components.components(spark.createDataFrame([], "a long, b long")).collect()
+    written.clear()
+    random.seed(4)
+    ids = random.sample(range(1000), 40)
+    chain = list(zip(ids, ids[1:], strict=False))
+    found = components.components(spark.createDataFrame(chain, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == sorted((i, min(ids)) for i in ids)
+    u, v = components.F.greatest("a", "b").alias("u"), components.F.least("a", "b").alias("v")
+    assert not components._stars(spark.createDataFrame(chain, "a long, b long").select(u, v))
+    assert not components._stars(spark.createDataFrame([(3, 2), (2, 1)], "u long, v long"))
+    assert not components._stars(spark.createDataFrame([(3, 2), (3, 1)], "u long, v long"))
+
+
 def test_tree_keeps_every_pair_that_the_minima_allow():
     rng = np.random.default_rng(0)
     vectors = rng.poisson(6, size=(300, ngram_jaccard.GROUPS)).astype(np.uint16)

@@ -30,3 +30,9 @@ def test_the_package_is_shipped_once(spark):
     assert len([f for f in spark.sparkContext.listFiles if f.endswith("/nimbus.zip")]) == 1
     session.release_driver(spark)
     assert spark.range(3).count() == 3
+
+
+def test_a_release_trims_the_native_heap(spark):
+    from nimbus import session
+
+    assert session._trim_native_heap(spark) is True
